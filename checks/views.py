@@ -115,13 +115,13 @@ _OBSERVATIONS = """SELECT event_id, pubkey, created_at + k AS created_at, conten
   UNION ALL SELECT 'b' || event_id, pubkey, created_at, chr(12288) || ' ', 'r0', seq, lang FROM posts
   UNION ALL SELECT 'm' || event_id, pubkey, created_at, 'nostr:' || md5(content), 'r1', seq, lang FROM posts"""
 
-_IDX = "(CAST(floor(value) AS BIGINT) * CAST(floor(value) AS BIGINT)"
+_IDX = "least(46, CAST(floor(value) AS BIGINT) * CAST(floor(value) AS BIGINT) // 300)"
 
 
 def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as labeled rows; low label ids are frequent, high ones rare."""
     whole = F.floor("value").cast("long")
-    idx = F.floor(whole * whole / 5200).cast("long")
+    idx = F.least(F.lit(46).cast("long"), F.floor(whole * whole / 300).cast("long"))
     return table(spark, sf_dir, "events").select(
         F.col("event_id").cast("string").alias("event_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("pubkey"),
@@ -141,7 +141,7 @@ def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LABELED = f"""SELECT CAST(event_id AS VARCHAR) AS event_id, 'u' || user_id AS pubkey,
   epoch_us(ts) // 1000000 AS created_at, event_type || ' ' || props || ' ねこ' AS content,
-  {sql_label_at(_IDX + ') // 5200')} AS label, CAST({_IDX}) // 5200 AS INTEGER) AS label_id,
+  {sql_label_at(_IDX)} AS label, CAST({_IDX} AS INTEGER) AS label_id,
   least(1.0, value / 400) AS confidence, event_type AS rationale, event_id % 17 = 0 AS is_uncertain,
   1 + CAST(event_id % 5 = 0 AS INTEGER) AS pass, 'model-' || event_type AS source,
   event_id % 11 <> 0 AS ok, event_id AS seq FROM events"""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions import text as T
 from postloom.operators.labels import QA_LABEL_ID, is_valid_label, label_id_of
 
-# --- fixed values: required answer fields in order ------------------------------------------
+# --- fixed values: number spelling, required answer fields in order -------------------------
+NUMBER_TEXT = rf"^[{T.SPACE_CHARS}]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[{T.SPACE_CHARS}]*$"
 ANSWER_FIELDS = ("label", "label_id", "confidence", "rationale", "is_uncertain")
 # -------------------------------------------------------------------------------------------
 
@@ -23,57 +26,75 @@ def join_parts(parts: Column) -> Column:
     return F.array_join(parts, "", "")
 
 
-def kind_of(variant: Column, path: str) -> Column:
-    """JSON kind at ``path``: number, integer, string, boolean, array, object, null or missing."""
-    part = F.try_variant_get(variant, path, "variant")
-    name = F.schema_of_variant(part)
-    number = F.rlike(name, F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"))
-    value = F.try_variant_get(variant, path, "double")
+def _kind(name: Column, value: Column) -> Column:
+    """Kind from a VARIANT schema name and the value as a double."""
     return (
-        F.when(part.isNull(), F.lit("missing"))
-        .when(F.is_variant_null(part), F.lit("null"))
-        .when(number & (value == F.floor(value)), F.lit("integer"))
-        .when(number, F.lit("number"))
+        F.when(name.isNull(), F.lit("missing"))
+        .when(name == "VOID", F.lit("null"))
         .when(name == "STRING", F.lit("string"))
         .when(name == "BOOLEAN", F.lit("boolean"))
+        .when(name == "BIGINT", F.lit("integer"))
         .when(F.startswith(name, F.lit("ARRAY")), F.lit("array"))
-        .otherwise(F.lit("object"))
+        .when(F.startswith(name, F.lit("OBJECT")), F.lit("object"))
+        .when(value == F.floor(value), F.lit("integer"))
+        .otherwise(F.lit("number"))
     )
 
 
-def coerce_number(variant: Column, path: str) -> Column:
+def kind_of(variant: Column, path: str) -> Column:
+    """JSON kind at ``path``: number, integer, string, boolean, array, object, null or missing."""
+    name = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
+    return _kind(name, F.try_variant_get(variant, path, "double"))
+
+
+def with_kinds(df: DataFrame, variant: str, fields: Sequence[str]) -> DataFrame:
+    """Add ``_k_<field>`` per top-level field and ``_k_`` for the value itself.
+
+    Staged in two projections, so each field is looked up once however often its kind is used.
+    """
+    v = F.col(variant)
+    paths = {f: f"$.{f}" for f in fields} | {"": "$"}
+    staged = df.withColumns(
+        {f"_n_{f}": F.schema_of_variant(F.try_variant_get(v, p, "variant")) for f, p in paths.items()}
+    )
+    kinds = {f"_k_{f}": _kind(F.col(f"_n_{f}"), F.try_variant_get(v, p, "double")) for f, p in paths.items()}
+    return staged.withColumns(kinds).drop(*[f"_n_{f}" for f in paths])
+
+
+def drop_kinds(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_k_")])
+
+
+def coerce_number(variant: Column, path: str, kind: Column | None = None) -> Column:
     """Finite number at ``path`` as the dynamic source language reads it, else null.
 
     A JSON null reads as 0 and so do false and blank strings, true reads as 1, numeric strings
     are parsed; a missing field, other strings and objects give null.
     """
-    kind = kind_of(variant, path)
-    text = T.strip_spaces(F.try_variant_get(variant, path, "string"))
-    parsed = F.when(
-        F.rlike(text, F.lit(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")), text.try_cast("double")
+    kind = kind_of(variant, path) if kind is None else kind
+    raw = F.try_variant_get(variant, path, "string")
+    parsed = F.when(F.rlike(raw, F.lit(NUMBER_TEXT)), T.strip_spaces(raw).try_cast("double")).when(
+        T.is_blank(raw), F.lit(0.0)
     )
     value = (
-        F.when(kind == "null", F.lit(0.0))
-        .when(kind.isin("integer", "number"), F.try_variant_get(variant, path, "double"))
-        .when(
-            kind == "boolean",
-            F.when(F.try_variant_get(variant, path, "boolean"), F.lit(1.0)).otherwise(F.lit(0.0)),
-        )
-        .when((kind == "string") & (text == ""), F.lit(0.0))
+        F.when(kind.isin("integer", "number"), F.try_variant_get(variant, path, "double"))
+        .when(kind == "null", F.lit(0.0))
+        .when(kind == "boolean", F.try_variant_get(variant, path, "boolean").cast("double"))
         .when(kind == "string", parsed)
     )
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
-def string_field(variant: Column, path: str) -> Column:
+def string_field(variant: Column, path: str, kind: Column | None = None) -> Column:
     """The string at ``path``; null for any other kind."""
-    return F.when(kind_of(variant, path) == "string", F.try_variant_get(variant, path, "string"))
+    kind = kind_of(variant, path) if kind is None else kind
+    return F.when(kind == "string", F.try_variant_get(variant, path, "string"))
 
 
-def true_field(variant: Column, path: str) -> Column:
+def true_field(variant: Column, path: str, kind: Column | None = None) -> Column:
     """True only for a literal JSON ``true``."""
-    is_true = (kind_of(variant, path) == "boolean") & F.try_variant_get(variant, path, "boolean")
-    return F.coalesce(is_true, F.lit(False))
+    kind = kind_of(variant, path) if kind is None else kind
+    return F.coalesce((kind == "boolean") & F.try_variant_get(variant, path, "boolean"), F.lit(False))
 
 
 def with_answer_errors(df: DataFrame, answer: str = "answer", allow_qa: bool = True) -> DataFrame:
@@ -83,9 +104,8 @@ def with_answer_errors(df: DataFrame, answer: str = "answer", allow_qa: bool = T
     check that a numeric id agrees with it. The five field kinds are staged once.
     """
     v = F.col(answer)
-    staged = df.withColumns({f"_k_{f}": kind_of(v, f"$.{f}") for f in ANSWER_FIELDS}).withColumns(
+    staged = with_kinds(df, answer, ANSWER_FIELDS).withColumns(
         {
-            "_root": kind_of(v, "$"),
             "_label": F.try_variant_get(v, "$.label", "string"),
             "_id": F.try_variant_get(v, "$.label_id", "double"),
             "_conf": F.try_variant_get(v, "$.confidence", "double"),
@@ -121,11 +141,9 @@ def with_answer_errors(df: DataFrame, answer: str = "answer", allow_qa: bool = T
         )
     )
     errors = F.when(
-        ~F.coalesce(F.col("_root").isin("object", "array"), F.lit(False)), F.array(F.lit("not_an_object"))
+        ~F.coalesce(F.col("_k_").isin("object", "array"), F.lit(False)), F.array(F.lit("not_an_object"))
     ).otherwise(F.array_compact(F.array(*checks)))
-    return staged.withColumn("errors", errors).drop(
-        "_root", "_label", "_id", "_conf", *[f"_k_{f}" for f in ANSWER_FIELDS]
-    )
+    return drop_kinds(staged.withColumn("errors", errors)).drop("_label", "_id", "_conf")
 
 
 def with_generated_posts(df: DataFrame, answer: str = "answer") -> DataFrame:

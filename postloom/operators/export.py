@@ -14,6 +14,10 @@ TRAINING_COLUMNS = (
     "source_file", "source_record_index", "created_at", "pubkey", "confidence", "rationale",
     "is_uncertain", "pass", "verified", "synthetic",
 )
+RECORD_FIELDS = (
+    "content", "label", "event_id", "source", "created_at", "pubkey", "confidence", "rationale",
+    "is_uncertain", "pass", "verified", "synthetic",
+)
 SYNTHETIC_PREFIX = "synthetic:"
 
 
@@ -75,22 +79,33 @@ def normalize_records(records: DataFrame, dim: DataFrame) -> DataFrame:
     folded here.
     """
     v = F.col("record")
-    fields = records.withColumns(
-        {
-            "_kind": A.kind_of(v, "$"),
-            "content": T.strip_spaces(F.coalesce(A.string_field(v, "$.content"), F.lit(""))),
-            "label": T.strip_spaces(F.coalesce(A.string_field(v, "$.label"), F.lit(""))),
-            "_id": T.strip_spaces(F.coalesce(A.string_field(v, "$.event_id"), F.lit(""))),
-            "_source": A.string_field(v, "$.source"),
-            "created_at": A.coerce_number(v, "$.created_at"),
-            "pubkey": A.string_field(v, "$.pubkey"),
-            "confidence": A.coerce_number(v, "$.confidence"),
-            "rationale": A.string_field(v, "$.rationale"),
-            "is_uncertain": A.true_field(v, "$.is_uncertain"),
-            "pass": A.coerce_number(v, "$.pass"),
-            "verified": A.true_field(v, "$.verified"),
-            "synthetic": A.true_field(v, "$.synthetic") | (F.col("source_type") == "synthetic"),
-        }
+
+    def text(name: str) -> Column:
+        return A.string_field(v, f"$.{name}", F.col(f"_k_{name}"))
+
+    def number(name: str) -> Column:
+        return A.coerce_number(v, f"$.{name}", F.col(f"_k_{name}"))
+
+    def flag(name: str) -> Column:
+        return A.true_field(v, f"$.{name}", F.col(f"_k_{name}"))
+
+    def trimmed(name: str) -> Column:
+        return T.strip_spaces(F.coalesce(text(name), F.lit("")))
+
+    kinds = A.with_kinds(records, "record", RECORD_FIELDS).withColumnRenamed("_k_", "_kind")
+    fields = A.drop_kinds(
+        kinds.withColumns(
+            {name: text(name) for name in ("pubkey", "rationale")}
+            | {name: number(name) for name in ("created_at", "confidence", "pass")}
+            | {name: flag(name) for name in ("is_uncertain", "verified")}
+            | {
+                "content": trimmed("content"),
+                "label": trimmed("label"),
+                "_id": trimmed("event_id"),
+                "_source": text("source"),
+                "synthetic": flag("synthetic") | (F.col("source_type") == "synthetic"),
+            }
+        )
     )
     known = fields.join(dim.select("label", "label_id"), "label", "left")
     fallback = F.col("fallback_model")
