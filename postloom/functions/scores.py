@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def shifted_exp(logits: Column) -> Column:
-    """``exp(x - max)`` per element, in double precision."""
-    top = F.array_max(logits).cast("double")
-    return F.transform(logits, lambda x: F.exp(x.cast("double") - top))
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``, also inside per-element lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def normalize_weights(weights: Column) -> Column:
-    """Divide by the sum; an empty array stays empty."""
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(weights, lambda x: x / total)
+def softmax(logits: Column) -> Column:
+    """Max-shifted softmax in double precision. Null or empty logits give an empty array."""
 
+    def normalized(weights: Column) -> Column:
+        total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
+        return _bind(total, lambda s: F.transform(weights, lambda x: x / s))
 
-def softmax(logits: Column) -> Column:
-    """Max-shifted softmax. Null or empty logits give an empty array."""
-    weights = shifted_exp(F.coalesce(logits, F.array().cast("array<double>")))
-    return normalize_weights(weights)
+    def shifted(top: Column) -> Column:
+        return _bind(F.transform(logits, lambda x: F.exp(x.cast("double") - top)), normalized)
+
+    return F.when(F.size(logits) > 0, _bind(F.array_max(logits).cast("double"), shifted)).otherwise(
+        F.array().cast("array<double>")
+    )
 
 
 def argmax(values: Column) -> Column:
