@@ -10,7 +10,7 @@ from checks import views as V
 from checks.registry import query
 from postloom.operators import labels, resume
 from postloom.plans import training
-from postloom.session import scratch_path
+from postloom.session import materialize, scratch_path
 from postloom.sources import jsonl, snapshots
 from postloom.streaming import labeling as stream
 
@@ -72,13 +72,13 @@ def raw_replay_stream(spark, sf_dir):
       'model-' || pubkey AS fallback_model FROM chats""",
 )
 def scan_snapshot_items(spark, sf_dir):
-    # One document per conversation: {"model": ..., "items": [...]} in a file of its own.
+    # One document per conversation and line: {"model": ..., "items": [...]}.
     path = scratch_path(spark, "documents")
     items = F.array_sort(F.collect_list(F.struct("turn", "event_id", "content")))
     docs = V.chats(spark, sf_dir).groupBy("pubkey").agg(items.alias("items"))
     body = F.to_json(F.struct(F.concat(F.lit("model-"), "pubkey").alias("model"), "items"))
-    docs.select("pubkey", body.alias("value")).write.partitionBy("pubkey").text(path)
-    rows = snapshots.scan_snapshot_records(spark, path)
+    docs.select(body.alias("value")).write.text(path)
+    rows = snapshots.scan_snapshot_records(spark, path, document_per_line=True)
     return rows.select(
         F.try_variant_get("record", "$.event_id", "string").alias("event_id"),
         F.col("source_record_index").cast("long").alias("source_record_index"),
@@ -146,20 +146,20 @@ def export_files(spark, sf_dir):
     """Whole export from files: a real snapshot and log, a synthetic log and no synthetic snapshot."""
     root = scratch_path(spark, "export")
     rows = V.chats(spark, sf_dir).select(
-        "event_id", "content", "created_at", "role",
+        "event_id", "pubkey", "content", "created_at", "role",
         F.when(F.col("role") == "user", F.lit("愛")).otherwise(F.lit("猫")).alias("label"),
     )
     item = F.struct("event_id", "content", "created_at", "label")
     users = rows.filter(F.col("role") == "user")
-    doc = users.agg(F.lit("doc-model").alias("model"), F.collect_list(item).alias("items"))
-    doc.write.json(f"{root}/in/real-labels.json")
+    docs = users.groupBy("pubkey").agg(F.lit("doc-model").alias("model"), F.collect_list(item).alias("items"))
+    docs.drop("pubkey").write.json(f"{root}/in/real-labels.json")
     log = rows.filter(F.col("role") != "user").withColumnRenamed("role", "source").withColumn("ok", F.lit(True))
     jsonl.append_log(log, f"{root}/in/real-log")
     failed = rows.select("event_id", F.lit(False).alias("ok"), F.lit("x").alias("reason"))
     jsonl.append_log(failed, f"{root}/in/real-log")
     made = rows.select(F.concat(F.lit("s"), "event_id").alias("event_id"), "content", "created_at", F.lit("犬").alias("label"))
     jsonl.append_log(made.withColumn("ok", F.lit(True)), f"{root}/in/synthetic-log")
-    training.export_training_set(spark, f"{root}/in", f"{root}/out", labels.label_dim(spark))
+    training.export_training_set(spark, f"{root}/in", f"{root}/out", labels.label_dim(spark), document_per_line=True)
     schema = "event_id STRING, label STRING, created_at DOUBLE, source_model STRING"
     return jsonl.scan_jsonl(spark, f"{root}/out/dataset", schema)
 
@@ -178,11 +178,11 @@ def stream_dedup(spark, sf_dir):
 
 STREAM_COLUMNS = ("event_id", "pubkey", "created_at", "content", "seq")
 STREAM_SCHEMA = "event_id STRING, pubkey STRING, created_at BIGINT, content STRING, seq BIGINT"
-SLICES = 4
+SLICES, FILES_PER_SLICE = 4, 8
 
 
 def write_slices(spark, sf_dir, root: str) -> None:
-    """Japanese-like posts and chats in four files, written one after another in arrival order.
+    """Japanese-like posts and chats in four groups of files, written in arrival order.
 
     Each post comes twice: the second copy arrives one slice later.
     """
@@ -191,9 +191,11 @@ def write_slices(spark, sf_dir, root: str) -> None:
         {"event_id": F.concat(F.lit("c"), "event_id"), "half": F.lit(0)}
     )
     both = posts.unionByName(chats).withColumn("slice", F.pmod("seq", F.lit(SLICES - 1)))
-    rows = both.unionByName(both.withColumn("slice", F.col("slice") + 1)).drop("half")
+    posted = materialize(both.drop("half"), "posted")
+    rows = posted.unionByName(posted.withColumn("slice", F.col("slice") + 1))
     for i in range(SLICES):
-        rows.filter(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        one = rows.filter(F.col("slice") == i).drop("slice").repartition(FILES_PER_SLICE)
+        one.write.mode("append").parquet(f"{root}/in")
 
 
 STREAM_SQL = dict(
@@ -207,7 +209,9 @@ STREAM_SQL = dict(
 
 
 def stream_source(spark, root: str):
-    return spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    return spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", FILES_PER_SLICE).parquet(
+        f"{root}/in"
+    )
 
 
 def run_stream(spark, sf_dir, **options):

@@ -137,8 +137,7 @@ def validate_answers(spark, sf_dir):
 )
 def answers_to_labeled(spark, sf_dir):
     parsed = V.answers(spark, sf_dir).withColumn("answer", A.parse_json_text(F.col("answer_text")))
-    valid = A.with_answer_errors(parsed).filter(F.size("errors") == 0)
-    return labeling.answers_to_labeled(valid, "stub")
+    return labeling.answers_to_labeled(A.valid_answers(parsed), "stub")
 
 
 ATTEMPT_LOG = """SELECT event_id, k AS attempt, CASE (event_id + k) % 6 WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 503

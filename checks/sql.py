@@ -82,7 +82,7 @@ def gate(source: str, min_length: int = 5) -> str:
       FROM (
         SELECT *, CASE WHEN length < {min_length} THEN 'too_short'
           WHEN NOT (kana_ratio >= 0.12 OR cjk_ratio >= 0.35) THEN 'not_japanese'
-          WHEN kana_ratio = 0 AND detected IN ('cmn', 'kor') THEN 'franc_non_jp' END AS exclude_reason
+          WHEN kana_ratio = 0 AND detected = 'cmn' THEN 'franc_non_jp' END AS exclude_reason
         FROM (
           SELECT *, CASE WHEN length > 0 THEN kana / length::DOUBLE ELSE 0 END AS kana_ratio,
             CASE WHEN length > 0 THEN (kana + kanji) / length::DOUBLE ELSE 0 END AS cjk_ratio,
@@ -91,7 +91,6 @@ def gate(source: str, min_length: int = 5) -> str:
               WHEN {count_chars('solid', KANA)} > 0 AND
                 ({count_chars('solid', KANA)} + {count_chars('solid', KANJI)}) * 2 >= length(solid) THEN 'jpn'
               WHEN {count_chars('solid', KANA)} = 0 AND {count_chars('solid', KANJI)} * 3 >= length(solid) THEN 'cmn'
-              WHEN {count_chars('solid', chr(92) + 'x{AC00}-' + chr(92) + 'x{D7A3}')} * 2 >= length(solid) THEN 'kor'
               ELSE 'oth' END AS detected
           FROM (
             SELECT *, {u16(c)} AS length, {count_chars(c, KANA)} AS kana, {count_chars(c, KANJI)} AS kanji,

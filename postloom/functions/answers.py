@@ -11,7 +11,7 @@ from postloom.functions import text as T
 from postloom.operators.labels import QA_LABEL_ID, is_valid_label, label_id_of
 
 # --- fixed values: number spelling, required answer fields in order -------------------------
-NUMBER_TEXT = rf"^[{T.SPACE_CHARS}]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[{T.SPACE_CHARS}]*$"
+NUMBER_TEXT = rf"^[{T.SPACE}]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[{T.SPACE}]*$"
 ANSWER_FIELDS = ("label", "label_id", "confidence", "rationale", "is_uncertain")
 # -------------------------------------------------------------------------------------------
 
@@ -167,3 +167,14 @@ def with_generated_posts(df: DataFrame, answer: str = "answer") -> DataFrame:
         "error",
         F.when(~F.col("_listed"), F.lit("invalid_posts")).when(F.size("posts") == 0, F.lit("empty_posts")),
     ).drop("_listed")
+
+
+def valid_answers(df: DataFrame, answer: str = "answer", allow_qa: bool = True) -> DataFrame:
+    """Rows whose answer has no error.
+
+    The condition is a generator rather than a filter: a filter would be pushed below the staged
+    projections and repeat every lookup in them for each place that uses it.
+    """
+    checked = with_answer_errors(df, answer, allow_qa)
+    passed = F.when(F.size("errors") == 0, F.array(F.lit(True)))
+    return checked.withColumn("_valid", F.explode(passed)).drop("_valid", "errors")

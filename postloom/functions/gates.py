@@ -30,24 +30,30 @@ DETECTOR_MIN_LENGTH = 10
 
 
 def script_detector(content: Column) -> Column:
-    """Default language code from scripts alone: ``und``, ``jpn``, ``cmn``, ``kor`` or ``oth``.
+    """Default language code from scripts alone: ``und``, ``jpn``, ``cmn`` or ``oth``.
 
     A text with fewer than ten non-space characters stays undetermined. Pass another
     ``Column -> Column`` function (a pandas UDF, say) to :func:`with_language_gate` to replace it.
+    The counts are taken once per text and the rule reads them from a bound struct.
     """
-    solid = F.regexp_replace(F.coalesce(content, F.lit("")), f"[{T.SPACE_CHARS}]+", "")
-    kana = T.count_chars(solid, T.KANA_CHARS)
-    han = T.count_chars(solid, T.KANJI_CHARS)
-    hangul = T.count_chars(solid, r"\uAC00-\uD7A3")
-    size = F.length(solid)
-    return (
-        F.when(size < DETECTOR_MIN_LENGTH, F.lit("und"))
-        .when((kana > 0) & ((kana + han) * 2 >= size), F.lit("jpn"))
-        .when((kana == 0) & (han * 3 >= size), F.lit("cmn"))
-        .when(hangul * 2 >= size, F.lit("kor"))
-        .otherwise(F.lit("oth"))
+    text = F.coalesce(content, F.lit(""))
+    spaces = F.length(F.regexp_replace(text, f"[{T.NOT_SPACE}]+", ""))
+    counts = F.struct(
+        (F.length(text) - spaces).alias("size"),
+        T.count_chars(text, T.KANA_RANGES).alias("kana"),
+        T.count_chars(text, T.KANJI_RANGES).alias("han"),
     )
 
+    def verdict(c: Column) -> Column:
+        return (
+            F.when(c["size"] < DETECTOR_MIN_LENGTH, F.lit("und"))
+            .when((c["kana"] > 0) & ((c["kana"] + c["han"]) * 2 >= c["size"]), F.lit("jpn"))
+            .when((c["kana"] == 0) & (c["han"] * 3 >= c["size"]), F.lit("cmn"))
+            .otherwise(F.lit("oth"))
+        )
+
+    return F.element_at(F.transform(F.array(counts), verdict), 1)
+
 
 def with_char_ratios(df: DataFrame, content: str = "content") -> DataFrame:
     """Add ``clean``, ``length``, ``kana_ratio``, ``cjk_ratio`` and ``latin_ratio``."""
@@ -55,9 +61,9 @@ def with_char_ratios(df: DataFrame, content: str = "content") -> DataFrame:
     staged = staged.withColumns(
         {
             "length": T.utf16_length(F.col("clean")),
-            "_kana": T.count_chars(F.col("clean"), T.KANA_CHARS),
-            "_kanji": T.count_chars(F.col("clean"), T.KANJI_CHARS),
-            "_latin": T.count_chars(F.lower("clean"), "a-z"),
+            "_kana": T.count_chars(F.col("clean"), T.KANA_RANGES),
+            "_kanji": T.count_chars(F.col("clean"), T.KANJI_RANGES),
+            "_latin": T.count_chars(F.lower("clean"), T.LATIN_RANGES),
         }
     )
 

@@ -6,38 +6,68 @@ class, ASCII word boundaries and UTF-16 lengths.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values: patterns and character ranges -------------------------------------------
-SPACE_CHARS = r"\t\n\u000B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-NOT_AFTER_WORD = r"(?<![0-9A-Za-z_])"
-NOT_BEFORE_WORD = r"(?![0-9A-Za-z_])"
-URL_PATTERN = rf"https?://[^{SPACE_CHARS}]+"
-LINK_PATTERN = rf"(?i){NOT_AFTER_WORD}nostr:[^{SPACE_CHARS}]+"
-MENTION_PATTERN = rf"(?i){NOT_AFTER_WORD}npub1[a-z0-9]+"
-HASHTAG_PATTERN = rf"[#＃][^#＃{SPACE_CHARS}]+"
-PROMO_PATTERN = (
-    "(?i)アフィリエイト|期間限定|今すぐ|クリック|登録はこちら|無料登録|稼げる|副業で|"
-    rf"{NOT_AFTER_WORD}PR{NOT_BEFORE_WORD}|\[PR\]|【PR】"
+# --- fixed values: character ranges (inclusive code points), words and literals ------------
+SPACE_RANGES = (
+    (0x09, 0x0D), (0x20, 0x20), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029),
+    (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF),
+)
+KANA_RANGES = ((0x3040, 0x30FF), (0xFF66, 0xFF9F))
+KANJI_RANGES = ((0x4E00, 0x9FAF),)
+LATIN_RANGES = ((0x61, 0x7A),)
+KEPT_RANGES = (
+    (0x30, 0x39), (0x61, 0x7A), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xFF66, 0xFF9F),
+)
+PROMO_WORDS = (
+    "アフィリエイト", "期間限定", "今すぐ", "クリック", "登録はこちら", "無料登録", "稼げる", "副業で",
 )
-KANA_CHARS = r"\u3040-\u309F\u30A0-\u30FF\uFF66-\uFF9F"
-KANJI_CHARS = r"\u4E00-\u9FAF"
-KEPT_CHARS = r"0-9a-z\u3040-\u30FF\u3400-\u9FFF\uFF66-\uFF9F"
+PROMO_MARK = "(?i)PR(?<![0-9A-Za-z_]PR)(?![0-9A-Za-z_])"  # also inside [PR] and 【PR】
 # -------------------------------------------------------------------------------------------
 
-_SPACES = f"[{SPACE_CHARS}]+"
-_EDGE_SPACES = f"^[{SPACE_CHARS}]+|[{SPACE_CHARS}]+$"
+LAST_CODE_POINT = 0x10FFFF
+
+
+def char_class(ranges: Sequence[tuple[int, int]]) -> str:
+    """Body of a regex class for code point ranges."""
+    return "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges)
+
+
+def other_chars(ranges: Sequence[tuple[int, int]]) -> str:
+    """Body of the class of all other characters, spelled as ranges.
+
+    Java evaluates a plain class of several ranges about five times faster than ``[^...]``.
+    """
+    gaps, start = [], 0
+    for lo, hi in sorted(ranges):
+        if lo > start:
+            gaps.append((start, lo - 1))
+        start = hi + 1
+    return char_class([*gaps, (start, LAST_CODE_POINT)])
+
+
+SPACE, NOT_SPACE = char_class(SPACE_RANGES), other_chars(SPACE_RANGES)
+SPACE_TEXT = "".join(chr(c) for lo, hi in SPACE_RANGES for c in range(lo, hi + 1))
+URL_PATTERN = f"https?://[{NOT_SPACE}]+"
+# The word boundary is looked up behind the literal, so it is tested only where that occurs.
+LINK_PATTERN = f"(?i)nostr:(?<![0-9A-Za-z_]nostr:)[{NOT_SPACE}]+"
+MENTION_PATTERN = "(?i)npub1(?<![0-9A-Za-z_]npub1)[a-z0-9]+"
+HASHTAG_PATTERN = f"[#＃][{other_chars((*SPACE_RANGES, (0x23, 0x23), (0xFF03, 0xFF03)))}]+"
 
 
 def strip_spaces(col: Column) -> Column:
     """Trim the full whitespace class on both ends."""
-    return F.regexp_replace(col, _EDGE_SPACES, "")
+    return F.trim(col, F.lit(SPACE_TEXT))
 
 
 def collapse_spaces(col: Column) -> Column:
     """Every whitespace run becomes one blank; both ends trimmed."""
-    return F.trim(F.regexp_replace(col, _SPACES, " "))
+    return F.trim(F.regexp_replace(col, f"[{SPACE}]+", " "))
 
 
 def utf16_length(col: Column) -> Column:
@@ -47,7 +77,7 @@ def utf16_length(col: Column) -> Column:
 
 def is_blank(col: Column) -> Column:
     """Null, empty or whitespace only."""
-    return F.coalesce(~F.rlike(col, F.lit(f"[^{SPACE_CHARS}]")), F.lit(True))
+    return F.coalesce(strip_spaces(col) == "", F.lit(True))
 
 
 def clean_text(col: Column) -> Column:
@@ -65,7 +95,7 @@ def is_mention_only(col: Column) -> Column:
 
 def normalize_cleaned(cleaned: Column) -> Column:
     """Normal form of an already cleaned text."""
-    return F.trim(F.regexp_replace(F.lower(cleaned), f"[^{KEPT_CHARS}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(cleaned), f"[{other_chars(KEPT_RANGES)}]+", " "))
 
 
 def normalize_content(col: Column) -> Column:
@@ -83,9 +113,9 @@ def normalize_for_classifier(col: Column) -> Column:
     return collapse_spaces(clean_text(col))
 
 
-def count_chars(col: Column, char_class: str) -> Column:
-    """Number of characters of ``col`` in a (BMP) class; drops whole runs of other text."""
-    return F.length(F.regexp_replace(col, f"[^{char_class}]+", ""))
+def count_chars(col: Column, ranges: Sequence[tuple[int, int]]) -> Column:
+    """Number of characters of ``col`` in the ranges; drops whole runs of other text."""
+    return F.length(F.regexp_replace(col, f"[{other_chars(ranges)}]+", ""))
 
 
 def url_count(col: Column) -> Column:
@@ -97,7 +127,8 @@ def hashtag_count(col: Column) -> Column:
 
 
 def has_promo_words(col: Column) -> Column:
-    return F.coalesce(F.rlike(col, F.lit(PROMO_PATTERN)), F.lit(False))
+    found = reduce(or_, [F.contains(col, F.lit(word)) for word in PROMO_WORDS])
+    return F.coalesce(found | F.rlike(col, F.lit(PROMO_MARK)), F.lit(False))
 
 
 def normalize_label(col: Column) -> Column:

@@ -16,9 +16,15 @@ from postloom.session import materialize
 SAMPLE_COLUMNS = ("event_id", "pubkey", "created_at", "content", "relay", "review_status")
 
 
+CLASSIFIED_COLUMNS = (
+    "content_hash", "event_id", "pubkey", "created_at", "content", "relay", "dup_count",
+    "author_count", "first_seq", "detected", "is_japanese", "spam_reasons", "status", "reasons",
+)
+
+
 def classify_posts_status(posts: DataFrame) -> DataFrame:
-    """Clusters of raw posts with their gate columns and three-way status."""
-    return G.with_status(near_dup_clusters(posts))
+    """Clusters of raw posts with their gate verdicts and three-way status."""
+    return G.with_status(near_dup_clusters(posts)).select(*CLASSIFIED_COLUMNS)
 
 
 def language_tally(classified: DataFrame) -> DataFrame:

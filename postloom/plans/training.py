@@ -68,14 +68,18 @@ def manifest(built: TrainingSet, real: DataFrame, synthetic: DataFrame, dim: Dat
     return out.drop("_one")
 
 
-def export_training_set(spark: SparkSession, data_dir: str, out_dir: str, dim: DataFrame) -> TrainingSet:
+def export_training_set(
+    spark: SparkSession, data_dir: str, out_dir: str, dim: DataFrame, document_per_line: bool = False
+) -> TrainingSet:
     """Read both sides below ``data_dir``, merge, and write dataset, summary and manifest.
 
     Layout: ``{real,synthetic}-labels.json`` snapshots and ``{real,synthetic}-log`` line logs.
     The dataset is range-sorted, so its part files in name order are the export order.
     """
     real, synthetic = (
-        source_records(spark, f"{data_dir}/{kind}-labels.json", f"{data_dir}/{kind}-log")
+        source_records(
+            spark, f"{data_dir}/{kind}-labels.json", f"{data_dir}/{kind}-log", document_per_line
+        )
         for kind in ("real", "synthetic")
     )
     built = build_training_set(real, synthetic, dim)

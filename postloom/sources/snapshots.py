@@ -13,56 +13,47 @@ from postloom.operators.labels import label_dim
 from postloom.sources.jsonl import _read_lines, scan_jsonl_records
 
 
-def scan_snapshot_records(spark: SparkSession, path: str, array: str = "items") -> DataFrame:
+def scan_snapshot_records(
+    spark: SparkSession, path: str, array: str = "items", document_per_line: bool = False
+) -> DataFrame:
     """Entries of the ``array`` field of JSON documents, with position and the document's model.
 
     Columns ``record`` (VARIANT), ``source_record_index``, ``fallback_model`` and ``source_file``.
-    A missing or corrupt document gives no rows. Documents are read in parallel, one per task;
-    large collections belong in line logs or snapshot tables instead.
+    A missing or corrupt document gives no rows. A document is one file, read by one task, or one
+    line with ``document_per_line``, which lets many documents share splittable files.
     """
-    docs = (
-        _read_lines(spark, path, whole=True)
-        .select(
-            F.try_parse_json(F.col("value")).alias("doc"), F.col("_metadata.file_name").alias("source_file")
-        )
-        if _exists(spark, path)
-        else spark.createDataFrame([], "value STRING").select(
-            F.try_parse_json(F.col("value")).alias("doc"), F.lit("").alias("source_file")
-        )
-    )
+    texts = _read_lines(spark, path, whole=not document_per_line)
+    docs = texts.select(F.try_parse_json(F.col("value")).alias("doc"))
     listed = docs.filter(A.kind_of(F.col("doc"), f"$.{array}") == "array")
     return listed.select(
         F.posexplode(F.try_variant_get("doc", f"$.{array}", "array<variant>")).alias(
             "source_record_index", "record"
         ),
         A.string_field(F.col("doc"), "$.model").alias("fallback_model"),
-        "source_file",
+        F.lit(_base_name(path)).alias("source_file"),
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.text(path)
-        return True
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error.getCondition()):
-            return False
-        raise
+def _base_name(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1]
 
 
-def source_records(spark: SparkSession, snapshot_path: str, log_path: str) -> DataFrame:
+def source_records(
+    spark: SparkSession, snapshot_path: str, log_path: str, document_per_line: bool = False
+) -> DataFrame:
     """Source records of one side: snapshot items first, then successful log rows.
 
     Log rows take the snapshot's model as their fallback. Line positions in the log follow the
     file order within the partitioned log folder.
     """
-    snapshot = scan_snapshot_records(spark, snapshot_path).withColumn("file_rank", F.lit(0))
+    snapshot = scan_snapshot_records(spark, snapshot_path, document_per_line=document_per_line)
+    snapshot = snapshot.withColumn("file_rank", F.lit(0))
     model = snapshot.agg(F.max("fallback_model").alias("fallback_model")).withColumn("_one", F.lit(1))
     log = scan_jsonl_records(spark, log_path).filter(A.true_field(F.col("record"), "$.ok"))
     log = log.withColumns(
         {
             "source_record_index": F.monotonically_increasing_id(),
-            "source_file": F.lit(log_path.rstrip("/").rsplit("/", 1)[-1]),
+            "source_file": F.lit(_base_name(log_path)),
             "file_rank": F.lit(1),
             "_one": F.lit(1),
         }
