@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -23,6 +24,18 @@ OUTCOME_FIELDS = """
     attempts ARRAY<STRUCT<attempt: INT, status_code: INT, response_text: STRING>>, raw STRING
 """
 
+ATTEMPT_ARROW = pa.struct(
+    [("attempt", pa.int32()), ("status_code", pa.int32()), ("response_text", pa.string())]
+)
+OUTCOME_ARROW = pa.schema(
+    [
+        ("ok", pa.bool_()), ("label", pa.string()), ("label_id", pa.int32()), ("confidence", pa.float64()),
+        ("rationale", pa.string()), ("is_uncertain", pa.bool_()), ("pass", pa.int32()),
+        ("source", pa.string()), ("reason", pa.string()), ("attempts", pa.list_(ATTEMPT_ARROW)),
+        ("raw", pa.string()),
+    ]
+)
+
 
 class Reply(NamedTuple):
     """What a labeling callable returns: the answer text, or a transport error."""
@@ -75,6 +88,10 @@ def answer_errors(answer: Any, allow_qa: bool = True) -> list[str]:
 def _label_one(labeler: Labeler, prompt: str, max_retries: int, allow_qa: bool) -> dict[str, Any]:
     """Ask until an answer is valid; a transport error or unreadable answer ends it at once."""
     reason, reply = "unknown", Reply()
+
+    def tried() -> list[dict[str, Any]]:
+        return [{"attempt": a, "status_code": c, "response_text": x} for a, c, x in reply.attempts]
+
     for attempt in range(max_retries + 1):
         reply = labeler(prompt, attempt)
         if reply.error:
@@ -96,11 +113,11 @@ def _label_one(labeler: Labeler, prompt: str, max_retries: int, allow_qa: bool)
                 "rationale": answer["rationale"],
                 "is_uncertain": answer["is_uncertain"],
                 "reason": None,
-                "attempts": reply.attempts,
+                "attempts": tried(),
                 "raw": reply.text,
             }
         reason = "validation_failed: " + "; ".join(errors)
-    return {"ok": False, "reason": reason, "attempts": reply.attempts, "raw": ""}
+    return {"ok": False, "reason": reason, "attempts": tried(), "raw": ""}
 
 
 def label_with(
@@ -122,24 +139,23 @@ def label_with(
     asked = posts.withColumn("prompt", P.labeling_prompt(F.col("content")) if prompt is None else prompt)
     if max_parallel_calls:
         asked = asked.repartition(int(max_parallel_calls))
-    outcome = t.StructType.fromDDL(OUTCOME_FIELDS)
-    schema = t.StructType(asked.schema.fields + outcome.fields)
-    names = outcome.fieldNames()
+    schema = t.StructType(asked.schema.fields + t.StructType.fromDDL(OUTCOME_FIELDS).fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch["prompt"]:
-                row = _label_one(labeler, text, max_retries, allow_qa)
-                row["attempts"] = [
-                    {"attempt": a, "status_code": s, "response_text": r} for a, s, r in row["attempts"]
-                ]
-                found.append({**row, "pass": pass_number, "source": model})
-            extra = pd.DataFrame(found, columns=names, index=batch.index)
-            extra = extra.astype({"label_id": "Int32", "pass": "Int32"})
-            yield pd.concat([batch, extra], axis=1)
-
-    return asked.mapInPandas(run, schema)
+            prompts = batch.column(batch.schema.get_field_index("prompt")).to_pylist()
+            rows = [_label_one(labeler, text, max_retries, allow_qa) for text in prompts]
+            constants = {"pass": pass_number, "source": model}
+            added = [
+                pa.array([constants.get(f.name, row.get(f.name)) for row in rows], type=f.type)
+                for f in OUTCOME_ARROW
+            ]
+            # Input columns pass through as they are; only the outcome columns are built.
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *added], names=[*batch.schema.names, *OUTCOME_ARROW.names]
+            )
+
+    return asked.mapInArrow(run, schema)
 
 
 def logits_with(text: Column, backend_factory: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Column:
