@@ -9,6 +9,7 @@ from checks import stubs
 from checks import views as V
 from checks.registry import query
 from postloom.operators import labels, resume
+from postloom.operators.keyed import side_by_side
 from postloom.plans import training
 from postloom.session import materialize, scratch_path
 from postloom.sources import jsonl, snapshots
@@ -68,14 +69,14 @@ def raw_replay_stream(spark, sf_dir):
 
 @query(
     "scan_snapshot_items",
-    W("chats") + """SELECT event_id, row_number() OVER (PARTITION BY pubkey ORDER BY turn) - 1 AS source_record_index,
+    W("chats") + """SELECT event_id, row_number() OVER (PARTITION BY pubkey, turn // 50 ORDER BY turn) - 1 AS source_record_index,
       'model-' || pubkey AS fallback_model FROM chats""",
 )
 def scan_snapshot_items(spark, sf_dir):
-    # One document per conversation and line: {"model": ..., "items": [...]}.
+    # One document per line for every fifty turns of a conversation: {"model": ..., "items": [...]}.
     path = scratch_path(spark, "documents")
     items = F.array_sort(F.collect_list(F.struct("turn", "event_id", "content")))
-    docs = V.chats(spark, sf_dir).groupBy("pubkey").agg(items.alias("items"))
+    docs = V.chats(spark, sf_dir).groupBy("pubkey", F.floor(F.col("turn") / 50)).agg(items.alias("items"))
     body = F.to_json(F.struct(F.concat(F.lit("model-"), "pubkey").alias("model"), "items"))
     docs.select(body.alias("value")).write.text(path)
     rows = snapshots.scan_snapshot_records(spark, path, document_per_line=True)
@@ -126,13 +127,9 @@ def label_map_dim(spark, sf_dir):
     doc.write.json(path)
     loaded = snapshots.read_label_map(spark, path)
     usage = V.labeled(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
-    size = snapshots.num_labels(loaded).select("num_labels").withColumn("_one", F.lit(1))
-    return (
-        loaded.join(usage, "label", "left")
-        .withColumns({"rows": F.coalesce("rows", F.lit(0)), "_one": F.lit(1)})
-        .join(size, "_one")
-        .drop("_one")
-    )
+    size = snapshots.num_labels(loaded).select("num_labels")
+    used = loaded.join(usage, "label", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    return side_by_side(used, size)
 
 
 @query(
@@ -146,13 +143,14 @@ def export_files(spark, sf_dir):
     """Whole export from files: a real snapshot and log, a synthetic log and no synthetic snapshot."""
     root = scratch_path(spark, "export")
     rows = V.chats(spark, sf_dir).select(
-        "event_id", "pubkey", "content", "created_at", "role",
+        "event_id", "pubkey", "turn", "content", "created_at", "role",
         F.when(F.col("role") == "user", F.lit("愛")).otherwise(F.lit("猫")).alias("label"),
     )
     item = F.struct("event_id", "content", "created_at", "label")
     users = rows.filter(F.col("role") == "user")
-    docs = users.groupBy("pubkey").agg(F.lit("doc-model").alias("model"), F.collect_list(item).alias("items"))
-    docs.drop("pubkey").write.json(f"{root}/in/real-labels.json")
+    parts = users.groupBy("pubkey", F.floor(F.col("turn") / 50))
+    docs = parts.agg(F.lit("doc-model").alias("model"), F.collect_list(item).alias("items"))
+    docs.select("model", "items").write.json(f"{root}/in/real-labels.json")
     log = rows.filter(F.col("role") != "user").withColumnRenamed("role", "source").withColumn("ok", F.lit(True))
     jsonl.append_log(log, f"{root}/in/real-log")
     failed = rows.select("event_id", F.lit(False).alias("ok"), F.lit("x").alias("reason"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions import answers as A
 from postloom.functions import text as T
-from postloom.operators.keyed import last_per_key
+from postloom.operators.keyed import last_per_key, side_by_side
 
 TRAINING_COLUMNS = (
     "content", "label", "label_id", "source_type", "event_id", "source_model", "source",
@@ -165,10 +165,9 @@ def training_summary(normalized: DataFrame) -> DataFrame:
         F.count_if(F.col("source_type") == "synthetic").alias("synthetic_count"),
     )
     return (
-        inputs.withColumn("_one", F.lit(1))
-        .join(merged.withColumn("_one", F.lit(1)), "_one")
+        side_by_side(inputs, merged)
         .withColumn("duplicate_event_ids_overwritten", F.col("_valid") - F.col("total_count"))
-        .drop("_one", "_valid")
+        .drop("_valid")
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postloom.session import materialize
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row per key in ``order``.
@@ -52,6 +54,15 @@ def exclude_keys(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return df.join(seen.select(key).distinct(), key, "left_anti")
 
 
+def side_by_side(rows: DataFrame, *single: DataFrame) -> DataFrame:
+    """``rows`` widened by the columns of one-row tables, read as scalar subqueries."""
+    out, added = rows, []
+    for i, one in enumerate(single):
+        out = out.withColumn(f"_s{i}", one.select(F.struct(*one.columns)).scalar())
+        added += [F.col(f"_s{i}.{c}").alias(c) for c in one.columns]
+    return out.select(*rows.columns, *added)
+
+
 def hash_order_cut(
     df: DataFrame, group: str, key: str, take: Column, digits: int = 3
 ) -> DataFrame:
@@ -62,6 +73,9 @@ def hash_order_cut(
     summed map-side); a running sum over these counts names the one bucket that holds the cut,
     and only that bucket's rows are ranked. No group is ever sorted as a whole, and the caller
     can split with a plain comparison instead of shuffling its rows.
+
+    Both small results (one row per group) are written, so their joins with the large input are
+    broadcast by measured size, or sorted and merged if there are too many groups for that.
     """
     keyed = df.select(group, key).withColumn("_bucket", F.substring(key, 1, digits))
     counts = keyed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -77,7 +91,9 @@ def hash_order_cut(
             group, "_bucket", "n", "take", (F.col("take") - F.col("_end") + F.col("_n")).alias("_k")
         )
     )
+    located = materialize(located, "cut-buckets")
     ranked = keyed.join(located, [group, "_bucket"]).withColumn(
         "_rn", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(key))
     )
-    return ranked.filter("_rn = _k").select(group, "n", "take", F.col(key).alias("cut_key"))
+    cuts = ranked.filter("_rn = _k").select(group, "n", "take", F.col(key).alias("cut_key"))
+    return materialize(cuts, "cuts")

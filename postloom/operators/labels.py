@@ -82,7 +82,12 @@ def label_dim(spark: SparkSession, with_qa: bool = True) -> DataFrame:
     rows = [(i, char, text, False) for i, (char, text) in enumerate(LABELS)]
     if with_qa:
         rows.append((QA_LABEL_ID, QA_LABEL, QA_DEFINITION, True))
-    return spark.createDataFrame(rows, LABEL_SCHEMA)
+    # Built from literals, so Spark knows how small it is and broadcasts it in every lookup.
+    entries = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, LABEL_SCHEMA.fields, strict=True)])
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*entries)))
 
 
 def label_list_text() -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions import text as T
-from postloom.operators.keyed import cap_per_key, exclude_keys
+from postloom.operators.keyed import cap_per_key, exclude_keys, side_by_side
 
 RAW_AUTHOR_CAP = 25
 
@@ -107,14 +107,10 @@ def ingest_skips(
     admitted = fold_observations(timed, None, None, author_cap).agg(
         F.coalesce(F.sum("n_obs"), F.lit(0)).alias("_admitted")
     )
-    return (
-        totals.withColumn("_one", F.lit(1))
-        .join(admitted.withColumn("_one", F.lit(1)), "_one")
-        .select(
-            "skipped_empty",
-            "skipped_mention_only",
-            (F.col("_usable") - F.col("_admitted")).alias("skipped_author_cap"),
-        )
+    return side_by_side(totals, admitted).select(
+        "skipped_empty",
+        "skipped_mention_only",
+        (F.col("_usable") - F.col("_admitted")).alias("skipped_author_cap"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.functions import text as T
+from postloom.operators.keyed import side_by_side
 from postloom.operators.labels import QA_LABEL, checked_labels
 
 MIN_PER_LABEL = 50
@@ -53,16 +54,14 @@ def progress_report(
 ) -> DataFrame:
     """One row with totals, QA count, labels below target and the completion flag."""
     counts = label_counts_full(labeled, dim)
-    summary = completion(counts, minimum).withColumn("_one", F.lit(1))
+    parts = [completion(counts, minimum)]
     totals = labeled.agg(
         F.count(F.lit(1)).alias("total_labeled"),
         F.count_if(F.col("label") == QA_LABEL).alias("qa_count"),
-    ).withColumn("_one", F.lit(1))
-    report = totals.join(summary, "_one")
+    )
     if seen_failures is not None:
-        failed = seen_failures.agg(F.count(F.lit(1)).alias("failures")).withColumn("_one", F.lit(1))
-        report = report.join(failed, "_one")
-    return report.drop("_one").withColumn("min_per_label", F.lit(int(minimum)))
+        parts.append(seen_failures.agg(F.count(F.lit(1)).alias("failures")))
+    return side_by_side(totals, *parts).withColumn("min_per_label", F.lit(int(minimum)))
 
 
 def label_deficits(

@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from postloom.functions import text as T
 from postloom.operators.keyed import cap_per_key, hash_order_cut
+from postloom.session import materialize
 
 TARGET = 2000
 AUTHOR_CAP = 10
 
 
 def _picks(posts: DataFrame, target: int, author_cap: int) -> DataFrame:
-    """Narrow pick list ``event_id, tier, rn, pick_order_key`` for tiers 0 and 1.
+    """Narrow pick list ``event_id, tier, rn, author_ord`` for tiers 0 and 1.
 
     Round ``rn`` takes each author's ``rn``-th newest post, authors in order of first appearance
     within the tier. Tier 1 starts only once tier 0 is exhausted, at which point each author has
     used ``least(cap, n0)`` slots; so one sort by (tier, round, author) with a limit is exact.
+
+    The list is written, so joining it back to the full posts is a broadcast by measured size
+    (no shuffle of the texts), or a sort-merge join when the target is large.
     """
     narrow = posts.select("event_id", "pubkey", "created_at", "seq", "tier")
     ranked = cap_per_key(
@@ -31,7 +35,7 @@ def _picks(posts: DataFrame, target: int, author_cap: int) -> DataFrame:
     room = F.when(F.col("tier") == 0, F.lit(int(author_cap))).otherwise(
         F.lit(int(author_cap)) - F.least(F.lit(int(author_cap)), F.col("_n0"))
     )
-    return (
+    picks = (
         ranked.join(authors, "pubkey")
         .filter(F.col("rn") <= room)
         .select(
@@ -43,6 +47,7 @@ def _picks(posts: DataFrame, target: int, author_cap: int) -> DataFrame:
         .orderBy("tier", "rn", "author_ord")
         .limit(int(target))
     )
+    return materialize(picks, "picks")
 
 
 def round_robin_sample(posts: DataFrame, target: int = TARGET, author_cap: int = AUTHOR_CAP) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from postloom.functions import gates as G
 from postloom.operators.activity import author_stats, author_totals
 from postloom.operators.dedup import near_dup_clusters
+from postloom.operators.keyed import side_by_side
 from postloom.operators.sampling import AUTHOR_CAP, TARGET, sample_with_backfill
 from postloom.session import materialize
 
@@ -55,11 +56,7 @@ def curate_report(classified: DataFrame, samples: DataFrame) -> DataFrame:
         F.count_if(F.col("review_status") == "review").alias("review"),
         F.count_if("backfilled").alias("approved_backfilled"),
     )
-    parts = [funnel, sampled, author_totals(author_stats(samples)), language_tally(classified)]
-    report = parts[0].withColumn("_one", F.lit(1))
-    for part in parts[1:]:
-        report = report.join(part.withColumn("_one", F.lit(1)), "_one")
-    return report.drop("_one")
+    return side_by_side(funnel, sampled, author_totals(author_stats(samples)), language_tally(classified))
 
 
 @dataclass

@@ -15,6 +15,7 @@ from postloom.operators.export import (
     training_label_counts,
     training_summary,
 )
+from postloom.operators.keyed import side_by_side
 from postloom.operators.labels import LABEL_SET_VERSION
 from postloom.operators.sampling import coverage_subset
 from postloom.session import materialize
@@ -62,10 +63,7 @@ def manifest(built: TrainingSet, real: DataFrame, synthetic: DataFrame, dim: Dat
         "duplicate_event_ids_overwritten",
         "missing_event_ids_assigned",
     )
-    out = labels.withColumn("_one", F.lit(1))
-    for part in (seen(real, "real"), seen(synthetic, "synthetic"), counts):
-        out = out.join(part.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+    return side_by_side(labels, seen(real, "real"), seen(synthetic, "synthetic"), counts)
 
 
 def export_training_set(
@@ -108,19 +106,14 @@ def subset_meta(
     subset = coverage_subset(rows, num_labels, per_label, max_total, max_chars).agg(
         F.count(F.lit(1)).alias("count"), F.count_distinct("label_id").alias("labels_covered")
     )
-    return (
-        data.withColumn("_one", F.lit(1))
-        .join(subset.withColumn("_one", F.lit(1)), "_one")
-        .drop("_one")
-        .withColumns(
-            {
-                "labels_not_in_subset": F.col("labels_in_dataset") - F.col("labels_covered"),
-                "num_labels": F.lit(int(num_labels)),
-                "per_label": F.lit(int(per_label)),
-                "max_total": F.lit(int(max_total)),
-                "max_chars": F.lit(int(max_chars)),
-            }
-        )
+    return side_by_side(data, subset).withColumns(
+        {
+            "labels_not_in_subset": F.col("labels_in_dataset") - F.col("labels_covered"),
+            "num_labels": F.lit(int(num_labels)),
+            "per_label": F.lit(int(per_label)),
+            "max_total": F.lit(int(max_total)),
+            "max_chars": F.lit(int(max_chars)),
+        }
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions import answers as A
+from postloom.operators.keyed import side_by_side
 from postloom.operators.labels import label_dim
 from postloom.sources.jsonl import _read_lines, scan_jsonl_records
 
@@ -48,17 +49,16 @@ def source_records(
     """
     snapshot = scan_snapshot_records(spark, snapshot_path, document_per_line=document_per_line)
     snapshot = snapshot.withColumn("file_rank", F.lit(0))
-    model = snapshot.agg(F.max("fallback_model").alias("fallback_model")).withColumn("_one", F.lit(1))
+    model = snapshot.agg(F.max("fallback_model").alias("fallback_model"))
     log = scan_jsonl_records(spark, log_path).filter(A.true_field(F.col("record"), "$.ok"))
     log = log.withColumns(
         {
             "source_record_index": F.monotonically_increasing_id(),
             "source_file": F.lit(_base_name(log_path)),
             "file_rank": F.lit(1),
-            "_one": F.lit(1),
         }
     )
-    log = log.join(model, "_one").drop("_one")
+    log = side_by_side(log, model)
     return snapshot.withColumn("source_record_index", F.col("source_record_index").cast("long")).unionByName(log)
 
 

@@ -17,6 +17,7 @@ from postloom.operators.progress import MIN_PER_LABEL
 from postloom.operators.resume import last_ok
 
 GATE_METRICS = "gate"
+OLDER = -1
 
 
 def stream_dedup(stream: DataFrame, key: str = "event_id", seed: DataFrame | None = None) -> DataFrame:
@@ -82,6 +83,7 @@ class LabelStream:
     def run(self, stream: DataFrame) -> StreamResult:
         spark = stream.sparkSession
         outcomes_path, counts_path = f"{self.output_path}/outcomes", f"{self.output_path}/counts"
+        # Totals of finished batches under OLDER, and the latest batch, which may be replayed.
         by_batch = self._stored_counts(spark, counts_path)
         base = self._seed_counts()
         gate_metrics: dict[int, dict[str, int]] = {}
@@ -119,6 +121,10 @@ class LabelStream:
             outcomes = batch.sparkSession.read.parquet(folder)
             counts = outcomes.filter("ok").groupBy("label").agg(F.count(F.lit(1)).alias("count"))
             counts.coalesce(1).write.mode("overwrite").parquet(f"{counts_path}/batch_id={batch_id}")
+            for done in [b for b in by_batch if b not in (OLDER, batch_id)]:
+                for label, count in by_batch.pop(done).items():
+                    older = by_batch.setdefault(OLDER, {})
+                    older[label] = older.get(label, 0) + count
             by_batch[batch_id] = {r["label"]: r["count"] for r in counts.collect()}
             if self.on_batch:
                 self.on_batch(outcomes, batch_id)
@@ -157,14 +163,16 @@ class LabelStream:
     @staticmethod
     def _stored_counts(spark: SparkSession, path: str) -> dict[int, dict[str, int]]:
         try:
-            rows = spark.read.parquet(path).collect()
+            rows = spark.read.parquet(path)
         except AnalysisException as error:
             if "PATH_NOT_FOUND" in str(error.getCondition()):
                 return {}
             raise
+        last = rows.agg(F.max("batch_id")).first()[0]
+        slot = F.when(F.col("batch_id") == last, F.lit(last)).otherwise(F.lit(OLDER))
         stored: dict[int, dict[str, int]] = {}
-        for row in rows:
-            stored.setdefault(row["batch_id"], {})[row["label"]] = row["count"]
+        for row in rows.groupBy(slot.alias("slot"), "label").agg(F.sum("count").alias("count")).collect():
+            stored.setdefault(row["slot"], {})[row["label"]] = row["count"]
         return stored
 
     @staticmethod
