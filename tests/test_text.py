@@ -68,7 +68,7 @@ def test_language_gate(spark):
 
 def test_spam_reasons(spark):
     cases = [
-        ("https://a.b https://a.b https://a.b ふつう", ["too_many_urls"]),
+        ("https://a.b https://a.b https://a.b ふつうの文", ["too_many_urls"]),
         ("https://a.b https://a.b ふつうの文", []),
         ("#a #b #c #d #e ＃f ふつう", ["too_many_hashtags"]),
         ("abc", ["too_short_after_clean"]),
