@@ -3,39 +3,18 @@
 from __future__ import annotations
 
 import functools
-import importlib
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from checks import export_queries, file_queries, label_queries, model_queries, text_queries  # noqa: F401
 from checks.registry import ORACLES, QUERIES
-
-for _name in ("text_queries", "label_queries", "export_queries", "model_queries", "file_queries"):
-    if importlib.util.find_spec(f"checks.{_name}"):
-        importlib.import_module(f"checks.{_name}")
-
-_shipped: set[str] = set()
+from postloom import session
 
 
 def ship_packages(spark: SparkSession) -> None:
     """Send both packages to the Python workers once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="postloom-ship-"), "postloom_bundle.zip")
-    with zipfile.ZipFile(archive, "w") as bundle:
-        for package in ("postloom", "checks"):
-            for folder, _, files in os.walk(os.path.join(root, package)):
-                for file in files:
-                    if file.endswith(".py"):
-                        path = os.path.join(folder, file)
-                        bundle.write(path, os.path.relpath(path, root))
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
+    session.ship_packages(spark, "postloom", "checks")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,14 +33,39 @@ def build_session(app_name: str = "postloom", master: str | None = None, **extra
     return builder.getOrCreate()
 
 
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship_packages(spark: SparkSession, *packages: str) -> None:
+    """Send packages of this repository to the Python workers, once per application each."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    app = spark.sparkContext.applicationId
+    for package in packages or ("postloom",):
+        if (app, package) in _shipped:
+            continue
+        archive = os.path.join(tempfile.mkdtemp(prefix="postloom-ship-"), f"{package}_bundle.zip")
+        with zipfile.ZipFile(archive, "w") as bundle:
+            for folder, _, files in os.walk(os.path.join(root, package)):
+                for file in files:
+                    if file.endswith(".py"):
+                        path = os.path.join(folder, file)
+                        bundle.write(path, os.path.relpath(path, root))
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add((app, package))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused folder below the shared scratch folder.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only when it is unset, as in
-    local tests, a temporary folder is made and remembered for the session.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only when it is unset and the
+    session is local, as in tests, a temporary folder is made and remembered for the session.
+    Elsewhere executors would each write to their own disk, so a missing folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="postloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/postloom/{name}-{uuid.uuid4().hex}"
