@@ -5,11 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe
-from postloom.llm.rows import table
+from postloom.llm import bpe, language, licenses, secret_scan
+from postloom.llm.rows import fold, table
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold("doc_id", 4) == 2).alias("held_out"))
+    profiles = language.learn_profiles(docs.filter(~F.col("held_out") & F.col("lang").isNotNull()))
+    judged = language.identify(docs.select("doc_id", "text", "held_out"), profiles)
+    return judged.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+def _joined(labels) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    places, spans = F.col("license_places"), F.col("license_spans")
+    return found.select(
+        "doc_id",
+        F.col("license_words").alias("n_words"),
+        F.size(places).cast("long").alias("n_base"),
+        F.array_min(places["first_word"]).alias("first_word"),
+        F.array_max(places["first_word"]).alias("last_word"),
+        _joined(places["label"]).alias("base_labels"),
+        _joined(F.concat(places["label"], spans["label"])).alias("labels"),
+        F.coalesce(F.array_max(F.concat(spans["covered"], F.when(F.size(places) > 0, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")))), F.lit(0.0)).alias("score"),
+    )
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +49,20 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secret_spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+
+    def listed(of):
+        return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_byte_bpe": op8_byte_bpe}
+    return {f.__name__: f for f in (op4_language_id, op5_license_scan, op8_byte_bpe, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
