@@ -22,8 +22,8 @@ from postloom.llm.rows import add_python
 
 # Memo sizes of one worker: a full memo of pairs is emptied; a full memo of pieces becomes the older one, from
 # which pieces still in use are taken over. Results do not change.
-PIECES_KEPT = 350_000
-PAIRS_KEPT = 500_000
+PIECES_KEPT = 120_000
+PAIRS_KEPT = 200_000
 
 
 def read_ranks(path: str) -> bytes:
