@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, language, licenses, secret_scan
+from postloom.llm import bpe, language, licenses, quality, secret_scan
 from postloom.llm.rows import fold, table
 
 
@@ -49,6 +49,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.apply_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", *(F.col(f"q_{c}").alias(c) for c in counts), F.col("q_char_distance").alias("char_distance"), F.col("q_word_distance").alias("word_distance"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("secret_spans")
@@ -57,12 +63,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(of):
         return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans["kind"], lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(count, secret_scan.BASE_KINDS)
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_language_id, op5_license_scan, op8_byte_bpe, op10_secret_scan)}
+    return {f.__name__: f for f in (op4_language_id, op5_license_scan, op8_byte_bpe, op9_quality_rules, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
