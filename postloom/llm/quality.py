@@ -29,9 +29,8 @@ COMMON_WORDS = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué",
 }
 
-#: Classes of characters, each counted with one pass over the text.
-_LOWER = "abcdefghijklmnopqrstuvwxyz"
-_UPPER = _LOWER.upper()
+#: Classes of characters, beside blanks, a-z and all that is not listed.
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _DIGITS = "0123456789"
 _STOPS = ".,;:?'\"()-"
 _OTHER_ASCII = "!" + SYMBOLS + "+/=@[\\]^_`{}~"
@@ -88,10 +87,14 @@ def measure(df: DataFrame, text: str = "text", prefix: str = "q_") -> DataFrame:
     p = prefix
     whole = F.coalesce(F.col(text), F.lit(""))
     df = df.select(*(F.col(f"`{c}`") for c in df.columns if not c.startswith(p)))
-    df = _stage(df, whole.alias(f"{p}text"), F.filter(F.split(whole, f"[{BLANKS}]+"), lambda w: w != "").alias(f"{p}words"))
-    words, body = F.col(f"{p}words"), F.col(f"{p}text")
+    df = _stage(df, whole.alias(f"{p}text"))
+    body = F.col(f"{p}text")
+    # Characters are counted on what is left once the most frequent classes are gone.
+    df = _stage(df, F.array_remove(F.split(body, f"[{BLANKS}]+"), "").alias(f"{p}words"), F.regexp_replace(body, "[a-z]+", "").alias(f"{p}rest"))
+    df = _stage(df, F.translate(f"{p}rest", BLANKS, "").alias(f"{p}marks"))
+    words, rest, marks = F.col(f"{p}words"), F.col(f"{p}rest"), F.col(f"{p}marks")
     size = F.size(words)
-    lines = F.filter(F.split(body, "\n"), lambda line: F.ltrim(F.translate(line, BLANKS, "")) != "")
+    lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(f"[^{BLANKS}]"))
     windows = F.when(size >= 3, F.transform(F.sequence(F.lit(1), size - 2), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)))).otherwise(F.array().cast("array<bigint>"))
     names = list(dict.fromkeys(f(w) for ws in COMMON_WORDS.values() for w in ws.split() for f in (str, str.capitalize, str.upper)))
     hits = F.transform(F.filter(words, lambda w: w.isin(*names)), lambda w: F.pmod(F.xxhash64(F.lower(w)), F.lit(WORD_BINS)).cast("int"))
@@ -126,18 +129,18 @@ def measure(df: DataFrame, text: str = "text", prefix: str = "q_") -> DataFrame:
         F.lit(0),
         lambda total, n: total + n,
     )
-    classes = [_count(body, c) for c in (BLANKS, _LOWER, _UPPER, _DIGITS, _STOPS, _OTHER_ASCII)]
-    df = _stage(df, F.array(*classes).cast("array<bigint>").alias(f"{p}ascii"))
-    ascii_counts = F.col(f"{p}ascii")
-    rest = F.length(body) - F.aggregate(ascii_counts, F.lit(0).cast("bigint"), lambda total, n: total + n)
+    listed = [F.length(rest) - F.length(marks), F.length(body) - F.length(rest), *(_count(marks, c) for c in (_UPPER, _DIGITS, _STOPS, _OTHER_ASCII))]
+    df = _stage(df, F.array(*listed).cast("array<bigint>").alias(f"{p}listed"))
+    listed = F.col(f"{p}listed")
+    others = F.length(body) - F.aggregate(listed, F.lit(0).cast("bigint"), lambda total, n: total + n)
     out = df.select(
         *(F.col(f"`{c}`") for c in df.columns if not c.startswith(p)),
         size.cast("long").alias(f"{p}n_words"),
-        (F.length(body) - F.get(ascii_counts, F.lit(0))).alias(f"{p}word_chars"),
-        _count(body, SYMBOLS).cast("long").alias(f"{p}n_symbols"),
+        (F.length(body) - F.get(listed, F.lit(0))).alias(f"{p}word_chars"),
+        _count(marks, SYMBOLS).cast("long").alias(f"{p}n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias(f"{p}n_dup_lines"),
         repeat_words.cast("long").alias(f"{p}n_repeat_words"),
-        F.concat(ascii_counts, F.array(rest)).alias(f"{p}char_classes"),
+        F.concat(listed, F.array(others)).alias(f"{p}char_classes"),
         F.transform(
             ends, lambda x, k: F.struct(x["bin"].alias("bin"), (x["end"] - F.coalesce(F.get(ends, k - 1)["end"], F.lit(0))).cast("bigint").alias("n"))
         ).alias(f"{p}common"),
@@ -188,7 +191,7 @@ def char_distance(counts: Column, reference: Reference) -> Column:
 
 def word_distance(common: Column, n_words: Column, reference: Reference) -> Column:
     """Bins that the text lacks add their whole share of the reference."""
-    shares = F.array(*(F.lit(q) for q in reference.words[:-1]))
+    shares = F.split(F.lit(",".join(map(repr, reference.words[:-1]))), ",").cast("array<double>")
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("seen"), F.lit(0.0).alias("mine"))
 
     def add(state: Column, x: Column) -> Column:
