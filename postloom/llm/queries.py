@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, decontaminate, language, licenses, quality, secret_scan, urls
+from postloom.llm import bpe, decontaminate, language, licenses, quality, secret_scan, toxicity, urls
 from postloom.llm.rows import fold, table
 
 
@@ -38,6 +38,15 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out"))
+    model = toxicity.learn(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", "held_out", F.col("toxic_score").alias("score"), (F.col("toxic_score") >= toxicity.PREDICT_AT).cast("int").alias("predicted")
+    )
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold("doc_id", 4) == 2).alias("held_out"))
     profiles = language.learn_profiles(docs.filter(~F.col("held_out") & F.col("lang").isNotNull()))
@@ -97,7 +106,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op4_language_id, op5_license_scan, op8_byte_bpe, op9_quality_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_toxicity, op4_language_id, op5_license_scan, op8_byte_bpe, op9_quality_rules, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
