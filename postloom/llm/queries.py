@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, decontaminate, language, licenses, quality, secret_scan, toxicity, urls
+from postloom.llm import bpe, decontaminate, jaccard, language, licenses, quality, secret_scan, toxicity, urls
 from postloom.llm.rows import fold, table
 
 
@@ -73,6 +73,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similar_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -106,7 +111,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_toxicity, op4_language_id, op5_license_scan, op8_byte_bpe, op9_quality_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_toxicity, op4_language_id, op5_license_scan, op7_ngram_jaccard, op8_byte_bpe, op9_quality_rules, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
