@@ -150,3 +150,11 @@ def find_overlaps(
         F.coalesce("h.windows", F.array().cast("array<struct<at: int, wide: int>>")).alias("windows"),
         F.coalesce("h.items", F.array().cast("array<string>")).alias("items"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows in which a window of the benchmark stands; columns stay as they are."""
+    hit = find_overlaps(docs, benchmark, doc_id, text).filter("n_hit > 0").select(F.col("row_key").alias("hit_key")).distinct()
+    hit = materialize(hit, "contaminated")
+    keyed = docs.withColumn("__row_key", F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+    return keyed.join(hit, F.col("__row_key") == F.col("hit_key"), "left_anti").drop("__row_key")

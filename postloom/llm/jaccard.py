@@ -251,13 +251,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.filter(100 * common >= percent * (F.size("one") + F.size("two") - common)).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``row_key``, ``size`` (of its set) and ``component_id``.
-
-    Sets link when 100 * intersection >= ``percent`` * union; ``component_id`` is the smallest id that a row
-    reaches over links, its own included. Rows without words have size 0 and link with nothing; equal sets, so
-    repeated rows too, always link. Null ids are passed over in the minimum. Other columns are not read.
-    """
+def _rows_with_roots(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """Rows (doc_id, row_key, size, node, root): ``root`` is equal for sets that reach each other, null for empty sets."""
     rows = materialize(sketch(docs, doc_id, text, percent), "sketches")
     indexed = rows.filter("node IS NOT NULL").select(F.explode("entries").alias("entry"), "node")
     buckets = materialize(_buckets(indexed.repartition("entry").sortWithinPartitions("entry", "node")), "buckets")
@@ -295,6 +290,36 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found)), "groups")
         members = members.select("entry", "node", "rank")
     joined = rows.select("doc_id", "row_key", "size", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    joined = materialize(joined, "rows-with-roots")
+    return materialize(joined, "rows-with-roots")
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``row_key``, ``size`` (of its set) and ``component_id``.
+
+    Sets link when 100 * intersection >= ``percent`` * union; ``component_id`` is the smallest id that a row
+    reaches over links, its own included. Rows without words have size 0 and link with nothing; equal sets, so
+    repeated rows too, always link. Null ids are passed over in the minimum. Other columns are not read.
+    """
+    joined = _rows_with_roots(docs, doc_id, text, percent)
     smallest = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return joined.join(smallest, "root", "left").select("doc_id", "row_key", "size", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return joined.join(smallest, "root", "left").select("doc_id", "row_key", "size", own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest id, null ids last; of a row that repeats, one.
+
+    Rows without words belong to no group and all stay. Columns stay as they are.
+    """
+    joined = _rows_with_roots(docs, doc_id, text, percent).filter("root IS NOT NULL")
+    first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("first"))
+    dropped = joined.join(first, "root").filter("row_key <> first.row_key").select("row_key").distinct()
+    dropped = materialize(dropped.withColumnRenamed("row_key", "dropped_key"), "dropped-rows")
+    keyed = docs.withColumn("__row_key", F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+    kept = keyed.join(dropped, F.col("__row_key") == F.col("dropped_key"), "left_anti")
+    repeated = joined.groupBy("row_key").count().filter("count > 1").select(F.col("row_key").alias("repeated_key"))
+    repeated = materialize(repeated, "repeated-rows")
+    if not repeated.isEmpty():
+        again = F.col("__row_key") == F.col("repeated_key")
+        kept = kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["__row_key"]))
+    return kept.drop("__row_key")

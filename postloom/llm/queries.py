@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, decontaminate, jaccard, language, licenses, quality, secret_scan, toxicity, urls
+from postloom.llm import bpe, decontaminate, jaccard, katz, language, licenses, quality, secret_scan, toxicity, urls
 from postloom.llm.rows import fold, table
 
 
@@ -73,6 +73,20 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
+    model = katz.train(docs.filter(~F.col("held_out")))
+    return katz.score(docs, model).select(
+        "doc_id",
+        "held_out",
+        F.col("lm_tokens").alias("n_tokens"),
+        F.col("lm_known").alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.col("lm_base").alias("base_score"),
+        F.col("lm_score").alias("score"),
+    )
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.similar_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
@@ -111,7 +125,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_toxicity, op4_language_id, op5_license_scan, op7_ngram_jaccard, op8_byte_bpe, op9_quality_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_toxicity, op4_language_id, op5_license_scan, op6_katz_scores, op7_ngram_jaccard, op8_byte_bpe, op9_quality_rules, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
