@@ -184,7 +184,7 @@ def _distance(twice: Column) -> Column:
 
 
 def char_distance(counts: Column, reference: Reference) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, n: a + n)
+    total = F.greatest(F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, n: a + n), F.lit(1))
     parts = [_part(F.get(counts, F.lit(i)) / total, F.lit(q)) for i, q in enumerate(reference.chars)]
     return _distance(sum(parts[1:], parts[0]))
 
@@ -195,7 +195,7 @@ def word_distance(common: Column, n_words: Column, reference: Reference) -> Colu
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("seen"), F.lit(0.0).alias("mine"))
 
     def add(state: Column, x: Column) -> Column:
-        p, q = x["n"] / n_words, F.get(shares, x["bin"])
+        p, q = x["n"] / F.greatest(n_words, F.lit(1)), F.get(shares, x["bin"])
         return F.struct((state["sum"] + _part(p, q)).alias("sum"), (state["seen"] + q).alias("seen"), (state["mine"] + p).alias("mine"))
 
     other = F.lit(max(0.0, reference.words[-1]))
@@ -216,9 +216,9 @@ def judge(measured: DataFrame, references: list[Reference], prefix: str = "q_",
     n_words, chars = F.col(f"{p}n_words"), F.col(f"{p}char_classes")
     failed = (n_words < limits.min_words) | (100 * F.col(f"{p}n_repeat_words") > limits.max_repeat_percent * n_words)
     judged = (n_words >= limits.min_judged) & F.lit(bool(references))
-    events = F.aggregate(chars, F.lit(0).cast("bigint"), lambda a, n: a + n)
+    events = F.greatest(F.aggregate(chars, F.lit(0).cast("bigint"), lambda a, n: a + n), F.lit(1))
     char_limit = limits.max_char_distance + limits.char_slack / F.sqrt(events)
-    word_limit = limits.max_word_distance + limits.word_slack / F.sqrt(n_words)
+    word_limit = limits.max_word_distance + limits.word_slack / F.sqrt(F.greatest(n_words, F.lit(1)))
     each = F.array(
         *(
             F.struct(F.lit(k).alias("k"), char_distance(chars, r).alias("char"), word_distance(F.col(f"{p}common"), n_words, r).alias("word"))

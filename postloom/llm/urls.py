@@ -68,8 +68,8 @@ def _count(text: Column, characters: str) -> Column:
 
 def _entropy(text: Column) -> Column:
     """Shannon entropy of the characters of a text, in bits."""
-    size = F.length(text)
-    shares = F.transform(F.array_distinct(F.split(text, "")), lambda c: (size - F.length(F.replace(text, c, F.lit("")))) / size)
+    size = F.greatest(F.length(text), F.lit(1))
+    shares = F.transform(F.array_distinct(F.split(text, "")), lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / size)
     return F.aggregate(F.filter(shares, lambda p: p > 0), F.lit(0.0), lambda total, p: total - p * F.log2(p))
 
 
