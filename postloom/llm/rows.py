@@ -75,3 +75,14 @@ def flat_python(
 def fold(id_col: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def hash_sample(df: DataFrame, rows: int, size: int, *by: str) -> DataFrame:
+    """About ``size`` of the ``rows`` rows of ``df`` (all if there are no more), those of the smallest hashes of ``by``.
+
+    A row is chosen by comparing its own hash with a bound, so nothing is sorted or gathered; the number varies by
+    a few times the root of ``size``.
+    """
+    if rows <= size:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*by), F.lit(2**31)) < int(2**31 * size / rows))

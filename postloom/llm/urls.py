@@ -11,12 +11,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.llm.rows import hash_sample
 from postloom.session import materialize
 
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# The trees learn from at most this many labelled URLs, those of the smallest hashes.
+# The trees learn from about this many labelled URLs at most, those of the smallest hashes of their features.
 TRAIN_ROWS = 20_000
 TREES, DEPTH = 12, 4
 # Weight of the overall share in the share of a suffix.
@@ -101,7 +102,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", keep: Seque
     """Per row: the columns ``keep``, ``host``, ``path``, ``rule``, ``verdict`` and ``block_score`` (0 to 1).
 
     A rule's verdict stands. Other rows get that of boosted trees, which learn from the rows that rules
-    decide: suffix statistics count all of them, the trees fit at most ``TRAIN_ROWS``. Without labelled rows the
+    decide: suffix statistics count all of them, the trees fit about ``TRAIN_ROWS`` at most. Without labelled rows the
     verdict is ``allow``; with labelled rows of one kind only, that kind. Repeated rows are judged alike.
     """
     rows = apply_rules(split_url(pages.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, url]))), url), rules)
@@ -121,7 +122,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", keep: Seque
     suffixes = materialize(suffixes, "url-suffixes")
     known = rows.join(suffixes, "suffix", "left").na.fill({"f_suffix_share": share, "f_suffix_rows": 0.0})
     known = VectorAssembler(inputCols=list(FEATURES), outputCol="f_all").transform(known)
-    sample = known.filter(F.col("label").isNotNull()).orderBy(F.xxhash64(url)).limit(TRAIN_ROWS).select("f_all", "label")
+    sample = hash_sample(known.filter(F.col("label").isNotNull()), n, TRAIN_ROWS, *FEATURES).select("f_all", "label")
     sample = materialize(sample, "url-sample")
     kinds = sample.select("label").distinct().count()
     if kinds < 2:
