@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks import export_queries, file_queries, label_queries, model_queries, text_queries  # noqa: F401
+from checks import evaluation_queries, export_queries, file_queries, label_queries, model_queries, text_queries  # noqa: F401
 from checks.registry import ORACLES, QUERIES
 from postloom import session
 
