@@ -10,18 +10,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.operators.labels import LABEL_CHARS, LABELS, QA_DEFINITION, QA_LABEL, label_dim
-from postloom.session import spread
 
 KANA26 = "あいうえおかきくけこさしすせそたちつてとなにぬねのは"
 HAN26 = "一二三四五六七八九十百千万上下左右中大小月日年早木林"
 LATIN26 = "abcdefghijklmnopqrstuvwxyz"
 ALL_LABELS = (*LABEL_CHARS, QA_LABEL)
+#: Partitions to deal each table into; by default a table keeps the splits of its files.
+SPLITS: int | None = None
 NOW = 1704067200 + 30 * 86400
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if SPLITS:
+        df = df.repartition(SPLITS)
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from postloom.session import materialize
 
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row per key in ``order``.
@@ -29,7 +31,14 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: str | Sequence[str])
 def cap_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], cap: int, rank: str = "rn"
 ) -> DataFrame:
-    """The first ``cap`` rows per key with their rank; cut per task before the shuffle."""
+    """The first ``cap`` rows per key with their rank; cut per task before the shuffle.
+
+    Spark makes that cut for ranks up to a threshold of its settings only, which is raised here to
+    ``cap`` where it is lower.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT, "1000")) < int(cap):
+        conf.set(GROUP_LIMIT, str(int(cap)))
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= int(cap))
 

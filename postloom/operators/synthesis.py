@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from postloom.functions import text as T
 from postloom.operators.export import SYNTHETIC_PREFIX, synthetic_event_id
 from postloom.operators.keyed import first_per_key
 from postloom.operators.labels import label_id_of
+from postloom.session import materialize
 
 MIN_LENGTH = 5
 MAX_LENGTH = 200
@@ -38,12 +41,13 @@ def candidate_filter(
     min_length: int = MIN_LENGTH,
     max_length: int = MAX_LENGTH,
     row_id: str = "seq",
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``content_hash`` and ``reason`` (null = accepted) to every candidate.
 
     First failing check of too_short, too_long, the language reason, duplicate. A duplicate
-    repeats an earlier passing candidate (order of the unique ``row_id``) or a hash in ``seen``
-    (``content_hash`` column). The first passing copy per hash is found with a per-task cut, and
+    repeats an earlier passing candidate (order of the unique ``row_id``; only one with the same
+    values in the columns ``within``, if given) or a hash in ``seen`` (``content_hash`` column). The first passing copy per hash is found with a per-task cut, and
     only those firsts meet the seen hashes, so a text repeated in a third of all rows never
     gathers in one task. The winners come back to the candidates by row id.
     """
@@ -59,8 +63,8 @@ def candidate_filter(
         }
     )
     kept = basic.select(*candidates.columns, "content_hash", "_basic")
-    passing = kept.filter(F.col("_basic").isNull()).select(row_id, "content_hash")
-    winners = first_per_key(passing, ["content_hash"], [F.col(row_id)])
+    passing = kept.filter(F.col("_basic").isNull()).select(row_id, "content_hash", *within)
+    winners = first_per_key(passing, [*within, "content_hash"], [F.col(row_id)])
     if seen is not None:
         winners = winners.join(seen.select("content_hash").distinct(), "content_hash", "left_anti")
     flagged = kept.join(winners.select(row_id, F.lit(True).alias("_won")), row_id, "left")
@@ -87,9 +91,8 @@ def quota_fill(filtered: DataFrame, max_rounds: int) -> DataFrame:
     Verified counts are summed per (label, round) first; running totals over these few sums give
     each round its start, and only single rounds are ordered, so a large label is never one group.
 
-    Candidates are deduplicated over all labels before the quota. A copy left over from a filled
-    label therefore still blocks a later label's copy, where a strictly sequential run would have
-    left that hash unregistered.
+    Copies within a label and copies of texts that an earlier label examined must be marked in
+    ``reason`` already, see :func:`fill_in_order`.
     """
     run = filtered.filter(F.col("round") <= int(max_rounds))
     passed = F.col("reason").isNull()
@@ -113,6 +116,38 @@ def quota_fill(filtered: DataFrame, max_rounds: int) -> DataFrame:
     return placed.withColumn("outcome", outcome).drop("_start", "_before")
 
 
+def fill_in_order(filtered: DataFrame, max_rounds: int) -> DataFrame:
+    """:func:`quota_fill` where a label gives up a text only if an earlier label examined it.
+
+    ``filtered`` is deduplicated within labels (``candidate_filter(within=["label"])``) and has the
+    order of labels in ``label_rank``. A text that several labels generated belongs to the first of
+    them that examines it; one that was left over stays free for the next. What a label
+    examines depends on earlier labels only, so marking the copies of examined texts and filling
+    again settles at least one more label each time, and it ends when the marks stay the same.
+    Only texts of several labels take part, as narrow rows (label, hash).
+    """
+    accepted = filtered.filter(F.col("reason").isNull()).select("label", "label_rank", "content_hash")
+    several = accepted.groupBy("content_hash").agg(F.min("label_rank").alias("first_rank"), F.count(F.lit(1)).alias("_labels"))
+    shared = accepted.join(several.filter("_labels > 1"), "content_hash").select("label", "label_rank", "content_hash", "first_rank")
+    shared = materialize(shared, "shared-texts")
+    blocked = shared.filter("label_rank > first_rank").select("label", "content_hash")
+    before = None
+    while True:
+        blocked = materialize(blocked, "blocked-texts")
+        now = tuple(blocked.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("label", "content_hash")), F.lit(0))).first())
+        marks = blocked.withColumn("_blocked", F.lit(True))
+        marked = filtered.join(marks, ["label", "content_hash"], "left").withColumn(
+            "reason", F.coalesce("reason", F.when(F.col("_blocked"), F.lit("duplicate")))
+        )
+        done = quota_fill(marked.drop("_blocked"), max_rounds)
+        if now == before or not now[0]:
+            return done
+        before = now
+        examined = done.filter(F.col("outcome").isin("taken", "verify_rejected")).join(shared.select("content_hash").distinct(), "content_hash", "left_semi")
+        owners = examined.groupBy("content_hash").agg(F.min("label_rank").alias("owner_rank"))
+        blocked = shared.join(owners, "content_hash").filter("label_rank > owner_rank").select("label", "content_hash")
+
+
 def synthesis_report(filled: DataFrame, deficits: DataFrame) -> DataFrame:
     """Per label in need: have_before, generated, both reject counts and have_after."""
 

@@ -9,7 +9,7 @@ from postloom.functions import prompts as P
 from postloom.functions import text as T
 from postloom.functions.answers import with_generated_posts
 from postloom.operators.sampling import shortest_examples
-from postloom.operators.synthesis import candidate_filter, quota_fill, synthetic_records
+from postloom.operators.synthesis import candidate_filter, fill_in_order, synthetic_records
 from postloom.session import materialize
 
 
@@ -56,12 +56,16 @@ def fill_quotas(
     """Filter candidates, verify the accepted ones and fill each label's quota in order.
 
     ``known`` holds the contents already in the corpus; ``verify`` is a boolean column (a
-    verifier's label equal to the target). The filtered candidates are written once.
+    verifier's label equal to the target). The filtered candidates are written once. A text counts
+    as a duplicate only of contents in ``known``, of texts that an earlier label examined, and of copies in
+    its own label.
     """
     seen = known.select(T.content_hash(F.col("content")).alias("content_hash"))
     ordered = with_processing_order(candidates.filter(F.col("round") <= int(max_rounds)))
-    filtered = candidate_filter(ordered, seen).withColumn("verified", F.coalesce(verify, F.lit(False)))
-    return quota_fill(materialize(filtered, "candidates"), max_rounds)
+    filtered = candidate_filter(ordered, seen, within=["label"]).withColumns(
+        {"verified": F.coalesce(verify, F.lit(False)), "label_rank": F.struct(-F.col("need"), "label_id")}
+    )
+    return fill_in_order(materialize(filtered, "candidates"), max_rounds).drop("label_rank")
 
 
 def generated_records(filled: DataFrame, model: str, created_at: int) -> DataFrame:

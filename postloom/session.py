@@ -81,13 +81,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, minimum: int | None = None) -> DataFrame:
-    """Split an input that arrives in fewer partitions than the cluster has cores.
-
-    A file with a single row group is one task however long its texts are. Inputs with enough
-    splits of their own, any large table, pass through without a shuffle.
-    """
-    wanted = minimum or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -38,6 +39,15 @@ def write_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     ).trigger(availableNow=True).start().awaitTermination()
 
 
+def _if_present(read: Callable[[], DataFrame]) -> DataFrame | None:
+    try:
+        return read()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error.getCondition()):
+            return None
+        raise
+
+
 class TargetReached(Exception):
     """Raised before a batch is admitted once every label has enough rows."""
 
@@ -60,9 +70,12 @@ class LabelStream:
     """Label an unbounded source until each target label has ``min_per_label`` rows.
 
     Per micro-batch: language gate, id dedup, labeling on the executors, one idempotent write of
-    the outcomes under the batch id, then label counts of that batch alone (at most one row per
-    label) are added to the running totals. A replayed batch overwrites its own folder, so
-    neither outcomes nor counts are doubled after a failure. Admission stops before the first
+    the outcomes under the ids of run and batch, then label counts of that batch alone (at most one row per
+    label) are added to the running totals. The run id is the one that Spark keeps in the checkpoint: a
+    replayed batch overwrites its own folder, so neither outcomes nor counts are doubled after a
+    failure, and a run with another checkpoint never touches the outcomes of earlier ones, whose
+    counts it takes over. How much a batch admits is bounded by the source (``maxFilesPerTrigger`` or its like
+    on the reader) and by ``trigger``. Admission stops before the first
     batch that finds every label filled; that batch stays uncommitted for a later run. Nothing
     already admitted is dropped, so labels may exceed the target.
     """
@@ -79,15 +92,18 @@ class LabelStream:
     max_parallel_calls: int | None = None
     stop_when_complete: bool = True
     on_batch: Callable[[DataFrame, int], None] | None = None
+    trigger: dict[str, object] = field(default_factory=lambda: {"availableNow": True})
 
     def run(self, stream: DataFrame) -> StreamResult:
         spark = stream.sparkSession
         outcomes_path, counts_path = f"{self.output_path}/outcomes", f"{self.output_path}/counts"
         # Totals of finished batches under OLDER, and the latest batch, which may be replayed.
-        by_batch = self._stored_counts(spark, counts_path)
+        run_id = self._run_id(spark)
+        by_batch = self._stored_counts(spark, counts_path, run_id)
         base = self._seed_counts()
         gate_metrics: dict[int, dict[str, int]] = {}
         running: list[StreamingQuery] = []
+        reached: list[int] = []
 
         def totals() -> dict[str, int]:
             out = dict.fromkeys(self.targets, 0)
@@ -109,8 +125,10 @@ class LabelStream:
         def handle(batch: DataFrame, batch_id: int) -> None:
             collect_metrics()
             if self.stop_when_complete and complete():
+                reached.append(batch_id)
                 raise TargetReached
-            folder = f"{outcomes_path}/batch_id={batch_id}"
+            run = f"run={self._run_id(spark)}/batch_id={batch_id}"
+            folder = f"{outcomes_path}/{run}"
             label_with(
                 batch,
                 self.labeler,
@@ -120,7 +138,7 @@ class LabelStream:
             ).write.mode("overwrite").parquet(folder)
             outcomes = batch.sparkSession.read.parquet(folder)
             counts = outcomes.filter("ok").groupBy("label").agg(F.count(F.lit(1)).alias("count"))
-            counts.coalesce(1).write.mode("overwrite").parquet(f"{counts_path}/batch_id={batch_id}")
+            counts.coalesce(1).write.mode("overwrite").parquet(f"{counts_path}/{run}")
             for done in [b for b in by_batch if b not in (OLDER, batch_id)]:
                 for label, count in by_batch.pop(done).items():
                     older = by_batch.setdefault(OLDER, {})
@@ -133,17 +151,17 @@ class LabelStream:
         query = (
             admitted.writeStream.foreachBatch(handle)
             .option("checkpointLocation", self.checkpoint)
-            .trigger(availableNow=True)
+            .trigger(**self.trigger)
             .start()
         )
         running.append(query)
         try:
             query.awaitTermination()
-        except StreamingQueryException as error:
-            if "TargetReached" not in str(error):
+        except StreamingQueryException:
+            if not reached:
                 raise
         collect_metrics()
-        return StreamResult(outcomes_path, totals(), complete(), self._funnel(spark, outcomes_path, gate_metrics))
+        return StreamResult(outcomes_path, totals(), complete(), self._funnel(spark, outcomes_path, self._run_id(spark), gate_metrics))
 
     def _gate(self, stream: DataFrame) -> DataFrame:
         gated = G.with_language_gate(stream, detector=self.detector).observe(
@@ -160,31 +178,36 @@ class LabelStream:
         counted = self.seed.filter("counted").groupBy("label").agg(F.count(F.lit(1)).alias("count"))
         return {r["label"]: r["count"] for r in counted.filter(F.col("label").isin(*self.targets)).collect()}
 
+    def _run_id(self, spark: SparkSession) -> str | None:
+        """The id of the query in the checkpoint; None before its first start."""
+        found = _if_present(lambda: spark.read.text(f"{self.checkpoint}/metadata"))
+        line = found.first() if found is not None else None
+        return json.loads(line.value)["id"] if line else None
+
     @staticmethod
-    def _stored_counts(spark: SparkSession, path: str) -> dict[int, dict[str, int]]:
-        try:
-            rows = spark.read.parquet(path)
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error.getCondition()):
-                return {}
-            raise
-        last = rows.agg(F.max("batch_id")).first()[0]
-        slot = F.when(F.col("batch_id") == last, F.lit(last)).otherwise(F.lit(OLDER))
+    def _stored_counts(spark: SparkSession, path: str, run_id: str | None) -> dict[int, dict[str, int]]:
+        rows = _if_present(lambda: spark.read.parquet(path))
+        if rows is None:
+            return {}
+        own = F.col("run") == F.lit(run_id)
+        last = rows.filter(own).agg(F.max("batch_id")).first()[0]
+        slot = F.when(own & (F.col("batch_id") == F.lit(last)), F.lit(last)).otherwise(F.lit(OLDER))
         stored: dict[int, dict[str, int]] = {}
         for row in rows.groupBy(slot.alias("slot"), "label").agg(F.sum("count").alias("count")).collect():
             stored.setdefault(row["slot"], {})[row["label"]] = row["count"]
         return stored
 
     @staticmethod
-    def _funnel(spark: SparkSession, path: str, gate: dict[int, dict[str, int]]) -> dict[str, int]:
+    def _funnel(spark: SparkSession, path: str, run_id: str | None, gate: dict[int, dict[str, int]]) -> dict[str, int]:
         out = dict.fromkeys(("raw_fetched", "language_excluded", "language_pass"), 0)
         for metrics in gate.values():
             for name in out:
                 out[name] += metrics[name]
-        try:
-            done = spark.read.parquet(path).filter(F.col("batch_id").isin(*[int(b) for b in gate]))
-        except AnalysisException:
+        done = _if_present(lambda: spark.read.parquet(path))
+        if done is None or not gate:
             return {**out, "dedup_skipped": out["language_pass"], "queued": 0, "label_success": 0, "label_failure": 0}
+        # The batches of this call follow each other, so their range names them.
+        done = done.filter((F.col("run") == F.lit(run_id)) & F.col("batch_id").between(min(gate), max(gate)))
         tally = done.agg(
             F.count(F.lit(1)).alias("queued"),
             F.count_if("ok").alias("label_success"),
