@@ -118,13 +118,7 @@ def snapshot_overwrite(spark, sf_dir):
 )
 def label_map_dim(spark, sf_dir):
     path = scratch_path(spark, "label-map")
-    entry = F.struct(F.col("label_id").alias("id"), F.col("label").alias("char"), F.col("definition").alias("def"))
-    dim = labels.label_dim(spark)
-    doc = dim.agg(
-        F.array_sort(F.collect_list(F.when(~F.col("is_qa"), entry))).alias("labels"),
-        F.max(F.when(F.col("is_qa"), entry)).alias("qa"),
-    )
-    doc.write.json(path)
+    snapshots.write_label_map(labels.label_dim(spark), path)
     loaded = snapshots.read_label_map(spark, path)
     usage = V.labeled(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
     size = snapshots.num_labels(loaded).select("num_labels")
@@ -162,6 +156,30 @@ def export_files(spark, sf_dir):
     return jsonl.scan_jsonl(spark, f"{root}/out/dataset", schema)
 
 
+@query(
+    "export_last_wins",
+    W("chats") + """SELECT event_id, CASE WHEN turn % 3 = 0 THEN '犬' WHEN turn % 2 = 0 THEN '猫' WHEN turn % 5 = 0 THEN '国' ELSE '愛' END AS label
+      FROM chats WHERE trim(content) <> ''""",
+)
+def export_last_wins(spark, sf_dir):
+    """The same ids in two documents and two appends of unequal size: the last record of each id stays."""
+    root = scratch_path(spark, "last-wins")
+    rows = V.chats(spark, sf_dir).select("event_id", "content", "created_at", "turn", "pubkey")
+
+    def document(part, label: str, order: int):
+        item = F.struct("event_id", "content", "created_at", F.lit(label).alias("label"))
+        made = part.groupBy("pubkey").agg(F.lit(order).alias("document_order"), F.collect_list(item).alias("items"))
+        made.drop("pubkey").write.mode("append").json(f"{root}/in/real-labels.json")
+
+    document(rows.filter("turn % 5 <> 0"), "愛", 2)
+    document(rows, "国", 1)
+    for part, label, files in ((rows.filter("turn % 2 = 0"), "猫", 1), (rows.filter("turn % 3 = 0"), "犬", 7)):
+        outcome = part.select("event_id", "content", "created_at", F.lit(label).alias("label"), F.lit(True).alias("ok"))
+        jsonl.append_log(outcome.repartition(files), f"{root}/in/real-log")
+    built = training.export_training_set(spark, f"{root}/in", f"{root}/out", labels.label_dim(spark), document_per_line=True)
+    return built.rows.select("event_id", "label")
+
+
 # --- streams --------------------------------------------------------------------------------------
 @query("stream_dedup", W("observations") + "SELECT DISTINCT event_id FROM observations WHERE event_id NOT LIKE 'b%'")
 def stream_dedup(spark, sf_dir):

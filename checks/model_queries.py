@@ -12,6 +12,8 @@ from postloom.functions import answers as A
 from postloom.functions import scores as S
 from postloom.operators import labeling, labels, progress
 from postloom.plans import digest, two_pass
+from postloom.session import scratch_path
+from postloom.sources import jsonl
 
 W = V.with_views
 
@@ -198,6 +200,29 @@ def label_two_pass(spark, sf_dir):
     return done.items.select("event_id", "label", "confidence", "pass")
 
 
+@query(
+    "label_two_pass_resume",
+    W("chats", first=stubs.sql_outcome("(SELECT * FROM chats)", "event_id, content"),
+      logged="SELECT event_id, '愛' AS label, 1 AS pass FROM chats WHERE turn % 3 = 0")
+    + """SELECT event_id, label, pass FROM logged
+      UNION ALL SELECT event_id, label, 1 FROM first WHERE ok AND event_id NOT IN (SELECT event_id FROM logged)""",
+)
+def label_two_pass_resume(spark, sf_dir):
+    """A log with successes and failures: the former keep their answers, the latter are asked again."""
+    posts, path = V.chats(spark, sf_dir), scratch_path(spark, "two-pass-log")
+    done = posts.filter("turn % 3 = 0").select(
+        "event_id", "pubkey", "created_at", "content", F.lit("愛").alias("label"), F.lit(0).alias("label_id"), F.lit(0.9).alias("confidence"),
+        F.lit("r").alias("rationale"), F.lit(False).alias("is_uncertain"), F.lit(1).alias("pass"), F.lit("log").alias("source"),
+        F.lit(True).alias("ok"), F.lit(None).cast("string").alias("reason"),
+    )
+    failed = posts.filter("turn % 3 = 1").select("event_id", F.lit(False).alias("ok"), F.lit("http_500").alias("reason"))
+    jsonl.append_log(done, path)
+    jsonl.append_log(failed, path)
+    two_pass.label_two_pass(posts, stubs.label_once, "stub", max_retries=2, refine=False, log_path=path)
+    again = two_pass.label_two_pass(posts.filter("turn % 3 <> 1"), stubs.label_once, "stub", max_retries=2, refine=False, log_path=path)
+    return again.items.select("event_id", "label", "pass")
+
+
 PREDICT = dict(
     numbered="SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, seq) - 1 AS source_index FROM jposts",
     normal=f"SELECT *, {Q.collapse(Q.clean('content'))} AS norm FROM numbered WHERE source_index < 40",

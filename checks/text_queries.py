@@ -263,6 +263,15 @@ def select_approved(spark, sf_dir):
     return progress.select_approved(samples).select("event_id", "first_seq")
 
 
+@query(
+    "select_approved_first_n",
+    W("jposts", **curated_sql()) + "SELECT event_id, first_seq FROM samples WHERE review_status = 'approved' ORDER BY first_seq LIMIT 25",
+)
+def select_approved_first_n(spark, sf_dir):
+    rows = curation.curate(V.jposts(spark, sf_dir), TARGET, CAP).sample_rows()
+    return progress.select_approved(rows, 25).select("event_id", "first_seq")
+
+
 @query(
     "author_cap",
     W("posts") + """SELECT event_id, pubkey, rn FROM (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY seq) AS rn
@@ -336,6 +345,23 @@ def resume_raw_append(spark, sf_dir):
     return observations.resume_append(stored, V.observations(spark, sf_dir)).select("event_id", "pubkey", "seq")
 
 
+@query(
+    "resume_raw_merge",
+    W(
+        "observations",
+        stored="SELECT event_id, seq, ['z', 'r1'] AS relay FROM posts WHERE lang = 'fr'",
+        again=f"""SELECT event_id, relay, min(seq) AS met FROM observations WHERE NOT {Q.blank(Q.clean('content'))}
+          AND event_id IN (SELECT event_id FROM stored) AND relay NOT IN ('z', 'r1') GROUP BY ALL""",
+    )
+    + """SELECT event_id, array_to_string(list_concat(relay, coalesce((SELECT list(relay ORDER BY met) FROM again a WHERE a.event_id = s.event_id), [])), ',') AS relays
+      FROM stored s""",
+)
+def resume_raw_merge(spark, sf_dir):
+    stored = V.posts(spark, sf_dir).filter(F.col("lang") == "fr").withColumn("relay", F.array(F.lit("z"), F.lit("r1")))
+    merged = observations.resume_merge(stored, V.observations(spark, sf_dir), stored.limit(0))
+    return merged.select("event_id", F.array_join("relay", ",").alias("relays"))
+
+
 @query(
     "concat_sources",
     W("posts", "chats") + """SELECT event_id, pubkey, created_at, 0 AS source_rank, lang FROM posts

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions import text as T
 from postloom.operators.keyed import first_per_key
+from postloom.session import materialize
 
 
 def near_dup_clusters(posts: DataFrame, keep_empty_forms_apart: bool = False) -> DataFrame:
@@ -19,67 +20,38 @@ def near_dup_clusters(posts: DataFrame, keep_empty_forms_apart: bool = False) ->
     Posts without any kept character share one empty normal form and hence one cluster;
     ``keep_empty_forms_apart`` leaves each of them alone instead.
 
-    The hash is computed once per post. Each post then contributes one member row plus small
-    rows for its author and relays, aggregated first per (hash, kind, value) and then per hash:
-    a hash holding a third of all posts shrinks to a few rows per task before any shuffle, and
-    authors are counted without building a set.
+    Hashes are computed once and written with the few narrow columns that the counts need. A hash that
+    holds a third of all posts is counted per task before any shuffle, authors are counted without
+    building a set, and the oldest copy is cut per task. Its text comes back by ``seq`` and id, which name
+    a post, so no text is ever sorted or grouped.
     """
-    hashed = posts.withColumn("_form", T.normalize_content(F.col("content")))
+    form = T.normalize_content(F.col("content"))
     digest = F.sha2("_form", 256)
     if keep_empty_forms_apart:
         digest = F.when(F.col("_form") == "", F.concat(F.lit("empty-"), "event_id")).otherwise(digest)
-    member = F.struct("created_at", "seq", "event_id", "pubkey", "content")
-    hashed = hashed.select(
-        digest.alias("content_hash"),
-        member.alias("member"),
-        F.col("pubkey"),
-        "seq",
-        F.coalesce("relay", F.array().cast("array<string>")).alias("relay"),
+    keyed = posts.withColumn("_form", form).select(
+        digest.alias("content_hash"), "event_id", "pubkey", "created_at", "seq", F.coalesce("relay", F.array().cast("array<string>")).alias("relay")
     )
-    parts = F.concat(
-        F.array(
-            F.struct(F.lit("m").alias("kind"), F.lit("").alias("value"), F.lit(0).alias("pos")),
-            F.struct(F.lit("a").alias("kind"), F.col("pubkey").alias("value"), F.lit(0).alias("pos")),
-        ),
-        F.transform("relay", lambda r, i: F.struct(F.lit("r").alias("kind"), r.alias("value"), i.alias("pos"))),
+    keyed = materialize(keyed, "cluster-keys")
+    oldest = first_per_key(keyed.select("content_hash", "created_at", "seq", "event_id"), ["content_hash"], [F.col("created_at"), F.col("seq")])
+    totals = keyed.groupBy("content_hash").agg(F.count(F.lit(1)).alias("dup_count"), F.min("seq").alias("first_seq"))
+    authors = keyed.select("content_hash", "pubkey").distinct().groupBy("content_hash").agg(F.count(F.lit(1)).alias("author_count"))
+    met = keyed.select("content_hash", "seq", F.posexplode("relay").alias("pos", "relay")).filter(F.col("relay").isNotNull())
+    relays = (
+        first_per_key(met, ["content_hash", "relay"], [F.col("seq"), F.col("pos")])
+        .groupBy("content_hash")
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "pos", "relay"))).alias("seen_on"))
+        .select("content_hash", F.col("seen_on.relay").alias("relay"))
     )
-    exploded = hashed.select(
-        "content_hash", "member", "seq", F.explode(parts).alias("part")
-    ).select(
-        "content_hash",
-        "part.kind",
-        "part.value",
-        F.when(F.col("part.kind") == "m", F.col("member")).alias("member"),
-        F.struct(F.col("seq"), F.col("part.pos").alias("pos")).alias("met"),
+    narrow = (
+        oldest.join(totals, "content_hash")
+        .join(authors, "content_hash")
+        .join(relays, "content_hash", "left")
+        .withColumn("relay", F.coalesce("relay", F.array().cast("array<string>")))
     )
-    per_value = exploded.groupBy("content_hash", "kind", "value").agg(
-        F.min("member").alias("oldest"),
-        F.min("met").alias("met"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    is_member, is_relay = F.col("kind") == "m", F.col("kind") == "r"
-    return (
-        per_value.groupBy("content_hash")
-        .agg(
-            F.min("oldest").alias("oldest"),
-            F.sum(F.when(is_member, F.col("n"))).alias("dup_count"),
-            F.count_if(F.col("kind") == "a").alias("author_count"),
-            F.min(F.col("met.seq")).alias("first_seq"),
-            F.array_sort(
-                F.collect_list(F.when(is_relay, F.struct("met", F.col("value").alias("relay"))))
-            ).alias("seen_on"),
-        )
-        .select(
-            "content_hash",
-            "oldest.event_id",
-            "oldest.pubkey",
-            "oldest.created_at",
-            "oldest.content",
-            "dup_count",
-            "author_count",
-            "first_seq",
-            F.array_compact(F.col("seen_on.relay")).alias("relay"),
-        )
+    texts = posts.select("event_id", "seq", "pubkey", "content")
+    return texts.join(narrow, ["event_id", "seq"]).select(
+        "content_hash", "event_id", "pubkey", "created_at", "content", "dup_count", "author_count", "first_seq", "relay"
     )
 
 

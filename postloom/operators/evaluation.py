@@ -36,8 +36,8 @@ def drop_qa(rows: DataFrame, label: str = "label", reassign: Column | None = Non
     is_qa = F.coalesce(F.col(label) == QA_LABEL, F.lit(False))
     if reassign is None:
         return rows.filter(~is_qa)
-    moved = rows.withColumn(label, F.when(is_qa, reassign).otherwise(F.col(label)))
-    return moved.filter(~is_qa | F.col(label).isNotNull())
+    kept = rows.filter(~is_qa | reassign.isNotNull())
+    return kept.withColumn(label, F.when(is_qa, reassign).otherwise(F.col(label)))
 
 
 def class_weights(rows: DataFrame, label: str = "label_id") -> DataFrame:

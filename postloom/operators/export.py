@@ -60,8 +60,8 @@ def synthetic_event_id(content: Column) -> Column:
 def merge_sources(real: DataFrame, synthetic: DataFrame) -> DataFrame:
     """Ordered union of source records: real before synthetic, each in its own record order.
 
-    Inputs carry ``record`` (VARIANT), ``source_file``, ``file_rank``, ``source_record_index``
-    and ``fallback_model``.
+    Inputs carry ``record`` (VARIANT), ``source_file``, ``file_rank``, ``source_record_index``,
+    ``fallback_model`` and, where one side has several files, ``record_order``.
     """
     parts = [
         df.withColumns({"source_type": F.lit(kind), "source_rank": F.lit(rank)})
@@ -128,7 +128,9 @@ def normalize_records(records: DataFrame, dim: DataFrame) -> DataFrame:
         *TRAINING_COLUMNS,
         "skip_reason",
         "missing_event_id",
-        F.struct("source_rank", "file_rank", "source_record_index").alias("merge_order"),
+        F.struct(
+            "source_rank", "file_rank", *(c for c in ("record_order",) if c in records.columns), "source_record_index"
+        ).alias("merge_order"),
     )
 
 

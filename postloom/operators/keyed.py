@@ -106,3 +106,25 @@ def hash_order_cut(
     )
     cuts = ranked.filter("_rn = _k").select(group, "n", "take", F.col(key).alias("cut_key"))
     return materialize(cuts, "cuts")
+
+
+def kth_value(df: DataFrame, column: str, k: int, buckets: int = 1024) -> int | None:
+    """The ``k``-th smallest value of an integer column (from 1), null if there are fewer rows.
+
+    Rows are counted per bucket of values, and the bucket that holds the k-th is cut again until it is one
+    value: a few passes that group to ``buckets`` rows each, and no sort.
+    """
+    low, high, rows = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    if rows < k:
+        return None
+    while low < high:
+        width = (high - low) // buckets + 1
+        inside = df.filter(F.col(column).between(low, high))
+        counts = inside.groupBy(F.floor((F.col(column) - F.lit(low)) / F.lit(width)).alias("b")).count().collect()
+        for bucket, count in sorted((r[0], r[1]) for r in counts):
+            if count >= k:
+                low = low + bucket * width
+                high = min(high, low + width - 1)
+                break
+            k -= count
+    return low

@@ -61,7 +61,7 @@ def answer_errors(answer: Any, allow_qa: bool = True) -> list[str]:
     confidence = fields.get("confidence")
     good = {
         "label": isinstance(label, str),
-        "label_id": _is_number(label_id) and float(label_id).is_integer(),
+        "label_id": _is_number(label_id) and (isinstance(label_id, int) or label_id.is_integer()),
         "confidence": _is_number(confidence),
         "rationale": isinstance(fields.get("rationale"), str),
         "is_uncertain": isinstance(fields.get("is_uncertain"), bool),
@@ -93,7 +93,10 @@ def _label_one(labeler: Labeler, prompt: str, max_retries: int, allow_qa: bool)
         return [{"attempt": a, "status_code": c, "response_text": x} for a, c, x in reply.attempts]
 
     for attempt in range(max_retries + 1):
-        reply = labeler(prompt, attempt)
+        try:
+            reply = labeler(prompt, attempt)
+        except Exception as error:  # noqa: BLE001 - whatever a labeler raises is a failed call of this row
+            reply = Reply(error=f"labeler_error: {type(error).__name__}: {error}")
         if reply.error:
             reason = reply.error
             break

@@ -14,10 +14,10 @@ RAW_AUTHOR_CAP = 25
 
 
 def in_time_range(df: DataFrame, since: int | None, until: int | None, ts: str = "created_at") -> DataFrame:
-    """Rows with a numeric time inside ``[since, until]``; text times are dropped if not numbers."""
+    """Rows with a numeric time inside ``[since, until]``; a time written as text is no number and drops its row."""
     value = F.col(ts)
     if dict(df.dtypes)[ts] == "string":
-        value = value.try_cast("bigint")
+        return df.filter(F.lit(False))
     kept = df.filter(value.isNotNull())
     if since is not None:
         kept = kept.filter(value >= F.lit(int(since)))
@@ -42,29 +42,19 @@ def _admissible(observations: DataFrame, since: int | None, until: int | None) -
 def _fold(observations: DataFrame) -> DataFrame:
     """One row per event: fields of its first observation, relays in first-seen order.
 
-    The first aggregation works per (event, relay), so an event seen a billion times shrinks in
-    every task before the shuffle; the second one only meets one row per relay.
+    Only ids, relays and positions are aggregated, first per (event, relay), so an event seen a billion
+    times shrinks in every task before the shuffle. Author, time and text come back from the first
+    observation by event and position, so no text is ever sorted. ``seq`` is unique within an event.
     """
-    per_relay = observations.groupBy("event_id", "relay").agg(
-        F.min(F.struct("seq", "pubkey", "created_at", "content")).alias("first"),
-        F.count(F.lit(1)).alias("n_obs"),
+    per_relay = observations.groupBy("event_id", "relay").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n_obs"))
+    folded = per_relay.groupBy("event_id").agg(
+        F.min("seq").alias("seq"),
+        F.sum("n_obs").alias("n_obs"),
+        F.array_sort(F.collect_list(F.struct("seq", "relay"))).alias("seen_on"),
     )
-    return (
-        per_relay.groupBy("event_id")
-        .agg(
-            F.min("first").alias("first"),
-            F.sum("n_obs").alias("n_obs"),
-            F.array_sort(F.collect_list(F.struct(F.col("first.seq").alias("seq"), "relay"))).alias("seen_on"),
-        )
-        .select(
-            "event_id",
-            "first.pubkey",
-            "first.created_at",
-            "first.content",
-            F.array_compact(F.col("seen_on.relay")).alias("relay"),
-            F.col("first.seq").alias("seq"),
-            "n_obs",
-        )
+    first = observations.select("event_id", "seq", "pubkey", "created_at", "content")
+    return first.join(folded, ["event_id", "seq"]).select(
+        "event_id", "pubkey", "created_at", "content", F.array_compact(F.col("seen_on.relay")).alias("relay"), "seq", "n_obs"
     )
 
 
@@ -135,17 +125,33 @@ def resume_append(
     )
 
 
-def resume_merge(existing: DataFrame, observations: DataFrame, appended: DataFrame) -> DataFrame:
-    """Stored posts, their relays widened by later observations, together with the new posts."""
-    again = observations.select("event_id", "relay").distinct()
-    known = (
-        existing.select("event_id", F.explode_outer("relay").alias("relay"))
-        .unionByName(again.join(existing.select("event_id"), "event_id", "left_semi"))
-        .groupBy("event_id")
-        .agg(F.array_sort(F.array_compact(F.collect_set("relay"))).alias("relay"))
+def resume_merge(
+    existing: DataFrame,
+    observations: DataFrame,
+    appended: DataFrame,
+    since: int | None = None,
+    until: int | None = None,
+) -> DataFrame:
+    """Stored posts, their relays widened by later admissible observations, together with the new posts.
+
+    Stored relays keep their order; relays that are new follow in the order in which they were first seen.
+    """
+    stored = existing.select("event_id", F.posexplode("relay").alias("pos", "relay")).select(
+        "event_id", "relay", F.lit(0).alias("later"), F.col("pos").cast("long").alias("met")
+    )
+    again = _admissible(observations, since, until).select("event_id", "relay", F.lit(1).alias("later"), F.col("seq").cast("long").alias("met"))
+    again = again.join(existing.select("event_id").distinct(), "event_id", "left_semi")
+    # One row per relay and side, then its stored place if it has one.
+    sides = stored.unionByName(again).filter(F.col("relay").isNotNull()).groupBy("event_id", "relay", "later").agg(F.min("met").alias("met"))
+    places = sides.groupBy("event_id", "relay").agg(
+        F.min("later").alias("later"), F.min(F.when(F.col("later") == 0, F.col("met"))).alias("kept"), F.min("met").alias("seen")
     )
+    order = F.struct("later", F.coalesce("kept", "seen").alias("met"), "relay")
+    known = places.groupBy("event_id").agg(F.array_sort(F.collect_list(order)).alias("listed"))
+    widened = existing.drop("relay").join(known, "event_id", "left")
+    widened = widened.withColumn("relay", F.coalesce(F.col("listed.relay"), F.array().cast("array<string>")))
     shape = ["event_id", "pubkey", "created_at", "content", "relay"]
-    return existing.drop("relay").join(known, "event_id").select(*shape).unionByName(appended.select(*shape))
+    return widened.select(*shape).unionByName(appended.select(*shape))
 
 
 def concat_sources(*sources: DataFrame | None) -> DataFrame:

@@ -150,7 +150,7 @@ def skip_reason_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def select_approved(samples: DataFrame, limit: int = 0, order: str = "seq") -> DataFrame:
+def select_approved(samples: DataFrame, limit: int = 0, order: str = "first_seq") -> DataFrame:
     """Approved samples; a positive ``limit`` keeps the first ones in order."""
     approved = samples.filter(F.col("review_status") == "approved")
     return approved.orderBy(order).limit(int(limit)) if limit > 0 else approved

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions import text as T
-from postloom.operators.keyed import cap_per_key, hash_order_cut
+from postloom.operators.keyed import cap_per_key, hash_order_cut, kth_value
 from postloom.session import materialize
 
 TARGET = 2000
@@ -18,7 +18,9 @@ def _picks(posts: DataFrame, target: int, author_cap: int) -> DataFrame:
 
     Round ``rn`` takes each author's ``rn``-th newest post, authors in order of first appearance
     within the tier. Tier 1 starts only once tier 0 is exhausted, at which point each author has
-    used ``least(cap, n0)`` slots; so one sort by (tier, round, author) with a limit is exact.
+    used ``least(cap, n0)`` slots; so the first ``target`` rows by (tier, round, author) are exact. Rows
+    are counted per (tier, round), at most two times the cap, which names the round that holds the last
+    pick; earlier rounds are taken whole and only that one is cut, at a value of the author order.
 
     The list is written, so joining it back to the full posts is a broadcast by measured size
     (no shuffle of the texts), or a sort-merge join when the target is large.
@@ -35,7 +37,7 @@ def _picks(posts: DataFrame, target: int, author_cap: int) -> DataFrame:
     room = F.when(F.col("tier") == 0, F.lit(int(author_cap))).otherwise(
         F.lit(int(author_cap)) - F.least(F.lit(int(author_cap)), F.col("_n0"))
     )
-    picks = (
+    ordered = (
         ranked.join(authors, "pubkey")
         .filter(F.col("rn") <= room)
         .select(
@@ -44,10 +46,22 @@ def _picks(posts: DataFrame, target: int, author_cap: int) -> DataFrame:
             "rn",
             F.when(F.col("tier") == 0, F.col("_ord0")).otherwise(F.col("_ord1")).alias("author_ord"),
         )
-        .orderBy("tier", "rn", "author_ord")
-        .limit(int(target))
     )
-    return materialize(picks, "picks")
+    ordered = materialize(ordered, "ranked-picks")
+    left, last = int(target), None
+    for tier, rn, count in sorted(tuple(r) for r in ordered.groupBy("tier", "rn").count().collect()):
+        if count >= left:
+            last = (tier, rn)
+            break
+        left -= count
+    if last is None:
+        return ordered
+    tier, rn = F.col("tier"), F.col("rn")
+    at = (tier == last[0]) & (rn == last[1])
+    cut = kth_value(ordered.filter(at), "author_ord", left) if left > 0 else None
+    earlier = (tier < last[0]) | ((tier == last[0]) & (rn < last[1]))
+    kept = earlier if cut is None else earlier | (at & (F.col("author_ord") <= F.lit(cut)))
+    return materialize(ordered.filter(kept), "picks")
 
 
 def round_robin_sample(posts: DataFrame, target: int = TARGET, author_cap: int = AUTHOR_CAP) -> DataFrame:

@@ -14,7 +14,7 @@ from postloom.operators.keyed import side_by_side
 from postloom.operators.sampling import AUTHOR_CAP, TARGET, sample_with_backfill
 from postloom.session import materialize
 
-SAMPLE_COLUMNS = ("event_id", "pubkey", "created_at", "content", "relay", "review_status")
+SAMPLE_COLUMNS = ("event_id", "pubkey", "created_at", "content", "relay", "review_status", "first_seq")
 
 
 CLASSIFIED_COLUMNS = (

@@ -19,7 +19,7 @@ from postloom.operators.keyed import side_by_side
 from postloom.operators.labels import LABEL_SET_VERSION
 from postloom.operators.sampling import coverage_subset
 from postloom.session import materialize
-from postloom.sources.snapshots import source_records
+from postloom.sources.snapshots import document_present, source_records
 
 
 @dataclass
@@ -43,18 +43,29 @@ def build_training_set(real: DataFrame, synthetic: DataFrame, dim: DataFrame) ->
     return TrainingSet(normalized, merge_training(normalized))
 
 
-def manifest(built: TrainingSet, real: DataFrame, synthetic: DataFrame, dim: DataFrame) -> DataFrame:
-    """One row: label set, records seen per input file kind, and the output counts."""
+def manifest(
+    built: TrainingSet,
+    real: DataFrame,
+    synthetic: DataFrame,
+    dim: DataFrame,
+    present: dict[str, bool] | None = None,
+    label_version: str = LABEL_SET_VERSION,
+) -> DataFrame:
+    """One row: label set, records seen per input file kind, and the output counts.
+
+    ``present`` tells per kind (real, synthetic) whether its snapshot document exists; without it a document
+    counts as there if it has entries. ``label_version`` names the label map that ``dim`` was read from.
+    """
 
     def seen(df: DataFrame, name: str) -> DataFrame:
         return df.agg(
             F.count(F.lit(1)).alias(f"{name}_records_seen"),
-            F.coalesce(F.bool_or(F.col("file_rank") == 0), F.lit(False)).alias(f"{name}_snapshot_present"),
+            (F.lit(present[name]) if present else F.coalesce(F.bool_or(F.col("file_rank") == 0), F.lit(False))).alias(f"{name}_snapshot_present"),
             F.coalesce(F.bool_or(F.col("file_rank") == 1), F.lit(False)).alias(f"{name}_log_present"),
         )
 
     labels = dim.agg(F.count_if(~F.col("is_qa")).alias("label_map_count")).withColumn(
-        "label_map_version", F.lit(LABEL_SET_VERSION)
+        "label_map_version", F.lit(label_version)
     )
     counts = built.summary().select(
         "total_count",
@@ -84,7 +95,10 @@ def export_training_set(
     export_order(built.rows).write.mode("overwrite").json(f"{out_dir}/dataset")
     built.summary().write.mode("overwrite").json(f"{out_dir}/summary")
     built.label_counts().write.mode("overwrite").json(f"{out_dir}/label_counts")
-    manifest(built, real, synthetic, dim).write.mode("overwrite").json(f"{out_dir}/manifest")
+    present = {
+        kind: document_present(spark, f"{data_dir}/{kind}-labels.json", document_per_line) for kind in ("real", "synthetic")
+    }
+    manifest(built, real, synthetic, dim, present).write.mode("overwrite").json(f"{out_dir}/manifest")
     return built
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions import prompts as P
@@ -12,6 +12,13 @@ from postloom.operators.labeling import Labeler, label_with
 from postloom.operators.progress import HUMAN_CONFIDENCE, confidence_report, refine_candidates
 from postloom.operators.resume import ITEM_COLUMNS, item_shape, last_ok, pass2_overlay, remaining_retry_failed
 from postloom.session import materialize
+from postloom.sources.jsonl import append_log, scan_log_records, variant_fields
+
+OUTCOME_COLUMNS = (*ITEM_COLUMNS, "ok", "reason")
+OUTCOME_SCHEMA = (
+    "event_id STRING, pubkey STRING, created_at BIGINT, content STRING, label STRING, label_id INT, "
+    "confidence DOUBLE, rationale STRING, is_uncertain BOOLEAN, pass INT, source STRING, ok BOOLEAN, reason STRING"
+)
 
 
 @dataclass
@@ -29,6 +36,12 @@ class TwoPassResult:
         return confidence_report(self.items, human_threshold)
 
 
+def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """Outcomes of a log, with ``ord`` in the order of their appends; no rows if there is no log yet."""
+    records = scan_log_records(spark, path)
+    return variant_fields(records.withColumnRenamed("record_order", "ord"), OUTCOME_SCHEMA)
+
+
 def label_two_pass(
     approved: DataFrame,
     labeler: Labeler,
@@ -39,16 +52,26 @@ def label_two_pass(
     refine: bool = True,
     max_retries: int = 5,
     max_parallel_calls: int | None = None,
+    log_path: str | None = None,
 ) -> TwoPassResult:
     """Label approved posts, then ask again about low-confidence or uncertain ones.
 
     Events with a success in ``log`` keep their last item and are not asked again in pass 1; they
     do take part in refinement. Each pass is written once before it is used, so no call repeats.
+
+    With ``log_path`` both passes append their outcomes to that log as soon as they are written, and a
+    later call reads it back: answers that were paid for survive a crash between the passes. What a single pass had
+    answered when it broke off is asked again, as Spark keeps the rows of finished passes only.
     """
+    if log_path is not None:
+        stored = read_outcomes(approved.sparkSession, log_path)
+        log = stored if log is None else log.unionByName(stored, allowMissingColumns=True)
     base = approved.select("event_id", "pubkey", "created_at", "content")
     todo = base if log is None else remaining_retry_failed(base, log)
     options = {"max_retries": max_retries, "max_parallel_calls": max_parallel_calls}
     pass1 = materialize(label_with(todo, labeler, model, **options), "pass1")
+    if log_path is not None:
+        append_log(pass1.select(*OUTCOME_COLUMNS), log_path)
     items = item_shape(pass1.filter("ok"))
     if log is not None:
         items = items.unionByName(last_ok(log).select(*ITEM_COLUMNS))
@@ -62,4 +85,6 @@ def label_two_pass(
         label_with(doubtful, refiner or labeler, model, prompt=prompt, pass_number=2, **options).drop("first_label"),
         "pass2",
     )
+    if log_path is not None:
+        append_log(pass2.filter("ok").select(*OUTCOME_COLUMNS), log_path)
     return TwoPassResult(pass2_overlay(items, item_shape(pass2.filter("ok"))), pass1, pass2)

@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions import answers as A
-from postloom.operators.keyed import side_by_side
-from postloom.operators.labels import label_dim
-from postloom.sources.jsonl import _read_lines, scan_jsonl_records
+from postloom.operators.keyed import last_per_key, side_by_side
+from postloom.sources.jsonl import ordered_lines, scan_log_records
 
 
 def scan_snapshot_records(
@@ -19,20 +18,33 @@ def scan_snapshot_records(
 ) -> DataFrame:
     """Entries of the ``array`` field of JSON documents, with position and the document's model.
 
-    Columns ``record`` (VARIANT), ``source_record_index``, ``fallback_model`` and ``source_file``.
-    A missing or corrupt document gives no rows. A document is one file, read by one task, or one
+    Columns ``record`` (VARIANT), ``source_record_index``, ``record_order``, ``fallback_model`` and ``source_file``.
+    Documents follow each other by their number ``document_order`` if they have one, then by file name and
+    line; ``record_order`` sorts all entries that way. A missing or corrupt document gives no rows. A document is one file, read by one task, or one
     line with ``document_per_line``, which lets many documents share splittable files.
     """
-    texts = _read_lines(spark, path, whole=not document_per_line)
-    docs = texts.select(F.try_parse_json(F.col("value")).alias("doc"))
-    listed = docs.filter(A.kind_of(F.col("doc"), f"$.{array}") == "array")
-    return listed.select(
-        F.posexplode(F.try_variant_get("doc", f"$.{array}", "array<variant>")).alias(
-            "source_record_index", "record"
-        ),
+    listed = _documents(spark, path, document_per_line).filter(A.kind_of(F.col("doc"), f"$.{array}") == "array")
+    rank = F.coalesce(F.try_variant_get("doc", "$.document_order", "bigint"), F.lit(-1))
+    entries = listed.select(
+        F.posexplode(F.try_variant_get("doc", f"$.{array}", "array<variant>")).alias("source_record_index", "record"),
         A.string_field(F.col("doc"), "$.model").alias("fallback_model"),
         F.lit(_base_name(path)).alias("source_file"),
+        rank.alias("_rank"),
+        "line_order",
     )
+    # The same shape as in logs: the document's place before the place in the document.
+    place = F.struct(F.col("_rank").alias("append"), F.lit(-1).cast("bigint").alias("position"), "line_order")
+    return entries.withColumn("record_order", place).drop("_rank", "line_order")
+
+
+def _documents(spark: SparkSession, path: str, document_per_line: bool) -> DataFrame:
+    texts = ordered_lines(spark, path, whole=not document_per_line)
+    return texts.select(F.try_parse_json(F.col("value")).alias("doc"), "line_order").filter(F.col("doc").isNotNull())
+
+
+def document_present(spark: SparkSession, path: str, document_per_line: bool = False) -> bool:
+    """Whether the path holds a readable document, with or without entries."""
+    return not _documents(spark, path, document_per_line).isEmpty()
 
 
 def _base_name(path: str) -> str:
@@ -44,16 +56,17 @@ def source_records(
 ) -> DataFrame:
     """Source records of one side: snapshot items first, then successful log rows.
 
-    Log rows take the snapshot's model as their fallback. Line positions in the log follow the
-    file order within the partitioned log folder.
+    Log rows take the snapshot's model as their fallback. ``record_order`` is the order in which records
+    overwrite each other; ``source_record_index`` is an entry's index in its document, and a log row's
+    position in its append.
     """
     snapshot = scan_snapshot_records(spark, snapshot_path, document_per_line=document_per_line)
     snapshot = snapshot.withColumn("file_rank", F.lit(0))
     model = snapshot.agg(F.max("fallback_model").alias("fallback_model"))
-    log = scan_jsonl_records(spark, log_path).filter(A.true_field(F.col("record"), "$.ok"))
+    log = scan_log_records(spark, log_path).filter(A.true_field(F.col("record"), "$.ok"))
     log = log.withColumns(
         {
-            "source_record_index": F.monotonically_increasing_id(),
+            "source_record_index": F.col("record_order.position"),
             "source_file": F.lit(_base_name(log_path)),
             "file_rank": F.lit(1),
         }
@@ -62,22 +75,27 @@ def source_records(
     return snapshot.withColumn("source_record_index", F.col("source_record_index").cast("long")).unionByName(log)
 
 
-def write_label_map(spark: SparkSession, path: str) -> None:
-    """Distribution copy of the label dimension, one row per label."""
-    label_dim(spark).coalesce(1).write.mode("overwrite").json(path)
+def write_label_map(dim: DataFrame, path: str) -> None:
+    """The label dimension as a label-map document: ``labels[]`` of id, char, def, and ``qa``."""
+    entry = F.struct(F.col("label_id").alias("id"), F.col("label").alias("char"), F.col("definition").alias("def"))
+    doc = dim.agg(
+        F.array_sort(F.collect_list(F.when(~F.col("is_qa"), entry))).alias("labels"),
+        F.max(F.when(F.col("is_qa"), entry)).alias("qa"),
+    )
+    doc.coalesce(1).write.mode("overwrite").json(path)
 
 
 def read_label_map(spark: SparkSession, path: str) -> DataFrame:
     """Label dimension from a label-map document (``labels[]`` of id, char, def, plus ``qa``).
 
-    Raises when the document is missing or lists no label.
+    A char that is listed twice keeps its last entry. Raises when the document lists no label.
     """
     entry = "struct<id:int,char:string,def:string>"
     docs = spark.read.schema(f"labels array<{entry}>, qa {entry}").option("multiLine", True).json(path)
-    labels = docs.select(F.explode("labels").alias("e"), F.lit(False).alias("is_qa"))
-    qa = docs.select(F.col("qa").alias("e"), F.lit(True).alias("is_qa"))
-    dim = labels.unionByName(qa).filter("e.id is not null and e.char is not null")
-    dim = dim.select(
+    labels = docs.select(F.posexplode("labels").alias("pos", "e"), F.lit(False).alias("is_qa"))
+    qa = docs.select(F.lit(-1).alias("pos"), F.col("qa").alias("e"), F.lit(True).alias("is_qa"))
+    listed = labels.unionByName(qa).filter("e.id is not null and e.char is not null").withColumn("char", F.col("e.char"))
+    dim = last_per_key(listed, ["char", "is_qa"], "pos").select(
         F.col("e.id").alias("label_id"),
         F.col("e.char").alias("label"),
         F.coalesce("e.def", F.lit("")).alias("definition"),

@@ -89,8 +89,8 @@ def test_seed_modes(spark):
 
 
 def test_candidates(spark):
-    tired, cat = "今日はねむすぎて何もできない", "猫がかわいくてたまらん"
-    texts = [tired, f" {tired} ", cat, "短い", "あ" * 201, "this is an english only post"]
+    tired, cat = "となりの町まで自転車でいってきた", "みかんの皮がやけにかたい"
+    texts = [tired, f" {tired} ", cat, "短い", "あ" * 201, "an umbrella stands in the corner"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "seq int, content string")
     got = [r.reason for r in synthesis.candidate_filter(df).orderBy("seq").collect()]
     assert got == [None, "duplicate", None, "too_short", "too_long", "not_japanese"]
@@ -134,7 +134,7 @@ def test_quota_fill_matches_brute_force(spark):
 
 
 def test_synthetic_record_defaults(spark):
-    df = spark.createDataFrame([("猫が膝の上で寝てて動けない", "猫")], "content string, label string")
+    df = spark.createDataFrame([("はしごの上から屋根をながめる", "猫")], "content string, label string")
     row = synthesis.synthetic_records(df, "m", 1).first()
     assert row.event_id.startswith("syn-") and row.pubkey == "synthetic" and row.label_id == 44
     assert (row.confidence, row.rationale, row.source) == (0.9, "逆生成（synthetic）", "synthetic:m")
@@ -150,22 +150,22 @@ def test_training_merge(spark):
     real = records(
         spark,
         [
-            ('{"event_id":"dup-1","content":"最初のラベル","label":"愛","source":"old","created_at":10}', "real.json", 0, 0, "old"),
-            ('{"content":"欠番でも書き出す","label":"猫","source":"old","created_at":11}', "real.json", 0, 1, "old"),
-            ('{"event_id":"dup-1","content":"後が勝つ","label":"欲","source":"new","created_at":12}', "log", 1, 0, "new"),
+            ('{"event_id":"dup-1","content":"ひとつめの文","label":"愛","source":"old","created_at":10}', "real.json", 0, 0, "old"),
+            ('{"content":"番号のない文","label":"猫","source":"old","created_at":11}', "real.json", 0, 1, "old"),
+            ('{"event_id":"dup-1","content":"あとから来た文","label":"欲","source":"new","created_at":12}', "log", 1, 0, "new"),
         ],
     )
     synthetic = records(
         spark,
         [
-            ('{"event_id":"syn-1","content":"合成データ","label":"犬","source":"synthetic:s","created_at":13}', "log", 1, 0, "s"),
-            ('{"event_id":"bad","content":"これは落とす","label":"存在しない","created_at":14}', "log", 1, 1, "s"),
+            ('{"event_id":"syn-1","content":"つくられた文","label":"犬","source":"synthetic:s","created_at":13}', "log", 1, 0, "s"),
+            ('{"event_id":"bad","content":"のこらない文","label":"存在しない","created_at":14}', "log", 1, 1, "s"),
         ],
     )
     built = build_training_set(real, synthetic, label_dim(spark))
     rows = {r.event_id: r for r in export.export_order(built.rows).collect()}
     assert len(rows) == 3
-    assert (rows["dup-1"].content, rows["dup-1"].label_id, rows["dup-1"].source_model) == ("後が勝つ", 1, "new")
+    assert (rows["dup-1"].content, rows["dup-1"].label_id, rows["dup-1"].source_model) == ("あとから来た文", 1, "new")
     assert any(k.startswith("real-missing-") for k in rows)
     assert rows["syn-1"].synthetic and rows["syn-1"].source_model == "s"
     s = built.summary().first()
