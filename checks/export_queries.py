@@ -303,6 +303,11 @@ def subset_meta(spark, sf_dir):
     return training.subset_meta(V.gold(spark, sf_dir), 4, max_total=3)
 
 
+@query("subset_label_counts", W("gold", **TINY) + "SELECT label_id, count(*) AS count FROM subset GROUP BY ALL")
+def subset_label_counts(spark, sf_dir):
+    return training.subset_label_counts(sampling.coverage_subset(V.gold(spark, sf_dir), 4, max_total=3))
+
+
 @query(
     "stratified_split",
     W("labeled") + """SELECT event_id, label_id, CASE WHEN n >= 2 AND rn <= least(greatest(CAST(round_even(n * 0.15::DOUBLE, 0) AS BIGINT), 1), n - 1)
@@ -394,6 +399,19 @@ def synthesis_report(spark, sf_dir):
     return synthesis.synthesis_report(filled(spark, sf_dir), needs)
 
 
+@query(
+    "synthesis_totals",
+    W(*FILL_VIEWS, **COUNTS, **NEEDS, **CANDIDATES) + """SELECT (SELECT count(*) FROM needs WHERE need > 0) AS deficit_labels,
+      count(*) FILTER (outcome = 'taken') AS generated, count(*) FILTER (outcome = 'verify_rejected') AS verified_rejected,
+      count(*) FILTER (outcome = 'filter_rejected') AS filter_rejected,
+      count(*) FILTER (outcome = 'taken') + (SELECT count(*) FROM labeled) AS synthetic_total FROM filled""",
+)
+def synthesis_totals(spark, sf_dir):
+    labeled = V.labeled(spark, sf_dir)
+    needs = progress.label_deficits(progress.label_counts_full(labeled, V.dim(spark)), 120)
+    return synthesis.synthesis_totals(filled(spark, sf_dir), needs, labeled)
+
+
 @query(
     "make_synthetic",
     W(*FILL_VIEWS, **COUNTS, **NEEDS, **CANDIDATES) + f"""SELECT 'syn-' || {Q.chash('content')} AS event_id, 'synthetic' AS pubkey,

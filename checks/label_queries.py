@@ -75,6 +75,27 @@ def progress_report(spark, sf_dir):
     return progress.progress_report(resume.ok_rows(log), log.filter(~F.col("ok")), V.dim(spark), MIN)
 
 
+@query(
+    "pipeline_report",
+    W("labeled", "dim", **COUNTS) + f""", every AS (SELECT d.label_id, d.label, count(l.event_id) AS n FROM dim d
+        LEFT JOIN labeled l ON l.label = d.label AND l.ok WHERE NOT is_qa GROUP BY ALL)
+      SELECT (SELECT count(*) FROM labeled WHERE ok) AS total_labeled, (SELECT string_agg(label_id || ':' || n, ',' ORDER BY label_id) FROM every) AS label_counts,
+        (SELECT coalesce(string_agg(label || ':' || n, ',' ORDER BY label), '') FROM (SELECT label, count(*) AS n FROM labeled WHERE ok AND label = '分類不能' GROUP BY 1)) AS qa_counts,
+        (SELECT coalesce(string_agg(label_id || ':' || n, ',' ORDER BY n, label_id), '') FROM every WHERE n < {MIN}) AS labels_below_target, 7::BIGINT AS retries, 'm' AS model""",
+)
+def pipeline_report(spark, sf_dir):
+    log = V.labeled(spark, sf_dir)
+    row = progress.pipeline_report(resume.ok_rows(log), log.filter(~F.col("ok")), V.dim(spark), MIN, {"retries": 7}, "m")
+
+    def listed(column, name):
+        return F.array_join(F.transform(column, lambda x: F.concat_ws(":", x[name].cast("string"), x["count"].cast("string"))), ",").alias(column)
+
+    return row.select(
+        "total_labeled", listed("label_counts", "label_id"), listed("qa_counts", "label"), listed("labels_below_target", "label_id"),
+        F.col("stats")["retries"].alias("retries"), "model",
+    )
+
+
 DEFICITS = dict(
     deficits="SELECT label_id, label, count AS have, greatest(0, 300 - count) AS need FROM counts WHERE count < 300"
 )

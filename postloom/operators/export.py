@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions import answers as A
@@ -224,3 +224,8 @@ def training_rows(lines: DataFrame, num_labels: int, line: str = "value") -> Dat
         .when(F.col("norm") == "", F.lit("no_content"))
     )
     return staged.withColumn("skip_reason", reason).drop("_text", "_v", "_content", "_kind", "_number", "_digits")
+
+
+def read_training_rows(spark: SparkSession, path: str, num_labels: int) -> DataFrame:
+    """:func:`training_rows` of the line-delimited files at ``path``; skipped lines keep their reason."""
+    return training_rows(spark.read.text(path), num_labels)

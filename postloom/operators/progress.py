@@ -64,6 +64,35 @@ def progress_report(
     return side_by_side(totals, *parts).withColumn("min_per_label", F.lit(int(minimum)))
 
 
+def pipeline_report(
+    labeled: DataFrame,
+    seen_failures: DataFrame | None,
+    dim: DataFrame,
+    minimum: int = MIN_PER_LABEL,
+    stats: dict[str, int] | None = None,
+    model: str | None = None,
+) -> DataFrame:
+    """One row: :func:`progress_report` with its lists, the run's counters ``stats`` and the model.
+
+    ``label_counts`` lists every target label by id, ``qa_counts`` all other labels that occur, and
+    ``labels_below_target`` those under the minimum, lowest first. A list has one entry a label.
+    """
+    counts = label_counts_full(labeled, dim)
+    others = other_counts(labeled, dim).filter(F.col("label").isNotNull())
+    entry = F.struct("label_id", "label", "count")
+    below = F.struct("count", "label_id", "label")
+    lists = (
+        counts.agg(F.array_sort(F.collect_list(entry)).alias("label_counts")),
+        others.agg(F.array_sort(F.collect_list(F.struct("label", "count"))).alias("qa_counts")),
+        counts.filter(F.col("count") < int(minimum)).agg(F.array_sort(F.collect_list(below)).alias("labels_below_target")),
+    )
+    report = side_by_side(progress_report(labeled, seen_failures, dim, minimum), *lists)
+    known = [F.lit(x) for name, n in (stats or {}).items() for x in (name, int(n))]
+    return report.withColumns(
+        {"stats": F.create_map(*known).cast("map<string, bigint>"), "model": F.lit(model).cast("string")}
+    )
+
+
 def label_deficits(
     counts: DataFrame, minimum: int = MIN_PER_LABEL, labels: Sequence[str] | None = None
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from postloom.functions import gates as G
 from postloom.functions import text as T
 from postloom.operators.export import SYNTHETIC_PREFIX, synthetic_event_id
-from postloom.operators.keyed import first_per_key
+from postloom.operators.keyed import first_per_key, side_by_side
 from postloom.operators.labels import label_id_of
 from postloom.session import materialize
 
@@ -173,6 +173,16 @@ def synthesis_report(filled: DataFrame, deficits: DataFrame) -> DataFrame:
     )
 
 
+def synthesis_totals(filled: DataFrame, deficits: DataFrame, synthetic_before: DataFrame) -> DataFrame:
+    """One row of totals over all labels in need, and the synthetic rows there are after the run."""
+    sums = synthesis_report(filled, deficits).agg(
+        F.count(F.lit(1)).alias("deficit_labels"),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("generated", "verified_rejected", "filter_rejected")),
+    )
+    before = synthetic_before.agg(F.count(F.lit(1)).alias("_before"))
+    return side_by_side(sums, before).select("*", (F.col("_before") + F.col("generated")).alias("synthetic_total")).drop("_before")
+
+
 def synthetic_records(
     rows: DataFrame,
     model: str,

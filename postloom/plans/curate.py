@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions import gates as G
-from postloom.operators.activity import author_stats, author_totals
+from postloom.operators.activity import author_stats, author_totals, top_authors
 from postloom.operators.dedup import near_dup_clusters
 from postloom.operators.keyed import side_by_side
 from postloom.operators.sampling import AUTHOR_CAP, TARGET, sample_with_backfill
@@ -17,6 +17,14 @@ from postloom.session import materialize
 SAMPLE_COLUMNS = ("event_id", "pubkey", "created_at", "content", "relay", "review_status", "first_seq")
 
 
+# What the gates of :mod:`postloom.functions.gates` do, in words for the policy row.
+LANGUAGE_RULES = (
+    "at least 5 characters of text",
+    "kana share of 0.12 or more, or kana and kanji share of 0.35 or more",
+    "a detector that says Chinese excludes texts without kana",
+)
+EXCLUSION_RULES = ("promotion", "too many links or tags", "texts in other languages", "mentions only")
+
 CLASSIFIED_COLUMNS = (
     "content_hash", "event_id", "pubkey", "created_at", "content", "relay", "dup_count",
     "author_count", "first_seq", "detected", "is_japanese", "spam_reasons", "status", "reasons",
@@ -65,6 +73,8 @@ class Curation:
 
     classified: DataFrame
     samples: DataFrame
+    target: int = TARGET
+    author_cap: int = AUTHOR_CAP
 
     def sample_rows(self) -> DataFrame:
         return self.samples.select(*SAMPLE_COLUMNS)
@@ -72,10 +82,27 @@ class Curation:
     def report(self) -> DataFrame:
         return curate_report(self.classified, self.samples)
 
-    def write(self, path: str) -> None:
-        """Samples and the one-row report as two tables."""
+    def policy(self) -> DataFrame:
+        """One row: how samples were chosen."""
+        return self.samples.sparkSession.range(1).select(
+            F.lit(self.target).alias("target"),
+            F.lit(self.author_cap).alias("per_author_cap"),
+            F.array(F.lit("event_id"), F.lit("normalized_content")).alias("dedupe"),
+            F.array(*(F.lit(x) for x in LANGUAGE_RULES)).alias("language_heuristics"),
+            F.array(*(F.lit(x) for x in EXCLUSION_RULES)).alias("exclusions"),
+        )
+
+    def top_authors(self, n: int = 10) -> DataFrame:
+        """Authors with the most approved samples."""
+        return top_authors(author_stats(self.samples), n)
+
+    def write(self, path: str, raw_skips: DataFrame | None = None) -> None:
+        """Samples, selection policy, top authors and the one-row report, with the counters of the intake if given."""
         self.sample_rows().write.mode("overwrite").parquet(f"{path}/samples")
-        self.report().write.mode("overwrite").json(f"{path}/report")
+        self.policy().write.mode("overwrite").json(f"{path}/policy")
+        self.top_authors().write.mode("overwrite").json(f"{path}/top_authors")
+        report = self.report() if raw_skips is None else side_by_side(self.report(), raw_skips)
+        report.write.mode("overwrite").json(f"{path}/report")
 
 
 def curate(posts: DataFrame, target: int = TARGET, author_cap: int = AUTHOR_CAP) -> Curation:
@@ -85,4 +112,4 @@ def curate(posts: DataFrame, target: int = TARGET, author_cap: int = AUTHOR_CAP)
     narrow columns, and the text is read again only for the final rows.
     """
     classified = materialize(classify_posts_status(posts), "classified")
-    return Curation(classified, sample_with_backfill(classified, target, author_cap))
+    return Curation(classified, sample_with_backfill(classified, target, author_cap), target, author_cap)

@@ -131,8 +131,15 @@ def subset_meta(
     )
 
 
+def subset_label_counts(subset: DataFrame) -> DataFrame:
+    """Rows of the subset per label; a label without rows is not listed."""
+    return subset.groupBy("label_id").agg(F.count(F.lit(1)).alias("count"))
+
+
 def write_subset(rows: DataFrame, num_labels: int, path: str, **options: int) -> None:
-    """Subset rows (``content, label_id``) and their meta row."""
+    """Subset rows (``content, label_id``), their meta row, rows per label, and labels that are not covered."""
     subset = coverage_subset(rows, num_labels, **options)
     subset.select("content", "label_id").write.mode("overwrite").json(f"{path}/subset")
     subset_meta(rows, num_labels, **options).write.mode("overwrite").json(f"{path}/subset_meta")
+    subset_label_counts(subset).write.mode("overwrite").json(f"{path}/subset_label_counts")
+    uncovered_labels(rows, subset, num_labels).write.mode("overwrite").json(f"{path}/subset_uncovered")
