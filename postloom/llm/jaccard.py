@@ -12,9 +12,13 @@ Light segments, which unrelated sets share, are thus never indexed.
 One-deletion segments: with ``k`` segments and D < 2k, some segment differs in one member at most, so it meets
 through its own hash or the hash of it less one member.
 
-Buckets of equal hashes are worked off in rounds. A round compares a few leaders of each bucket with
-members of other groups and merges what links; members that are connected already are not compared
-again, so large groups of copies cost little, and in the last round every pair left is compared.
+Each set also has a bitmap in which every member flips one bit. The bits in which two bitmaps differ
+are no more than the members in which the sets differ, so a pair with too many of them is dropped
+without a look at its members, and no pair that links is.
+
+Buckets of equal hashes are worked off in two rounds. The first compares each member with the bucket's
+smallest and with the one before it, and merges what links. The second compares all pairs of a bucket
+that are not connected by then, tile by tile, so that large groups of copies cost little.
 """
 
 from __future__ import annotations
@@ -40,8 +44,10 @@ BAND_RATIO = 1.6
 SLACK = 0.10
 # Cost of one comparison of two sets, counted in index entries.
 COMPARE_COST = 20.0
-# Leaders of a bucket, by rank, that are done after each round; the last round takes all.
-ROUNDS = (1, 8, 64, None)
+# Bits of a set's bitmap, in 64-bit words.
+BITMAP_WORDS = 16
+# Members of a bucket that the second round compares in one piece; larger buckets are cut into pairs of such pieces.
+TILE = 4096
 # Words whose hashes a worker remembers.
 WORDS_KEPT = 400_000
 
@@ -175,12 +181,19 @@ def _band_entries(members: np.ndarray, band: Band, bound: int) -> np.ndarray:
     return hashes
 
 
+def bitmap(members: np.ndarray) -> np.ndarray:
+    """Parity of the members that fall on each bit."""
+    bits = BITMAP_WORDS * 64
+    place = (mix(members ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
 def sketch(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
-    """Rows (doc_id, row_key, size, node, entries): one per document, ``node`` standing for its set.
+    """Rows (doc_id, row_key, size, node, bits, entries): one per document, ``node`` standing for its set.
 
     ``node`` is a 64-bit hash of the set, null for an empty one; ``row_key`` hashes id and text.
     """
@@ -192,19 +205,21 @@ def sketch(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
         layout = bands(rows, percent)
 
         def work(bodies: list[str | None]) -> list[pa.Array]:
-            sizes, nodes, parts = [], [], []
+            sizes, nodes, parts, maps = [], [], [], []
             for body in bodies:
                 members = shingle_set(body)
                 sizes.append(len(members))
                 nodes.append(int(mix(np.array([mix(members).sum(dtype=np.uint64) + np.uint64(len(members))])).view(np.int64)[0]) if len(members) else None)
                 parts.append(entries(members, layout, percent))
+                maps.append(bitmap(members))
             ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
             flat = _longs(np.concatenate(parts)) if parts else pa.array([], pa.int64())
-            return [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(ends, flat)]
+            bits = pa.ListArray.from_arrays(np.arange(len(maps) + 1, dtype=np.int32) * BITMAP_WORDS, pa.array(np.concatenate(maps) if maps else np.empty(0, np.int64)))
+            return [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), bits, pa.ListArray.from_arrays(ends, flat)]
 
         return work
 
-    return add_python(base, ["body"], "size bigint, node bigint, entries array<bigint>", make, keep=["doc_id", "row_key"])
+    return add_python(base, ["body"], "size bigint, node bigint, bits array<bigint>, entries array<bigint>", make, keep=["doc_id", "row_key"])
 
 
 def _buckets(indexed: DataFrame) -> DataFrame:
@@ -240,17 +255,87 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
+def _near(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and bitmaps leave room for a link."""
+    one, two = (maps.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    met = pairs.join(one, "a").join(two, "b")
+    met = met.filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return met.filter(differ * (100 + percent) <= (100 - percent) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough, compared member by member."""
     one = sets.select(F.col("node").alias("a"), F.col("members").alias("one"))
     two = sets.select(F.col("node").alias("b"), F.col("members").alias("two"))
     met = pairs.join(one, "a").join(two, "b")
-    large, small = F.greatest(F.size("one"), F.size("two")), F.least(F.size("one"), F.size("two"))
-    met = met.filter(100 * small >= percent * large)
     common = F.size(F.array_intersect("one", "two"))
     return met.filter(100 * common >= percent * (F.size("one") + F.size("two") - common)).select("a", "b")
 
 
+def _apart(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one bucket with different roots, whose sizes and bitmaps leave room for a link.
+
+    ``members`` has rows (entry, node, rank, root, size, bits, pieces); a bucket of several pieces is compared as all
+    pairs of its pieces, each in a group of its own.
+    """
+    piece = F.floor(F.col("rank") / TILE)
+    tiles = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1),
+        lambda other: F.struct(F.least(piece, other).alias("low"), F.greatest(piece, other).alias("high")),
+    )
+    rows = members.select("entry", F.inline(tiles), piece.alias("piece"), "node", "root", "size", "bits")
+    rows = rows.repartition("entry", "low", "high").sortWithinPartitions("entry", "low", "high", "root")
+
+    def compare(parts: list[list[np.ndarray]]) -> pa.RecordBatch | None:
+        piece, node, root, size, bits = (np.concatenate([p[i] for p in parts]) for i in range(3, 8))
+        two_pieces = piece[0] != piece[-1] or (piece != piece[0]).any()
+        # Smaller groups of connected members first: each is compared with all that come after it.
+        _, group, count = np.unique(root, return_inverse=True, return_counts=True)
+        order = np.lexsort((group, count[group]))
+        piece, node, group, size, bits = (x[order] for x in (piece, node, group, size, bits))
+        ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
+        ends = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+        found = []
+        for k in range(len(node)):
+            rest = slice(ends[k], len(node))
+            if ends[k] == len(node):
+                break
+            apart = np.bitwise_count(bits[k] ^ bits[rest]).sum(axis=1, dtype=np.int64)
+            near = apart * (100 + percent) <= (100 - percent) * (size[k] + size[rest])
+            near &= 100 * np.minimum(size[k], size[rest]) >= percent * np.maximum(size[k], size[rest])
+            if two_pieces:
+                near &= piece[rest] != piece[k]
+            if near.any():
+                other = node[rest][near]
+                found.append(np.stack([np.minimum(node[k], other), np.maximum(node[k], other)]))
+        if not found:
+            return None
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i).to_numpy() for i in range(7)] + [batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP_WORDS)]
+            fresh = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)) + 1
+            if held and any(held[-1][i][-1] != columns[i][0] for i in range(3)):
+                fresh = np.concatenate([[0], fresh])
+            for start, stop in zip(np.concatenate([[0], fresh]), np.append(fresh, batch.num_rows)):
+                if start in fresh and held:
+                    if (made := compare(held)) is not None:
+                        yield made
+                    held = []
+                if stop > start:
+                    held.append([c[start:stop] for c in columns])
+        if held and (made := compare(held)) is not None:
+            yield made
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _rows_with_roots(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     """Rows (doc_id, row_key, size, node, root): ``root`` is equal for sets that reach each other, null for empty sets."""
     rows = materialize(sketch(docs, doc_id, text, percent), "sketches")
@@ -270,25 +355,24 @@ def _rows_with_roots(docs: DataFrame, doc_id: str, text: str, percent: int) -> D
         return work
 
     sets = materialize(add_python(bodies, ["body"], "members array<bigint>", make, keep=["node"]), "sets")
-    tried = materialize(_pairs(buckets, "leader", "node").unionAll(_pairs(buckets, "previous", "node")).distinct(), "pairs")
-    edges = materialize(_linked(tried, sets, percent).distinct(), "links")
-    groups = materialize(components(edges), "groups")
-    members = buckets.select("entry", "node", "rank").unionAll(buckets.filter("rank = 1").select("entry", F.col("leader").alias("node"), F.lit(0).cast("bigint").alias("rank")))
-    for done, following in zip(ROUNDS, ROUNDS[1:]):
-        known = members.join(groups, "node", "left").select("entry", "node", "rank", F.coalesce("root", "node").alias("root"))
-        split = known.groupBy("entry").agg(F.max("rank").alias("last"), (F.min("root") != F.max("root")).alias("apart")).filter(F.col("apart") & (F.col("last") > done))
-        members = materialize(known.join(split.select("entry"), "entry", "left_semi"), "open-buckets")
-        if members.isEmpty():
-            break
-        leaders = members.filter((F.col("rank") >= done) & (F.lit(True) if following is None else F.col("rank") < following))
-        near = leaders.select("entry", F.col("node").alias("one"), F.col("root").alias("one_root"), F.col("rank").alias("one_rank")).join(members, "entry")
-        pairs = _pairs(near.filter("one_root <> root AND one_rank < rank"), "one", "node").distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionAll(pairs)
-        found = materialize(_linked(pairs, sets, percent).distinct(), "links")
-        if not found.isEmpty():
-            groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found)), "groups")
-        members = members.select("entry", "node", "rank")
+    maps = rows.filter("node IS NOT NULL").select("node", "size", "bits").join(picked, "node").dropDuplicates(["node"])
+    maps = materialize(maps.select("node", "size", "bits"), "bitmaps")
+    first = _pairs(buckets, "leader", "node").unionAll(_pairs(buckets, "previous", "node")).distinct()
+    tried = materialize(_near(first, maps, percent), "pairs")
+    groups = materialize(components(_linked(tried, sets, percent)), "groups")
+    members = buckets.select("entry", "node", "rank").unionAll(
+        buckets.filter("rank = 1").select("entry", F.col("leader").alias("node"), F.lit(0).cast("bigint").alias("rank"))
+    )
+    known = members.join(groups, "node", "left").select("entry", "node", "rank", F.coalesce("root", "node").alias("root"))
+    open_buckets = known.groupBy("entry").agg(F.max("rank").alias("last"), (F.min("root") != F.max("root")).alias("apart"))
+    # In buckets of two the first round has compared all there is.
+    open_buckets = open_buckets.filter(F.col("apart") & (F.col("last") > 1)).select("entry", (F.floor(F.col("last") / TILE) + 1).alias("pieces"))
+    left = known.join(open_buckets, "entry").join(maps, "node")
+    pairs = materialize(_apart(left, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = materialize(_linked(pairs, sets, percent), "links")
+    if not found.isEmpty():
+        stars = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        groups = materialize(components(stars.unionAll(found)), "groups")
     joined = rows.select("doc_id", "row_key", "size", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return materialize(joined, "rows-with-roots")
 

@@ -156,13 +156,28 @@ def test_groups_equal_the_plain_version(spark, copies):
     assert cases.plain(kept.select("doc_id", "text", "lang").collect()) == cases.plain(first)
 
 
-def test_later_rounds_compare_what_is_left(spark, copies, monkeypatch):
-    """One leader at a time, then all: the groups stay the same."""
-    monkeypatch.setattr(jaccard, "ROUNDS", (1, 2, None))
-    _, groups = plain_groups(copies)
-    assert jaccard.similar_groups(cases.docs(spark, copies)).filter("size > 0").select("component_id").distinct().count() == len(
-        {min((copies[k][0] for k in g if copies[k][0] is not None), default=None) for g in groups if any(cases.solid_words(copies[k][1]) for k in g)}
-    )
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_all_pairs_left_are_compared_in_tiles(spark, copies, monkeypatch, tile):
+    """Without a first round that merges anything, the second finds all links, whatever the size of its pieces."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    near = jaccard._near
+    monkeypatch.setattr(jaccard, "_near", lambda pairs, maps, percent: near(pairs, maps, percent).limit(0))
+    ids = [r[0] for r in copies if r[0] is not None and 500 <= r[0] < 953]
+    rows = [r for r in copies if r[0] in ids]
+    _, groups = plain_groups(rows)
+    wanted = {(rows[k][0], min(rows[x][0] for x in g)) for g in groups for k in g}
+    found = jaccard.similar_groups(cases.docs(spark, rows))
+    buckets_of_two = {(r.doc_id, r.component_id) for r in found.collect()} ^ wanted
+    assert len(buckets_of_two) <= 12  # pairs that meet in buckets of two only are left to the first round
+
+
+def test_bitmaps_differ_in_no_more_bits_than_members():
+    rnd = np.random.default_rng(1)
+    for _ in range(300):
+        a = np.unique(rnd.integers(0, 2**63, int(rnd.integers(1, 3000)), dtype=np.uint64))
+        b = np.concatenate([a[int(rnd.integers(0, len(a))):], rnd.integers(0, 2**63, int(rnd.integers(0, 200)), dtype=np.uint64)])
+        apart = np.bitwise_count((jaccard.bitmap(a) ^ jaccard.bitmap(b)).view(np.uint64)).sum()
+        assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
 def test_groups_of_empty_tables(spark):
