@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postloom.functions import answers as A
 from postloom.functions import text as T
 from postloom.operators.keyed import last_per_key, side_by_side
+from postloom.session import materialize
 
 TRAINING_COLUMNS = (
     "content", "label", "label_id", "source_type", "event_id", "source_model", "source",
@@ -150,7 +151,12 @@ def export_order(rows: DataFrame, collation: str | None = None) -> DataFrame:
 
 
 def training_summary(normalized: DataFrame) -> DataFrame:
-    """One row of totals over normalized records."""
+    """One row of totals over normalized records.
+
+    The few columns that both halves count are written once, so records are normalized once.
+    """
+    narrow = ("source_type", "skip_reason", "missing_event_id", "event_id", "merge_order")
+    normalized = materialize(normalized.select(*narrow), "summary-rows")
     valid = F.col("skip_reason").isNull()
     inputs = normalized.agg(
         F.count_if(F.col("source_type") == "real").alias("input_real"),
@@ -161,7 +167,7 @@ def training_summary(normalized: DataFrame) -> DataFrame:
         F.count_if(valid & F.col("missing_event_id")).alias("missing_event_ids_assigned"),
         F.count_if(valid).alias("_valid"),
     )
-    merged = merge_training(normalized).agg(
+    merged = last_per_key(normalized.filter(valid), ["event_id"], "merge_order").agg(
         F.count(F.lit(1)).alias("total_count"),
         F.count_if(F.col("source_type") == "real").alias("real_count"),
         F.count_if(F.col("source_type") == "synthetic").alias("synthetic_count"),
