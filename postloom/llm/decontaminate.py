@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.llm.rows import small_side
 from postloom.session import materialize
 
 # Words of a window, and of the runs hashed: a window holds WINDOW - GRAM + 1 runs.
@@ -157,4 +158,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
     hit = find_overlaps(docs, benchmark, doc_id, text).filter("n_hit > 0").select(F.col("row_key").alias("hit_key")).distinct()
     hit = materialize(hit, "contaminated")
     keyed = docs.withColumn("__row_key", F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
-    return keyed.join(hit, F.col("__row_key") == F.col("hit_key"), "left_anti").drop("__row_key")
+    return keyed.join(small_side(hit), F.col("__row_key") == F.col("hit_key"), "left_anti").drop("__row_key")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.graph import components
-from postloom.llm.rows import add_python
+from postloom.llm.rows import add_python, small_side
 from postloom.session import materialize
 
 SHINGLE = 4
@@ -344,7 +344,7 @@ def _rows_with_roots(docs: DataFrame, doc_id: str, text: str, percent: int) -> D
     nodes = buckets.select(F.explode(F.array("node", "leader")).alias("node")).distinct()
     picked = rows.select("node", "row_key").join(nodes, "node").groupBy("node").agg(F.min("row_key").alias("row_key"))
     picked = materialize(picked, "picked")
-    bodies = docs.select(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row_key"), F.col(f"`{text}`").alias("body")).join(picked, "row_key").dropDuplicates(["row_key"])
+    bodies = docs.select(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row_key"), F.col(f"`{text}`").alias("body")).join(small_side(picked), "row_key").dropDuplicates(["row_key"])
 
     def make():
         def work(texts: list[str | None]) -> list[pa.Array]:
@@ -400,7 +400,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     dropped = joined.join(first, "root").filter("row_key <> first.row_key").select("row_key").distinct()
     dropped = materialize(dropped.withColumnRenamed("row_key", "dropped_key"), "dropped-rows")
     keyed = docs.withColumn("__row_key", F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
-    kept = keyed.join(dropped, F.col("__row_key") == F.col("dropped_key"), "left_anti")
+    kept = keyed.join(small_side(dropped), F.col("__row_key") == F.col("dropped_key"), "left_anti")
     repeated = joined.groupBy("row_key").count().filter("count > 1").select(F.col("row_key").alias("repeated_key"))
     repeated = materialize(repeated, "repeated-rows")
     if not repeated.isEmpty():

@@ -86,3 +86,15 @@ def hash_sample(df: DataFrame, rows: int, size: int, *by: str) -> DataFrame:
     if rows <= size:
         return df
     return df.filter(F.pmod(F.xxhash64(*by), F.lit(2**31)) < int(2**31 * size / rows))
+
+
+# Rows of two numbers that a join sends to every task: 16 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (a written table of two numbers a row), marked for broadcast if it is counted to have ``rows`` rows at most.
+
+    Larger tables are joined by shuffling both sides; the result is the same.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
