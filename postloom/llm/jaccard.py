@@ -49,7 +49,7 @@ BITMAP_WORDS = 16
 # Members of a bucket that the second round compares in one piece; larger buckets are cut into pairs of such pieces.
 TILE = 4096
 # Words whose hashes a worker remembers.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
