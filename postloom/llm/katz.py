@@ -1,14 +1,15 @@
 """Language-model scores: Katz backoff over word bigrams with Good-Turing discounts.
 
-Words whose share of the training tokens is ``VOCABULARY_SHARE`` or more are classes of their own, and so are the
-start and the end of a text; all other words form one class, within which a word has the chance
-(count + 1) / (tokens of the class + its words + 1), the last for words never seen. A bigram of classes has its
-discounted relative frequency; one that was never seen falls back on the unigram chance of its
-second class, times the weight of the first that makes all chances add up to one.
-
-Counts of all words and bigrams are tables. Entries of a given share of all tokens, of which there can
-be no more than the inverse of that share, are looked up inside the tasks, so that no frequent
-word ever is a shuffle key; occurrences of all others are joined to the tables.
+Every word of the training texts is a class of its own, and so are the start and the end of a text and the words
+never seen. A bigram has its discounted relative frequency; one that was never seen falls back on the unigram
+chance of its second word, (count + 1) / (tokens + words + 1), times the weight of the first that makes all chances
+add up to one. So the log chance of a text is that of its unigrams, plus the weights of all its histories, plus what
+each seen bigram gains over falling back.
+
+Bigrams of all words are counted and kept in a table. Words and bigrams of a given share of all tokens, of
+which there can be no more than the inverse of that share, are looked up inside the tasks, so that no frequent
+word ever is a shuffle key; distinct others of each text are joined to the table. Words are told apart by 63-bit
+hashes, bigrams by 62-bit ones.
 """
 
 from __future__ import annotations
@@ -20,27 +21,26 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.llm.rows import flat_python
 from postloom.session import materialize
 
-# Shares of all tokens: of a class of its own, and of words and bigrams that are looked up inside the tasks. Each
-# bounds how many there can be: 20,000 classes, and a million words and bigrams.
-VOCABULARY_SHARE = 5e-5
+# Words with less than this share of all tokens form one class; 0 leaves none out.
+VOCABULARY_SHARE = 0.0
+# Words and bigrams with this share of all tokens or more, a million of each at most, are looked up inside the tasks.
 LOCAL_SHARE = 1e-6
 # Counts up to this are discounted.
 DISCOUNTED = 5
 # Words that a worker remembers or counts before it hands them on.
 WORDS_KEPT = 400_000
 # A task merges bigrams once this many wait.
-MERGE_AT = 4_000_000
+MERGE_AT = 2_000_000
 
-START, END, OTHER = 0, 1, 2
-FIRST_WORD = 3
-#: The end of a text among the hashes of words.
+#: The end of a text among the hashes of words; its start, and words without a class of their own, among those of classes.
 END_HASH = xxhash.xxh3_64_intdigest(b" end")
+START, OTHER = (np.uint64(xxhash.xxh3_64_intdigest(name) | 1) for name in (b" start", b" other"))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -84,24 +84,26 @@ def discounts(counts_of_counts: dict[int, int], most: int = DISCOUNTED) -> list[
 
 @dataclass
 class KatzModel:
-    """What the tasks hold (arrays of bounded size) and the tables of all else.
+    """What the tasks hold (arrays of bounded size) and the table of all else.
 
-    ``entries`` has rows (key, value): bigrams under an even key with their log10 chance, words under an odd key
-    with log10 of their count plus one.
+    ``entries`` has rows (key, value, weight): bigrams under a key that divides by four with what their log10 chance
+    gains over falling back; words under an odd key with log10 of their count plus one and their weight as a history.
     """
 
     tokens: int
     distinct: int
-    other_scale: float
+    lumped: bool
+    class_scale: float
+    other_spelled: float
+    other_count: int
     word_hashes: np.ndarray
     word_counts: np.ndarray
-    word_classes: np.ndarray
-    classes: int
-    class_log: np.ndarray
-    backoff_log: np.ndarray
+    word_own: np.ndarray
+    history_keys: np.ndarray
+    history_log: np.ndarray
     pair_keys: np.ndarray
     pair_log: np.ndarray
-    entries: DataFrame
+    entries: DataFrame | None
 
     def local(self) -> KatzModel:
         return KatzModel(**{**self.__dict__, "entries": None})
@@ -147,120 +149,163 @@ def _lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.n
     return at, sorted_keys[at] == keys
 
 
-def _classes_of(words: np.ndarray, model: KatzModel) -> np.ndarray:
-    at, known = _lookup(model.word_hashes, words)
-    return np.where(known, model.word_classes[at], OTHER) if len(model.word_hashes) else np.full(len(words), OTHER)
+def _classes_of(words: np.ndarray, model: KatzModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of words (hashes whose lowest bit tells whether tasks hold them), places among the words that tasks hold,
+    and which are there."""
+    at, local = _lookup(model.word_hashes, words)
+    classes = (words & ~np.uint64(1)) | local.astype(np.uint64)
+    return (np.where(local & model.word_own[at], classes, OTHER) if model.lumped else classes), at, local
 
 
-def _pairs_of(classes: np.ndarray, count: int) -> np.ndarray:
-    before = np.concatenate([[START], classes[:-1]])
-    return before.astype(np.int64) * count + classes
+def _before(classes: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.array([START], np.uint64), classes[:-1]])
+
+
+def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (((first << np.uint64(21)) | (first >> np.uint64(43))) ^ second) & ~np.uint64(3)
+
+
+def _pair_key(first: Column, second: Column) -> Column:
+    """The same as :func:`_pair_keys`."""
+    return F.shiftleft(first, 21).bitwiseOR(F.shiftrightunsigned(first, 43)).bitwiseXOR(second).bitwiseAND(F.lit(~3))
+
+
+def _is_local(column: str) -> Column:
+    return F.col(column).bitwiseAND(F.lit(1)) == 1
 
 
 def _count_pairs(docs: DataFrame, text: str, model: KatzModel) -> DataFrame:
-    """Rows (pair, n): counts of all bigrams of classes."""
+    """Rows (first, second, n, second_n): all bigrams of classes, their counts and those of their second."""
     shared = docs.sparkSession.sparkContext.broadcast(model.local())
 
     def make():
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         waiting = 0
 
-        def merged():
-            keys, counts = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        def merge():
+            first, second, counts = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            keys = _pair_keys(first, second)
             order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            parts[:] = [(keys[first], np.add.reduceat(counts, first))]
+            keys = keys[order]
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            parts[:] = [(first[order[at]], second[order[at]], np.add.reduceat(counts[order], at))]
+
+        def flush():
+            known = shared.value
+            first, second, counts = parts.pop()
+            # Classes of local words have their lowest bit set, whatever that of the word is.
+            tags = known.word_hashes | np.uint64(1)
+            order = np.argsort(tags)
+            at, held = _lookup(tags[order], second)
+            seconds = np.where(held, known.word_counts[order][at], 0)
+            seconds[second == OTHER] = known.other_count
+            return [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(counts), pa.array(seconds.astype(np.int64))]
 
         def work(texts):
             nonlocal waiting
             if texts is None:
                 if parts:
-                    merged()
-                    yield [pa.array(parts[0][0]), pa.array(parts[0][1])]
+                    merge()
+                    yield flush()
                 return
             if not texts:
                 return
             known = shared.value
-            keys, counts = np.unique(np.concatenate([_pairs_of(_classes_of(hashed(t), known), known.classes) for t in texts]), return_counts=True)
-            parts.append((keys, counts.astype(np.int64)))
-            waiting += len(keys)
+            every = [_classes_of(hashed(t), known)[0] for t in texts]
+            first, second = np.concatenate([_before(c) for c in every]), np.concatenate(every)
+            _, at, counts = np.unique(_pair_keys(first, second), return_index=True, return_counts=True)
+            parts.append((first[at], second[at], counts.astype(np.int64)))
+            waiting += len(at)
             if waiting >= MERGE_AT:
-                merged()
+                merge()
                 waiting = 0
-                if len(parts[0][0]) >= MERGE_AT:
-                    yield [pa.array(parts[0][0]), pa.array(parts[0][1])]
-                    parts.clear()
+                if len(parts[0][0]) >= MERGE_AT // 2:
+                    yield flush()
 
         return work
 
-    return flat_python(docs, [text], "pair bigint, n bigint", make).groupBy("pair").agg(F.sum("n").alias("n"))
+    # A second that tasks do not hold is the key, so its count is the sum over its firsts; other bigrams are spread.
+    rows = flat_python(docs, [text], "first bigint, second bigint, n bigint, second_n bigint", make)
+    spread = F.when(_is_local("second"), _pair_key(F.col("first"), F.col("second"))).otherwise(F.col("second"))
+    rows = rows.withColumn("spread", spread).repartition("spread")
+    rows = rows.groupBy("spread", "first", "second").agg(F.sum("n").alias("n"), F.max("second_n").alias("held"))
+    total = F.sum("n").over(Window.partitionBy("spread"))
+    return rows.select("first", "second", "n", F.when(_is_local("second"), F.col("held")).otherwise(total).alias("second_n"))
 
 
 def train(docs: DataFrame, text: str = "text") -> KatzModel:
     """Learn from all rows of ``docs``; a null text counts as empty, so its end alone is a token.
 
     Nothing is sampled. Collected are words and bigrams of ``LOCAL_SHARE`` of the tokens or more, one number a
-    class, and counts of counts. Without rows every word belongs to the class of unseen ones.
+    word of these, and counts of counts. Without rows every word belongs to the class of unseen ones.
     """
     words = materialize(_count_words(docs, text), "katz-words")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end_key = int(np.array(END_HASH, np.uint64).astype(np.int64))
-    frequent = words.filter((F.col("n") >= LOCAL_SHARE * tokens) | (F.col("word") == end_key)).toArrow()
+    lumped = VOCABULARY_SHARE > 0
+    # Words with a class of their own have to be known to the tasks where others have none.
+    local_n = (min(LOCAL_SHARE, VOCABULARY_SHARE) if lumped else LOCAL_SHARE) * tokens
+    held = (F.col("n") >= local_n) | (F.col("word") == end_key)
+    frequent = words.filter(held).toArrow()
     hashes = frequent["word"].to_numpy().view(np.uint64)
     counts = frequent["n"].to_numpy()
     if END_HASH not in hashes:
         hashes, counts = np.append(hashes, np.uint64(END_HASH)), np.append(counts, 0)
     order = np.argsort(hashes)
     hashes, counts = hashes[order], counts[order]
-    own = (counts >= VOCABULARY_SHARE * tokens) & (hashes != END_HASH)
-    word_classes = np.full(len(hashes), OTHER, np.int64)
-    word_classes[own] = FIRST_WORD + np.arange(own.sum())
-    word_classes[hashes == END_HASH] = END
-    classes = FIRST_WORD + int(own.sum())
-    ends = int(counts[hashes == END_HASH][0])
-    class_counts = np.zeros(classes, np.int64)
-    np.add.at(class_counts, word_classes[word_classes != OTHER], counts[word_classes != OTHER])
-    class_counts[OTHER] = tokens - class_counts.sum()
-    other_words = distinct - int(own.sum()) - (1 if ends else 0)
-    chance = (class_counts + 1.0) / (class_counts[1:].sum() + classes - 1)
-    chance[START] = 0.0  # nothing leads to a start
+    is_end = hashes == END_HASH
+    ends = int(counts[is_end][0])
+    own = (counts >= VOCABULARY_SHARE * tokens) & ~is_end
+    own_words = int(own.sum()) if lumped else distinct - (1 if ends else 0)
+    other_count = tokens - ends - int(counts[own].sum()) if lumped else 0
+    other_words = distinct - own_words - (1 if ends else 0)
+    # Beside the words, the end and the class of all others.
+    classes = own_words + 2
+    whole_n = tokens + classes
+    none = np.empty(0)
     model = KatzModel(
-        tokens, distinct, math.log10(class_counts[OTHER] + other_words + 1), hashes, counts, word_classes, classes,
-        np.log10(np.maximum(chance, 1e-300)), np.zeros(classes), np.empty(0, np.int64), np.empty(0), words,
+        tokens, distinct, lumped, math.log10(whole_n), math.log10(other_count + 1) - math.log10(other_count + other_words + 1), other_count,
+        hashes, counts, own | is_end, none.astype(np.uint64), none, none.astype(np.uint64), none, None,
     )
     pairs = materialize(_count_pairs(docs, text, model), "katz-pairs")
     counted = {r.n: r.times for r in pairs.filter(F.col("n") <= DISCOUNTED + 1).groupBy("n").agg(F.count("*").alias("times")).collect()}
     factors = discounts(counted)
-    # One row a class: its count as a history, and the chance of each class as a follower.
-    spark = docs.sparkSession
-    followers = spark.createDataFrame(pa.table({"second": np.arange(classes), "chance": chance}))
-    rows = pairs.select("pair", "n", F.expr(f"pair div {classes}").alias("first"), (F.col("pair") % classes).alias("second"))
-    rows = rows.withColumn("kept", F.col("n") * F.coalesce(*(F.when(F.col("n") == r, F.lit(factors[r])) for r in range(1, DISCOUNTED + 1)), F.lit(1.0)))
-    history = rows.join(followers, "second").groupBy("first").agg(
-        F.sum("n").alias("history_n"), F.sum("kept").alias("history_kept"), F.sum("chance").alias("chance"), F.count("*").alias("followers")
-    )
+    kept = F.col("n") * F.coalesce(*(F.when(F.col("n") == r, F.lit(factors[r])) for r in range(1, DISCOUNTED + 1)), F.lit(1.0))
+    sums = {"history_n": F.sum("n"), "history_kept": F.sum(kept), "followers_n": F.sum(F.col("second_n") + 1), "followers": F.count("*")}
     # A history that was followed by every class has nothing to hand on. One whose followers are all too frequent for a
     # discount hands on half a count.
-    whole = F.col("followers") >= classes - 1
+    whole = F.col("followers") >= classes
     scale = F.when(whole, F.col("history_n") / F.col("history_kept")).when(
         F.col("history_kept") >= F.col("history_n"), 1 - 0.5 / F.col("history_n")
     ).otherwise(1.0)
-    history = history.withColumn("scale", scale)
-    weight = F.when(whole, F.lit(0.0)).otherwise(F.log10((1 - F.col("history_kept") * F.col("scale") / F.col("history_n")) / (1 - F.col("chance"))))
-    history = materialize(history.withColumn("weight", weight), "katz-histories")
-    weights = history.select("first", "weight").toArrow()
-    backoff = np.zeros(classes)
-    backoff[weights["first"].to_numpy()] = weights["weight"].to_numpy()
-    chances = rows.join(history.select("first", "history_n", "scale"), "first")
-    value = F.log10(F.col("kept") * F.col("scale") / F.col("history_n"))
-    entries = chances.select((F.col("pair") * 2).alias("key"), "n", value.alias("value")).unionAll(
-        words.select(F.col("word").bitwiseOR(F.lit(1)).alias("key"), "n", F.log10(F.col("n") + F.lit(1.0)).alias("value"))
+    weight = F.when(whole, F.lit(0.0)).otherwise(
+        F.log10((1 - F.col("history_kept") * F.col("scale") / F.col("history_n")) / ((whole_n - F.col("followers_n")) / F.lit(float(whole_n))))
     )
+    gain = F.log10(kept * F.col("scale") / F.col("history_n")) - F.log10((F.col("second_n") + 1) / F.lit(float(whole_n))) - F.col("weight")
+    key = _pair_key(F.col("first"), F.col("second"))
+    # Histories that tasks hold are added up and sent to the bigrams, all bigrams of another one stand in one partition.
+    histories = pairs.filter(_is_local("first")).groupBy("first").agg(*(c.alias(k) for k, c in sums.items()))
+    histories = materialize(histories.withColumn("scale", scale).withColumn("weight", weight), "katz-histories")
+    hot = pairs.filter(_is_local("first")).join(F.broadcast(histories), "first").select(key.alias("key"), "n", gain.alias("value"), F.lit(0.0).alias("weight"))
+    window = Window.partitionBy("first")
+    cold = pairs.filter(~_is_local("first")).repartition("first").select("*", *(c.over(window).alias(k) for k, c in sums.items()), F.min("second").over(window).alias("least"))
+    cold = cold.withColumn("scale", scale).withColumn("weight", weight)
+    # A word has as many followers as places, so one of its bigrams gives its own entry.
+    entry = F.struct(key.alias("key"), "n", gain.alias("value"), F.lit(0.0).alias("weight"))
+    word = F.struct(F.col("first").bitwiseOR(F.lit(1)).alias("key"), F.col("history_n").alias("n"), F.log10(F.col("history_n") + F.lit(1.0)).alias("value"), F.col("weight").alias("weight"))
+    cold = cold.select(F.inline(F.when(F.col("second") == F.col("least"), F.array(entry, word)).otherwise(F.array(entry))))
+    entries = hot.unionAll(cold)
+    if lumped:
+        entries = entries.unionAll(words.filter(~held).select(F.col("word").bitwiseOR(F.lit(1)).alias("key"), "n", F.log10(F.col("n") + F.lit(1.0)).alias("value"), F.lit(0.0).alias("weight")))
     entries = materialize(entries, "katz-entries")
-    local = entries.filter((F.col("key") % 2 == 0) & (F.col("n") >= LOCAL_SHARE * tokens)).select((F.col("key") / 2).cast("bigint").alias("pair"), "value").toArrow().sort_by("pair")
-    model.backoff_log, model.entries = backoff, entries.select("key", "value")
-    model.pair_keys, model.pair_log = local["pair"].to_numpy(), local["value"].to_numpy()
+    is_local_pair = (F.col("key").bitwiseAND(F.lit(3)) == 0) & (F.col("n") >= LOCAL_SHARE * tokens)
+    model.entries = entries.filter(~is_local_pair).select("key", "value", "weight")
+    for names, table in (("history", histories.select(F.col("first").alias("key"), F.col("weight").alias("value"))), ("pair", entries.filter(is_local_pair).select("key", "value"))):
+        table = table.toArrow()
+        keys = table["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        setattr(model, f"{names}_keys", keys[order])
+        setattr(model, f"{names}_log", table["value"].to_numpy()[order])
     return model
 
 
@@ -268,8 +313,8 @@ def _occurrences(docs: DataFrame, text: str, key: str, model: KatzModel) -> Data
     """Rows (key, row, n, value) of each text, ``row`` naming it.
 
     What the task holds is summed there: one row with the tokens and their log10 chance, one with the known tokens and the sum of
-    log10 (count + 1), under negative even keys. Each other word (odd key) and bigram (even key, with
-    what it is worth if it was never seen) is a row with its number of places.
+    log10 (count + 1), under keys that leave 2 and 6 divided by eight. Each other word (odd key) and bigram (key that
+    divides by four) is a row with its number of places.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.local())
 
@@ -286,20 +331,21 @@ def _occurrences(docs: DataFrame, text: str, key: str, model: KatzModel) -> Data
 
             for row, body in zip(rows, bodies):
                 words = hashed(body)
-                at, local = _lookup(known.word_hashes, words)
-                classes = np.where(local, known.word_classes[at], OTHER)
+                classes, at, local = _classes_of(words, known)
                 inside = local & (known.word_counts[at] > 0)
                 base = count_log[at[local]].sum()
-                spelled = count_log[at[local & (classes == OTHER)]].sum() - known.other_scale * (classes == OTHER).sum()
-                pairs, n = np.unique(_pairs_of(classes, known.classes), return_counts=True)
+                chance = base - known.class_scale * len(words) + known.other_spelled * (classes == OTHER).sum()
+                first = _before(classes)
+                where, held = _lookup(known.history_keys, first)
+                chance += known.history_log[where[held]].sum()
+                pairs, n = np.unique(_pair_keys(first, classes), return_counts=True)
                 where, held = _lookup(known.pair_keys, pairs)
-                chance = spelled + (known.pair_log[where[held]] * n[held]).sum()
-                first, second = np.divmod(pairs[~held], known.classes)
-                add(row, pairs[~held] * 2, n[~held], known.backoff_log[first] + known.class_log[second])
+                chance += (known.pair_log[where[held]] * n[held]).sum()
+                add(row, pairs[~held].view(np.int64), n[~held], np.zeros((~held).sum()))
                 rare, times = np.unique(words[~local] | np.uint64(1), return_counts=True)
                 add(row, rare.view(np.int64), times, np.zeros(len(rare)))
-                mark = -4 - 4 * (row & (2**60 - 1))
-                add(row, np.array([mark, mark + 2]), np.array([len(words), int(inside.sum())]), np.array([chance, base]))
+                mark = (row & ~7) | 2
+                add(row, np.array([mark, mark | 4]), np.array([len(words), int(inside.sum())]), np.array([chance, base]))
             return [pa.array(np.concatenate(c).astype(t)) for c, t in zip(out, (np.int64, np.int64, np.int32, np.float64))]
 
         def work(rows, bodies):
@@ -320,8 +366,8 @@ def score(docs: DataFrame, model: KatzModel, text: str = "text") -> DataFrame:
     """
     named = docs.select(F.xxhash64(text).alias("row"), F.col(f"`{text}`").alias("body"))
     rows = _occurrences(named, "body", "row", model).join(model.entries.withColumnRenamed("value", "learned"), "key", "left")
-    pair, word = (F.col("key") >= 0) & (F.col("key") % 2 == 0), F.col("key") % 2 != 0
-    total, hits = (F.col("key") < 0) & ~word & (F.col("key") % 4 == 0), (F.col("key") < 0) & ~word & (F.col("key") % 4 != 0)
+    pair, word = F.col("key").bitwiseAND(F.lit(3)) == 0, F.col("key").bitwiseAND(F.lit(1)) == 1
+    total, hits = (F.col("key").bitwiseAND(F.lit(7)) == k for k in (2, 6))
     learned = F.coalesce("learned", F.lit(0.0))
 
     def when(*cases: tuple[Column, Column]) -> Column:
@@ -335,7 +381,7 @@ def score(docs: DataFrame, model: KatzModel, text: str = "text") -> DataFrame:
         when((total, F.col("n"))).alias("lm_tokens"),
         when((hits, F.col("n")), (word & F.col("learned").isNotNull(), F.col("n"))).alias("lm_known"),
         when((hits, F.col("value")), (word, F.col("n") * learned)).alias("lm_base"),
-        when((total, F.col("value")), (word, F.col("n") * learned), (pair, F.col("n") * F.coalesce("learned", "value"))).alias("lm_score"),
+        when((total, F.col("value")), (word, F.col("n") * (learned + F.coalesce("weight", F.lit(0.0)))), (pair, F.col("n") * learned)).alias("lm_score"),
     )
     scale = math.log10(model.tokens + model.distinct + 1)
     fresh = {c: (F.col(c) / F.col("copies")).cast("bigint" if c in ("lm_tokens", "lm_known") else "double") for c in ("lm_tokens", "lm_known", "lm_base", "lm_score")}

@@ -273,6 +273,21 @@ def test_katz_equals_the_plain_version(spark, monkeypatch, share):
         assert row.lm_base == pytest.approx(base) and row.lm_score == pytest.approx(lm)
 
 
+@pytest.mark.parametrize("local", [1e-6, 1e-3])
+def test_katz_counts_bigrams_of_all_words(spark, monkeypatch, local):
+    # Of more than 20,000 tokens each, so a word seen once is rare by any share.
+    monkeypatch.setattr(katz, "LOCAL_SHARE", local)
+    rows = cases.ROWS + [(100 + i, f"{cases.prose(i, 60)} rare{i // 3} pair{i // 3} end", "en") for i in range(30)]
+    docs = cases.docs(spark, rows)
+    plain = PlainKatz([t for i, t, _ in rows if i is None or i % 3 != 2])
+    model = katz.train(docs.filter("doc_id IS NULL OR doc_id % 3 <> 2"))
+    assert plain.total > 20_000 and plain.after["rare3"] == {"pair3": 2}
+    for row in katz.score(docs, model).collect():
+        tokens, known, base, lm = plain.score(row.text)
+        assert (row.lm_tokens, row.lm_known) == (tokens, known)
+        assert row.lm_base == pytest.approx(base) and row.lm_score == pytest.approx(lm)
+
+
 def test_katz_chances_add_up_to_one():
     plain = PlainKatz([cases.prose(i, 80) for i in range(20)])
     for first in list(plain.after)[:50]:
