@@ -2,7 +2,8 @@
 
 Two histograms are compared with references by Jensen-Shannon distance: classes of characters, and
 common (function) words. A document is kept when it is near the reference of at least one
-language in both; short documents are judged by fewer histograms. Beside these stand plain
+language in both. Short documents, and documents whose own language has no reference, are not judged by
+histograms. Beside these stand plain
 limits on the number of words and on repeated windows of words.
 
 Everything here is DataFrame expressions.
@@ -206,16 +207,17 @@ def word_distance(common: Column, n_words: Column, reference: Reference) -> Colu
     return _distance(F.aggregate(common, start, add, finish))
 
 
-def judge(measured: DataFrame, references: list[Reference], prefix: str = "q_", limits: Limits = Limits()) -> DataFrame:
+def judge(measured: DataFrame, references: list[Reference], lang: str = "lang", prefix: str = "q_", limits: Limits = Limits()) -> DataFrame:
     """``measured`` with ``q_base_failed``, ``q_char_distance``, ``q_word_distance`` and ``q_kept``.
 
     The distances are those to the language that exceeds its limits least. They are null, and such a text is kept
-    unless the plain limits fail it, where it has fewer than ``min_judged`` words or there is no reference.
+    unless the plain limits fail it, where it has fewer than ``min_judged`` words or its own language has no
+    reference: clean texts of a rare or unknown language cannot meet those of others.
     """
     p = prefix
     n_words, chars = F.col(f"{p}n_words"), F.col(f"{p}char_classes")
     failed = (n_words < limits.min_words) | (100 * F.col(f"{p}n_repeat_words") > limits.max_repeat_percent * n_words)
-    judged = (n_words >= limits.min_judged) & F.lit(bool(references))
+    judged = (n_words >= limits.min_judged) & F.col(lang).isin([r.lang for r in references])
     events = F.greatest(F.aggregate(chars, F.lit(0).cast("bigint"), lambda a, n: a + n), F.lit(1))
     char_limit = limits.max_char_distance + limits.char_slack / F.sqrt(events)
     word_limit = limits.max_word_distance + limits.word_slack / F.sqrt(F.greatest(n_words, F.lit(1)))
@@ -250,5 +252,5 @@ def apply_rules(docs: DataFrame, keep: list[str], text: str = "text", lang: str
     measured = measure(docs.select(*(F.col(f"`{c}`") for c in wanted)), text, prefix)
     dropped = [c for c in (text,) if c not in keep]
     measured = materialize(measured.drop(*dropped), "quality")
-    judged = judge(measured, learn_references(measured, lang, prefix, limits), prefix, limits)
+    judged = judge(measured, learn_references(measured, lang, prefix, limits), lang, prefix, limits)
     return judged.drop(lang) if lang not in keep else judged

@@ -196,6 +196,17 @@ def test_quality_counts_and_verdicts(spark):
     assert quality.apply_rules(docs.limit(0), keep=["doc_id"]).count() == 0
 
 
+def test_quality_keeps_clean_texts_of_rare_languages(spark):
+    clean = [(100 + i, cases.prose(100 + i, 150), "en") for i in range(40)]
+    rare = [(200 + i, cases.prose(200 + i, 150, cases.GERMAN), "de" if i % 2 else None) for i in range(16)]
+    junk = [(300 + i, " ".join(f"{w}%%%" for w in cases.prose(300 + i, 150).split()), "en") for i in range(4)]
+    bad = [(400, "a b c " * 100, "de"), (401, "a b c", "de")]
+    docs = cases.docs(spark, clean + rare + junk + bad)
+    judged = {r.doc_id: r for r in quality.apply_rules(docs, keep=["doc_id"]).collect()}
+    assert {i for i, r in judged.items() if r.q_kept} == {i for i, _, _ in clean + rare}
+    assert all(judged[i].q_char_distance is None for i, _, _ in rare + bad)
+
+
 def test_divergence_by_hand(spark):
     def distance(p, q):
         half = [(a + b) / 2 for a, b in zip(p, q)]
