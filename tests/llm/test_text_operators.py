@@ -275,6 +275,18 @@ def test_viterbi_finds_the_best_path():
     assert toxicity.Restorer(model).decode(written) == max(best)[1] == "idiot"
 
 
+def test_disguises_of_every_kind_are_decoded():
+    words = Counter(g for w in 50 * ("idiot", "clown", "ass", "you", "are", "stone", "tulip") for g in toxicity.CharModel.grams(w))
+    restorer = toxicity.Restorer(toxicity.CharModel(words))
+    for written in ("!diot", "|diot", "i d 1 o t", "i.d.i.0.t", "i   d   i   o   t", "i/d/i/o/t", "iiddiioott", "1d10t", "id!ot!"):
+        assert "idiot" in toxicity.WORDS.findall(restorer.restore(f"so {written}, yes")), written
+    for written, word in (("(lown", "clown"), ("a s s", "ass"), ("(ass", "ass"), ("@ss", "ass"), ("aassss", "ass")):
+        assert word in toxicity.WORDS.findall(restorer.restore(f"so {written} yes")), written
+    assert restorer.restore("y o u i d i o t") == "you idiot"
+    for plain in ("1 2 3 4", "so, yes!", "100 200", "coffee success", "1" * 50_000, "so!! $$$ (2) yes$$$!"):
+        assert restorer.restore(plain) == plain
+
+
 RULES = (urls.Rule("allow", "org", "/"), urls.Rule("block", "bad.org", "/x"), urls.Rule("block", "com", "/de/"), urls.Rule("allow", "com", "/fr/"))
 
 
