@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, decontaminate, jaccard, katz, language, licenses, quality, secret_scan, toxicity, urls
+from postloom.llm import bpe, conversations, decontaminate, jaccard, katz, language, licenses, quality, secret_scan, toxicity, urls, whitening, word_bpe
 from postloom.llm.rows import fold, table
 
 
@@ -124,8 +124,41 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = word_bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def damaged(conversations_table: DataFrame) -> DataFrame:
+    """The turns with the faults of the query, chosen by a checksum of id and turn; dropped ones have ``present`` false."""
+
+    def or_blank(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    fault = F.crc32(F.concat(or_blank("conv_id"), F.lit(":"), or_blank("turn")).cast("binary")) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(or_blank("text"), "[.!?]", "")).otherwise(or_blank("text"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(fault == 3, 2).otherwise(1)))
+    shaped = conversations_table.select("conv_id", "turn", F.when(fault == 4, "user").otherwise(or_blank("role")).alias("role"), text.alias("text"), (fault != 0).alias("present"), copies)
+    return shaped.select("conv_id", "turn", "role", "text", "present")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit(damaged(table(spark, sf_dir, "conversations")), present="present")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    return found.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_toxicity, op4_language_id, op5_license_scan, op6_katz_scores, op7_ngram_jaccard, op8_byte_bpe, op9_quality_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_toxicity, op4_language_id, op5_license_scan, op6_katz_scores, op7_ngram_jaccard, op8_byte_bpe, op9_quality_rules, op10_secret_scan, op11_word_bpe, op12_conversation_repair, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
