@@ -14,6 +14,7 @@ from postloom.plans import training
 from postloom.session import materialize, scratch_path
 from postloom.sources import jsonl, snapshots
 from postloom.streaming import labeling as stream
+from postloom.streaming import state
 
 W = V.with_views
 RAW = ("event_id", "pubkey", "created_at", "content", "relay")
@@ -301,3 +302,36 @@ def stream_seeded(spark, sf_dir):
     seed = resume.seed_state(log, None, count_existing=False)
     done = run_stream(spark, sf_dir, min_per_label=10**9, seed=seed)
     return done.outcomes(spark).select("event_id", "ok", "label")
+
+
+@query("stream_relabel_counts", W("attempts") + """SELECT label, count(*) AS count FROM (SELECT * FROM attempts WHERE ok
+      QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ord DESC) = 1) GROUP BY label""")
+def stream_relabel_counts(spark, sf_dir):
+    """The log of outcomes as a stream in three batches, relabels spread over them and out of order, with a restart in between."""
+    root = scratch_path(spark, "relabel")
+    log = V.attempts(spark, sf_dir).select("event_id", "ord", "ok", "label").withColumn("part", F.pmod(F.xxhash64("event_id", "ord"), F.lit(3)))
+    log = materialize(log, "relabel-log")
+    counts = state.RelabelCounts(f"{root}/counts", f"{root}/checkpoint")
+    for parts in ("part < 2", "part = 2"):
+        log.filter(parts).drop("part").repartition(2).write.mode("append").parquet(f"{root}/in")
+        counts.run(spark.readStream.schema("event_id STRING, ord BIGINT, ok BOOLEAN, label STRING").parquet(f"{root}/in"))
+    return counts.counts(log)
+
+
+@query("stream_fold", W("observations") + """SELECT e.event_id, e.pubkey, e.created_at, e.content, e.seq, r.relays, r.n_obs FROM
+      (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY seq) AS place FROM (SELECT * FROM observations
+        WHERE event_id NOT LIKE 'b%' AND event_id NOT LIKE 'm%' QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY seq) = 1)) e
+      JOIN (SELECT event_id, string_agg(relay, ',' ORDER BY seq) AS relays, CAST(sum(n) AS BIGINT) AS n_obs FROM
+        (SELECT event_id, relay, min(seq) AS seq, count(*) AS n FROM observations GROUP BY ALL) GROUP BY event_id) r USING (event_id)
+      WHERE place <= 25""")
+def stream_fold(spark, sf_dir):
+    """Observations as they arrive, in three batches with a restart after each, folded under the cap of their authors."""
+    root = scratch_path(spark, "fold")
+    rows = V.observations(spark, sf_dir).select("event_id", "pubkey", "created_at", "content", "relay", "seq")
+    rows = materialize(rows.withColumn("part", F.floor(F.col("seq") / 10**9)), "arrivals")
+    for part in range(3):
+        rows.filter(F.col("part") == part).drop("part").repartition(3).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(rows.drop("part").schema).parquet(f"{root}/in")
+        stream.write_available(state.fold_stream(source), f"{root}/out", f"{root}/checkpoint")
+    folded = state.read_fold(spark.read.parquet(f"{root}/out"))
+    return folded.withColumn("relays", F.array_join("relay", ",")).drop("relay")

@@ -34,8 +34,8 @@ def drop_mention_only(df: DataFrame, content: str = "content") -> DataFrame:
     return df.filter(~T.is_mention_only(F.col(content)))
 
 
-def _admissible(observations: DataFrame, since: int | None, until: int | None) -> DataFrame:
-    # A blank text is mention-only as well, so one predicate covers both ingest rules.
+def admissible(observations: DataFrame, since: int | None, until: int | None) -> DataFrame:
+    """Rows inside the time range with a text of their own. A blank text is mention-only as well, so one predicate covers both."""
     return drop_mention_only(in_time_range(observations, since, until))
 
 
@@ -69,7 +69,7 @@ def fold_observations(
     Keeps admissible observations, folds them per event and admits the first ``author_cap``
     events of each author in arrival order.
     """
-    folded = _fold(_admissible(observations, since, until))
+    folded = _fold(admissible(observations, since, until))
     if author_cap is None:
         return folded
     return cap_per_key(folded, ["pubkey"], [F.col("seq")], author_cap).drop("rn")
@@ -115,7 +115,7 @@ def resume_append(
 
     Stored events count toward their author's cap and are never appended again.
     """
-    fresh = exclude_keys(_admissible(observations, since, until), existing, "event_id")
+    fresh = exclude_keys(admissible(observations, since, until), existing, "event_id")
     ranked = cap_per_key(_fold(fresh), ["pubkey"], [F.col("seq")], author_cap)
     stored = existing.groupBy("pubkey").agg(F.count(F.lit(1)).alias("_stored"))
     return (
@@ -139,7 +139,7 @@ def resume_merge(
     stored = existing.select("event_id", F.posexplode("relay").alias("pos", "relay")).select(
         "event_id", "relay", F.lit(0).alias("later"), F.col("pos").cast("long").alias("met")
     )
-    again = _admissible(observations, since, until).select("event_id", "relay", F.lit(1).alias("later"), F.col("seq").cast("long").alias("met"))
+    again = admissible(observations, since, until).select("event_id", "relay", F.lit(1).alias("later"), F.col("seq").cast("long").alias("met"))
     again = again.join(existing.select("event_id").distinct(), "event_id", "left_semi")
     # One row per relay and side, then its stored place if it has one.
     sides = stored.unionByName(again).filter(F.col("relay").isNotNull()).groupBy("event_id", "relay", "later").agg(F.min("met").alias("met"))

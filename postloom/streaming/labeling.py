@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import json
+import threading
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException, StreamingQueryException
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from postloom.functions import gates as G
 from postloom.operators.labeling import Labeler, label_with
 from postloom.operators.labels import LABEL_CHARS
 from postloom.operators.progress import MIN_PER_LABEL
 from postloom.operators.resume import last_ok
+from postloom.streaming.state import first_of_key
 
 GATE_METRICS = "gate"
 OLDER = -1
@@ -25,11 +28,10 @@ def stream_dedup(stream: DataFrame, key: str = "event_id", seed: DataFrame | Non
     """First row per key over the whole life of the stream, except keys in ``seed``.
 
     No watermark: ids never expire, so the state keeps one entry per id (RocksDB-backed with the
-    settings of :mod:`postloom.session`). ``seed`` is a static table of ids already handled.
+    settings of :mod:`postloom.session`). ``seed`` is a static table of ids already handled; it becomes state in
+    the first batch and is not read again.
     """
-    if seed is not None:
-        stream = stream.join(seed.select(key), key, "left_anti")
-    return stream.dropDuplicates([key])
+    return stream.dropDuplicates([key]) if seed is None else first_of_key(stream, key, seed)
 
 
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -48,8 +50,40 @@ def _if_present(read: Callable[[], DataFrame]) -> DataFrame | None:
         raise
 
 
-class TargetReached(Exception):
-    """Raised before a batch is admitted once every label has enough rows."""
+class ProgressWatch(StreamingQueryListener):
+    """Keeps what a query reports about its batches and says when it ended."""
+
+    def __init__(self, on_progress: Callable[[dict], None] | None = None) -> None:
+        self.on_progress = on_progress
+        self.metrics: dict[str, dict[int, dict[str, int]]] = {}
+        self.ended: set[str] = set()
+        self.news = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        observed = progress.observedMetrics.get(GATE_METRICS)
+        with self.news:
+            if observed is not None:
+                self.metrics.setdefault(str(progress.runId), {})[progress.batchId] = observed.asDict()
+        if self.on_progress is not None:
+            self.on_progress(json.loads(progress.json))
+
+    def onQueryTerminated(self, event) -> None:
+        with self.news:
+            self.ended.add(str(event.runId))
+            self.news.notify_all()
+
+    def wait(self, query: StreamingQuery, reached: threading.Event) -> None:
+        """Until the query has ended or the target is reached."""
+        run_id = str(query.runId)
+        with self.news:
+            self.news.wait_for(lambda: run_id in self.ended or reached.is_set())
 
 
 @dataclass
@@ -60,6 +94,7 @@ class StreamResult:
     counts: dict[str, int]
     complete: bool
     funnel: dict[str, int] = field(default_factory=dict)
+    query: StreamingQuery | None = None
 
     def outcomes(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.outcomes_path)
@@ -75,9 +110,12 @@ class LabelStream:
     replayed batch overwrites its own folder, so neither outcomes nor counts are doubled after a
     failure, and a run with another checkpoint never touches the outcomes of earlier ones, whose
     counts it takes over. How much a batch admits is bounded by the source (``maxFilesPerTrigger`` or its like
-    on the reader) and by ``trigger``. Admission stops before the first
-    batch that finds every label filled; that batch stays uncommitted for a later run. Nothing
-    already admitted is dropped, so labels may exceed the target.
+    on the reader) and by ``trigger``.
+
+    Admission stops before the first batch that finds every label filled. That batch is parked, not labeled, and the query
+    is stopped; a later run on the same checkpoint labels it first. Nothing already admitted is dropped, so labels may
+    exceed the target. Progress comes from a listener. Hooks: ``on_batch`` gets all outcomes of a batch, ``on_labeled`` the
+    successes, ``on_failure`` the failures, each with the batch id; ``on_progress`` gets each progress report.
     """
 
     labeler: Labeler
@@ -92,6 +130,9 @@ class LabelStream:
     max_parallel_calls: int | None = None
     stop_when_complete: bool = True
     on_batch: Callable[[DataFrame, int], None] | None = None
+    on_labeled: Callable[[DataFrame, int], None] | None = None
+    on_failure: Callable[[DataFrame, int], None] | None = None
+    on_progress: Callable[[dict], None] | None = None
     trigger: dict[str, object] = field(default_factory=lambda: {"availableNow": True})
 
     def run(self, stream: DataFrame) -> StreamResult:
@@ -101,9 +142,9 @@ class LabelStream:
         run_id = self._run_id(spark)
         by_batch = self._stored_counts(spark, counts_path, run_id)
         base = self._seed_counts()
-        gate_metrics: dict[int, dict[str, int]] = {}
         running: list[StreamingQuery] = []
-        reached: list[int] = []
+        reached = threading.Event()
+        watch = ProgressWatch(self.on_progress)
 
         def totals() -> dict[str, int]:
             out = dict.fromkeys(self.targets, 0)
@@ -116,17 +157,7 @@ class LabelStream:
             found = totals()
             return all(found[label] >= self.min_per_label for label in self.targets)
 
-        def collect_metrics() -> None:
-            for progress in running[0].recentProgress if running else []:
-                metrics = progress["observedMetrics"].get(GATE_METRICS)
-                if metrics is not None:
-                    gate_metrics[progress["batchId"]] = metrics.asDict()
-
-        def handle(batch: DataFrame, batch_id: int) -> None:
-            collect_metrics()
-            if self.stop_when_complete and complete():
-                reached.append(batch_id)
-                raise TargetReached
+        def settle(batch: DataFrame, batch_id: int) -> None:
             run = f"run={self._run_id(spark)}/batch_id={batch_id}"
             folder = f"{outcomes_path}/{run}"
             label_with(
@@ -144,24 +175,66 @@ class LabelStream:
                     older = by_batch.setdefault(OLDER, {})
                     older[label] = older.get(label, 0) + count
             by_batch[batch_id] = {r["label"]: r["count"] for r in counts.collect()}
-            if self.on_batch:
-                self.on_batch(outcomes, batch_id)
-
-        admitted = stream_dedup(self._gate(stream), seed=self.seed)
-        query = (
-            admitted.writeStream.foreachBatch(handle)
-            .option("checkpointLocation", self.checkpoint)
-            .trigger(**self.trigger)
-            .start()
-        )
-        running.append(query)
+            for hook, rows in ((self.on_batch, outcomes), (self.on_labeled, outcomes.filter("ok")), (self.on_failure, outcomes.filter(~F.col("ok")))):
+                if hook is not None:
+                    hook(rows, batch_id)
+
+        def park(batch: DataFrame, batch_id: int) -> None:
+            """Keep the rows for a later run and wait until the query is being stopped."""
+            batch.write.mode("overwrite").parquet(f"{self.output_path}/parked/run={self._run_id(spark)}/batch_id={batch_id}")
+            parked.add(batch_id)
+            with watch.news:
+                reached.set()
+                watch.news.notify_all()
+            while not running or running[0].isActive:
+                time.sleep(0.01)
+
+        def handle(batch: DataFrame, batch_id: int) -> None:
+            if batch_id in unparked:
+                return  # a replay of a batch that was parked and has been labeled since
+            if self.stop_when_complete and complete():
+                park(batch, batch_id)
+            else:
+                settle(batch, batch_id)
+
+        parked: set[int] = set()
+        unparked: set[int] = set()
+        for batch_id, rows in self._parked(spark, run_id, outcomes_path):
+            if rows is not None and not (self.stop_when_complete and complete()):
+                settle(rows, batch_id)
+                rows = None
+            if rows is None:
+                unparked.add(batch_id)
+        spark.streams.addListener(watch)
         try:
+            query = (
+                stream_dedup(self._gate(stream), seed=self.seed).writeStream.foreachBatch(handle)
+                .option("checkpointLocation", self.checkpoint)
+                .trigger(**self.trigger)
+                .start()
+            )
+            running.append(query)
+            watch.wait(query, reached)
+            if reached.is_set():
+                query.stop()
             query.awaitTermination()
-        except StreamingQueryException:
-            if not reached:
-                raise
-        collect_metrics()
-        return StreamResult(outcomes_path, totals(), complete(), self._funnel(spark, outcomes_path, self._run_id(spark), gate_metrics))
+            # The end is reported behind all progress.
+            watch.wait(query, threading.Event())
+        finally:
+            spark.streams.removeListener(watch)
+        metrics = {b: m for b, m in watch.metrics.get(str(query.runId), {}).items() if b not in parked}
+        return StreamResult(outcomes_path, totals(), complete(), self._funnel(spark, outcomes_path, self._run_id(spark), metrics), query)
+
+    def _parked(self, spark: SparkSession, run_id: str | None, outcomes_path: str) -> list[tuple[int, DataFrame | None]]:
+        """Batches that this run has parked, with their rows while they are not labeled."""
+        root = f"{self.output_path}/parked"
+        rows = _if_present(lambda: spark.read.parquet(root))
+        if rows is None or run_id is None:
+            return []
+        ids = rows.filter(F.col("run") == run_id).select("batch_id").distinct()
+        done = _if_present(lambda: spark.read.parquet(f"{self.output_path}/counts"))
+        settled = set() if done is None else {r.batch_id for r in done.filter(F.col("run") == run_id).select("batch_id").distinct().collect()}
+        return [(r.batch_id, None if r.batch_id in settled else spark.read.parquet(f"{root}/run={run_id}/batch_id={r.batch_id}")) for r in ids.collect()]
 
     def _gate(self, stream: DataFrame) -> DataFrame:
         gated = G.with_language_gate(stream, detector=self.detector).observe(
