@@ -13,15 +13,15 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import sys
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -31,30 +31,22 @@ from postloom.session import materialize
 
 # Symbols that are merged at once; longer words are halved.
 LEAF = 8_192
+# Symbols up to which the next merge is found by looking at all pairs.
+FEW = 64
+# A pair of ids, or a rank and an id, as one number.
+BITS = 20
+MASK, NONE = (1 << BITS) - 1, 1 << (2 * BITS)
 # Characters without a blank from which the leaves of a text's words are encoded by several tasks.
 LONG_RUN = 8 * LEAF
-# Words remembered by one worker; a full memo becomes the older one, from which words still in use are taken over.
-WORDS_KEPT = 100_000
+# Runs between blanks remembered by one worker; a full memo becomes the older one, from which those still in use are taken over.
+RUNS_KEPT = 400_000
 # Tokens on each side of a border that the first window holds.
 FIRST_REACH = 4
 
 
-def _class_of(kinds: str) -> str:
-    """The characters of general categories that begin with one of ``kinds``, as ranges of a character class."""
-    points = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in kinds and not 0xD800 <= c < 0xE000]
-    runs, start = [], points[0]
-    for before, now in zip(points, [*points[1:], None]):
-        if now != before + 1:
-            runs.append(f"{re.escape(chr(start))}-{re.escape(chr(before))}")
-            start = now
-    return "".join(runs)
-
-
-@cache
-def _words_of() -> Callable[[str], list[str]]:
-    """What the vocabulary's splitting rule finds in a folded text."""
-    letters, numbers, blank = _class_of("L"), _class_of("N"), "\t-\r\x85" + _class_of("Z")
-    return re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{blank}{letters}{numbers}]+").findall
+# Fixed value: the vocabulary's splitting rule, for folded text. Separators of ASCII are no blanks to it.
+WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\x09-\x0D\x20\x85\p{Z}\p{L}\p{N}]+")
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def _byte_letters() -> list[str]:
@@ -71,22 +63,23 @@ class WordBpe:
         spec = json.loads(content)
         model = spec["model"]
         end, vocabulary = model["end_of_word_suffix"], model["vocab"]
-        self.names = {i: name for name, i in vocabulary.items()}
+        self.names = {i: f"{name} ".encode() for name, i in vocabulary.items()}
         letters = _byte_letters()
         self.inside = [vocabulary[c] for c in letters]
         self.last = [vocabulary[c + end] for c in letters]
         byte_of = {c: b for b, c in enumerate(letters)}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # By pair of ids, the rank and the merged id, each as one number that sorts by rank.
+        self.merges = {vocabulary[a] << BITS | vocabulary[b]: rank << BITS | vocabulary[a + b] for rank, (a, b) in enumerate(pairs)}
         self._raw = {i: (bytes(byte_of[c] for c in name.removesuffix(end)), name.endswith(end) and len(name) > len(end)) for name, i in vocabulary.items()}
         marks = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        self.names |= {i: mark for mark, i in marks.items()}
+        self.names |= {i: f"{mark} ".encode() for mark, i in marks.items()}
         self.marks = {mark: self._packed([i]) for mark, i in marks.items()}
         self.split_marks = re.compile("(" + "|".join(sorted(map(re.escape, marks), key=len, reverse=True)) + ")").split
         self.library = Tokenizer.from_str(content.decode())
         self.byte_of = byte_of
         self._settled: set[str] = set()
-        self._words: dict[str, tuple[bytes, bytes]] = {}
+        self._runs: dict[str, tuple[bytes, bytes]] = {}
         self._older: dict[str, tuple[bytes, bytes]] = {}
 
     # --- words of a text ---
@@ -112,8 +105,7 @@ class WordBpe:
             if k % 2:
                 found.append(part)
             elif self._is_settled(part):
-                folded = (part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")).lower()
-                found += _words_of()(folded)
+                found += WORD.findall(_folded(part))
             else:
                 folded = self.library.normalizer.normalize_str(part)
                 found += [bytes(self.byte_of[c] for c in word) for word, _ in self.library.pre_tokenizer.pre_tokenize_str(folded)]
@@ -138,26 +130,40 @@ class WordBpe:
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The encoding of symbols: the pair of lowest rank is merged first, of equal ones the leftmost."""
-        ids, size, merges = list(symbols), len(symbols), self.merges
+        return self._merge_few(list(symbols)) if len(symbols) <= FEW else self._merge_many(list(symbols))
+
+    def _merge_few(self, ids: list[int]) -> list[int]:
+        find = self.merges.get
+        found = [find(a << BITS | b, NONE) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) != NONE:
+            at, made = found.index(best), best & MASK
+            ids[at : at + 2] = [made]
+            del found[at]
+            if at:
+                found[at - 1] = find(ids[at - 1] << BITS | made, NONE)
+            if at < len(found):
+                found[at] = find(made << BITS | ids[at + 1], NONE)
+        return ids
+
+    def _merge_many(self, ids: list[int]) -> list[int]:
+        size, find = len(ids), self.merges.get
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        heap = []
-        for at in range(size - 1):
-            if (found := merges.get((ids[at], ids[at + 1]))) is not None:
-                heap.append((found[0], at, found[1], ids[at], ids[at + 1]))
+        heap = [(found, at, ids[at], ids[at + 1]) for at in range(size - 1) if (found := find(ids[at] << BITS | ids[at + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, at, made, left, right = heapq.heappop(heap)
+            best, at, left, right = heapq.heappop(heap)
             then = after[at]
             if ids[at] != left or then >= size or ids[then] != right:
                 continue
+            made = best & MASK
             ids[at], ids[then] = made, -1
             after[at] = then = after[then]
             if then < size:
                 before[then] = at
-                if (found := merges.get((made, ids[then]))) is not None:
-                    heapq.heappush(heap, (found[0], at, found[1], made, ids[then]))
-            if (prior := before[at]) >= 0 and (found := merges.get((ids[prior], made))) is not None:
-                heapq.heappush(heap, (found[0], prior, found[1], ids[prior], made))
+                if (found := find(made << BITS | ids[then])) is not None:
+                    heapq.heappush(heap, (found, at, made, ids[then]))
+            if (prior := before[at]) >= 0 and (found := find(ids[prior] << BITS | made)) is not None:
+                heapq.heappush(heap, (found, prior, ids[prior], made))
         return [i for i in ids if i >= 0]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -188,26 +194,42 @@ class WordBpe:
 
     def _packed(self, ids: list[int]) -> tuple[bytes, bytes]:
         """Ids as 32-bit numbers, and the tokens they stand for, each with a blank behind it."""
-        return array("i", ids).tobytes(), "".join([self.names[i] + " " for i in ids]).encode()
+        return array("i", ids).tobytes(), b"".join([self.names[i] for i in ids])
 
     def _word(self, word: str | bytes) -> tuple[bytes, bytes]:
         if (mark := self.marks.get(word)) is not None:
             return mark
-        if len(self._words) >= WORDS_KEPT:
-            self._older, self._words = self._words, {}
-        made = self._older.get(word)
+        return self._packed(self.encode(self.symbols(word.encode() if isinstance(word, str) else word)))
+
+    def _run(self, run: str) -> tuple[bytes, bytes]:
+        """The encoding of what stands between two blanks. Short runs are remembered, and the words in them."""
+        known = self._runs
+        if len(known) >= RUNS_KEPT:
+            self._older, self._runs = known, {}
+            known = self._runs
+        made = self._older.get(run)
         if made is None:
-            made = self._packed(self.encode(self.symbols(word.encode() if isinstance(word, str) else word)))
-        if len(word) <= 64:
-            self._words[word] = made
+            words = WORD.findall(run)
+            parts = []
+            for word in words:
+                part = known.get(word) or self._older.get(word) or self._word(word)
+                if len(word) <= 64:
+                    known[word] = part
+                parts.append(part)
+            made = parts[0] if len(parts) == 1 else (b"".join([m[0] for m in parts]), b"".join([m[1] for m in parts]))
+        if len(run) <= 64:
+            known[run] = made
         return made
 
     def round_trip(self, text: str) -> tuple[bytes, bytes]:
         """Ids as 32-bit numbers and the decoded text in UTF-8."""
-        words = self.words(text)
-        made = list(map(self._words.get, words))
-        if None in made:
-            made = [found or self._word(word) for found, word in zip(made, words)]
+        if "<|" in text or not self._is_settled(text) or SEPARATORS.search(text):
+            made = list(map(self._word, self.words(text)))
+        else:
+            runs = _folded(text).split()
+            made = list(map(self._runs.get, runs))
+            if None in made:
+                made = [found or self._run(run) for found, run in zip(made, runs)]
         return b"".join([m[0] for m in made]), b"".join([m[1] for m in made])[:-1]
 
     def leaves(self, text: str) -> Iterator[tuple[int, int, bytes | None, bytes | None]]:
@@ -225,6 +247,11 @@ class WordBpe:
                 place += 1
 
 
+def _folded(text: str) -> str:
+    """Composed, in lower case letter by letter: a sigma at a word's end is one like others."""
+    return (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+
+
 @cache
 def _tokenizer(content: bytes) -> WordBpe:
     return WordBpe(content)
