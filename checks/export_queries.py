@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import sql as Q
+from checks import stubs
 from checks import views as V
 from checks.label_queries import COUNTS
 from checks.registry import query
 from postloom.functions import answers as A
 from postloom.functions import text as T
 from postloom.operators import export, progress, sampling, synthesis
-from postloom.plans import backfill, training
+from postloom.plans import backfill, generation, training
+from postloom.session import scratch_path
 
 W = V.with_views
 
@@ -456,3 +458,31 @@ def parse_generated(spark, sf_dir):
         F.array_join("posts", "|").alias("posts"),
     )
 
+
+
+@query(
+    "generation_rounds",
+    W("labeled", "dim", **COUNTS, **NEEDS, made=stubs.SQL_GENERATED,
+      judged=f"SELECT *, {Q.hexval('md5(content)', 1)} % 3 <> 0 AS good FROM made",
+      rounds="""SELECT n.label, n.label_id, n.have, n.need, r.round, coalesce(sum(CAST(good AS INT)), 0) AS good
+        FROM needs n CROSS JOIN (SELECT unnest(range(1, 5)) AS round) r LEFT JOIN judged j ON j.label = n.label AND j.round = r.round GROUP BY ALL""",
+      started="""SELECT *, coalesce(sum(good) OVER (PARTITION BY label ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM rounds""",
+      run="SELECT * FROM started WHERE need > 0 AND before < need",
+      examined="""SELECT j.label, good FROM (SELECT j.*, coalesce(sum(CAST(good AS INT)) OVER (PARTITION BY label ORDER BY round, pos
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS found FROM judged j) j WHERE found < need""")
+    + """SELECT r.label, count(*) AS calls, count(*) FILTER ((round + label_id) % 7 = 0) AS failed_calls,
+        least(any_value(need), CAST(sum(good) AS BIGINT)) AS generated,
+        (SELECT count(*) FROM examined e WHERE e.label = r.label AND NOT e.good) AS verified_rejected,
+        count(*) FILTER ((round + label_id) % 7 <> 0) AS filter_rejected FROM run r GROUP BY r.label""",
+)
+def generation_rounds(spark, sf_dir):
+    """Labels below 120 rows are filled by a stub generator and a stub verifier; the run is broken off once and resumed."""
+    labeled, dim, root = V.labeled(spark, sf_dir), V.dim(spark), scratch_path(spark, "generation")
+    needs = progress.label_deficits(progress.label_counts_full(labeled, dim), 120)
+    part = generation.GenerationRun(stubs.generate, "stub", root, stubs.verify_generated, max_rounds=1)
+    part.run(needs, labeled, known_posts(spark, sf_dir), dim)
+    whole = generation.GenerationRun(stubs.generate, "stub", root, stubs.verify_generated, max_rounds=4)
+    done = whole.run(needs, labeled, known_posts(spark, sf_dir), dim)
+    report = whole.report(done, needs).select("label", "generated", "verified_rejected", "filter_rejected")
+    return whole.calls(spark).join(report, "label")

@@ -14,6 +14,8 @@ from postloom.functions.prompts import POST_TITLE
 from postloom.operators.labeling import Reply
 
 N_LOGITS = 32
+KANA16 = "あいうえおかきくけこさしすせそた"
+HEX16 = str.maketrans("0123456789abcdef", KANA16)
 
 
 def _digest(prompt: str) -> str:
@@ -74,3 +76,26 @@ def sql_prediction(source: str, text: str) -> str:
       FROM (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS weights
             FROM (SELECT *, list_transform(range(1, {N_LOGITS + 1}),
                     lambda i: (instr('{Q.HEX}', substr(md5({text}), i, 1)) - 1) / 2.0::DOUBLE) AS logits FROM {source}))"""
+
+
+def generate(prompt: str, label: str, round_number: int) -> Reply:
+    """Five posts of a label and round: kana of a digest behind the label, the last one too short; every seventh round fails."""
+    if (round_number + ALL_LABELS.index(label)) % 7 == 0:
+        return Reply(error="http_503")
+    digests = (hashlib.md5(f"{label}:{round_number}:{k}".encode()).hexdigest() for k in range(5))
+    posts = [(label + d[:12].translate(HEX16) + "です") if k < 4 else "x" for k, d in enumerate(digests)]
+    return Reply(text=json.dumps({"posts": posts}, ensure_ascii=False))
+
+
+def verify_generated(prompt: str, attempt: int) -> Reply:
+    """The label that the post begins with, or another one for a third of the digests."""
+    post = prompt.split(POST_TITLE + "\n", 1)[1]
+    idx = ALL_LABELS.index(post[0])
+    if int(_digest(prompt)[0], 16) % 3 == 0:
+        idx = (idx + 1) % 46
+    return Reply(text=_answer(idx, 0.75, False))
+
+
+SQL_GENERATED = f"""SELECT label, label_id, need, round, pos, label || translate(substr(md5(label || ':' || round || ':' || pos), 1, 12),
+    '0123456789abcdef', '{KANA16}') || 'です' AS content FROM needs, (SELECT unnest(range(1, 5)) AS round), (SELECT unnest(range(0, 4)) AS pos)
+  WHERE (round + label_id) % 7 <> 0"""

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from typing import Any, NamedTuple
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -17,6 +22,7 @@ from postloom.functions import scores as S
 from postloom.functions import text as T
 from postloom.operators.labels import LABEL_CHARS, QA_LABEL, QA_LABEL_ID, label_for_index, label_id_of
 from postloom.operators.sampling import first_n_posts
+from postloom.sources.jsonl import APPEND_ID, APPEND_POSITION
 
 OUTCOME_FIELDS = """
     ok BOOLEAN, label STRING, label_id INT, confidence DOUBLE, rationale STRING,
@@ -85,7 +91,7 @@ def answer_errors(answer: Any, allow_qa: bool = True) -> list[str]:
     return errors
 
 
-def _label_one(labeler: Labeler, prompt: str, max_retries: int, allow_qa: bool) -> dict[str, Any]:
+def label_once(labeler: Labeler, prompt: str, max_retries: int, allow_qa: bool) -> dict[str, Any]:
     """Ask until an answer is valid; a transport error or unreadable answer ends it at once."""
     reason, reply = "unknown", Reply()
 
@@ -123,6 +129,54 @@ def _label_one(labeler: Labeler, prompt: str, max_retries: int, allow_qa: bool)
     return {"ok": False, "reason": reason, "attempts": tried(), "raw": ""}
 
 
+@dataclass(frozen=True)
+class OutcomeLog:
+    """A JSONL log that tasks append to while they ask, so that an answer is kept as soon as it is there.
+
+    Every ``flush_rows`` outcomes are one small file of the folder ``path``, which all executors reach (a local path or a URI
+    that Arrow opens). Lines have the shape of ``append_log``. ``token`` names the pass: a task that starts again,
+    or a replay under the same token, takes what the log holds of the pass and asks only for the rest.
+    """
+
+    path: str
+    flush_rows: int = 1
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)
+    replay: bool = False
+
+    def _folder(self) -> tuple[pyarrow.fs.FileSystem, str]:
+        uri = self.path.replace("s3a://", "s3://", 1)
+        if uri.startswith("file:/") and not uri.startswith("file://"):
+            uri = "file://" + uri[len("file:"):]
+        return pyarrow.fs.FileSystem.from_uri(uri)
+
+    def write(self, lines: list[dict[str, Any]]) -> None:
+        store, folder = self._folder()
+        store.create_dir(folder, recursive=True)
+        stamp = time.time_ns()
+        marked = ({**{k: v for k, v in line.items() if v is not None}, APPEND_ID: stamp, APPEND_POSITION: n} for n, line in enumerate(lines))
+        text = "".join(json.dumps(line, ensure_ascii=False) + "\n" for line in marked)
+        with store.open_output_stream(f"{folder}/outcomes-{self.token}-{uuid.uuid4().hex}.json") as out:
+            out.write(text.encode())
+
+    def answered(self) -> dict[str, dict[str, Any]]:
+        """Outcomes of this pass by event id; read only where a task starts again."""
+        task = TaskContext.get()
+        if not self.replay and (task is None or task.attemptNumber() == 0):
+            return {}
+        store, folder = self._folder()
+        found = {}
+        for info in store.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True)):
+            if info.base_name.startswith(f"outcomes-{self.token}-"):
+                with store.open_input_stream(info.path) as source:
+                    for line in source.read().decode().splitlines():
+                        try:
+                            row = json.loads(line)
+                        except ValueError:
+                            continue  # cut off while it was written: not answered
+                        found[row["event_id"]] = row
+        return found
+
+
 def label_with(
     posts: DataFrame,
     labeler: Labeler,
@@ -132,12 +186,14 @@ def label_with(
     max_retries: int = 5,
     allow_qa: bool = True,
     max_parallel_calls: int | None = None,
+    log: OutcomeLog | None = None,
 ) -> DataFrame:
     """Label every post with a user callable ``(prompt, attempt) -> Reply``.
 
     Runs on the executors over Arrow batches; ``max_parallel_calls`` bounds the number of tasks
     that call at the same time. Output: the input columns, ``prompt`` and the outcome columns.
-    Calls cost money and time, so write the result before using it more than once.
+    Calls cost money and time, so write the result before using it more than once. With ``log`` each outcome is also kept at
+    once, by ``event_id``, and a task that starts again does not repeat the calls that were answered.
     """
     asked = posts.withColumn("prompt", P.labeling_prompt(F.col("content")) if prompt is None else prompt)
     if max_parallel_calls:
@@ -145,10 +201,14 @@ def label_with(
     schema = t.StructType(asked.schema.fields + t.StructType.fromDDL(OUTCOME_FIELDS).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        constants = {"pass": pass_number, "source": model}
+        known = log.answered() if log else {}
         for batch in batches:
             prompts = batch.column(batch.schema.get_field_index("prompt")).to_pylist()
-            rows = [_label_one(labeler, text, max_retries, allow_qa) for text in prompts]
-            constants = {"pass": pass_number, "source": model}
+            if log is None:
+                rows = [label_once(labeler, text, max_retries, allow_qa) for text in prompts]
+            else:
+                rows = list(_logged(log, known, _columns(batch, LOGGED), prompts, constants, lambda text: label_once(labeler, text, max_retries, allow_qa)))
             added = [
                 pa.array([constants.get(f.name, row.get(f.name)) for row in rows], type=f.type)
                 for f in OUTCOME_ARROW
@@ -161,6 +221,34 @@ def label_with(
     return asked.mapInArrow(run, schema)
 
 
+#: Input columns that a log line carries, where there are such.
+LOGGED = ("event_id", "pubkey", "created_at", "content")
+
+
+def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[dict[str, Any]]:
+    return batch.select([n for n in names if n in batch.schema.names]).to_pylist()
+
+
+def _logged(
+    log: OutcomeLog, known: dict[str, dict], inputs: list[dict], prompts: list[str], constants: dict, ask: Callable[[str], dict]
+) -> Iterator[dict[str, Any]]:
+    """Outcomes in order, each written to the log before the next few are asked for."""
+    waiting: list[dict[str, Any]] = []
+    try:
+        for given, prompt in zip(inputs, prompts):
+            outcome = known.get(given["event_id"])
+            if outcome is None:
+                outcome = ask(prompt)
+                waiting.append({**given, **outcome, **constants})
+                if len(waiting) >= log.flush_rows:
+                    log.write(waiting)
+                    waiting = []
+            yield outcome
+    finally:
+        if waiting:
+            log.write(waiting)
+
+
 def logits_with(text: Column, backend_factory: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Column:
     """Logits of a text column from a user backend, built once per worker and fed in batches."""
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from postloom.functions import gates as G
-from postloom.operators.labeling import Labeler, label_with
+from postloom.operators.labeling import Labeler, OutcomeLog, label_with
 from postloom.operators.labels import LABEL_CHARS
 from postloom.operators.progress import MIN_PER_LABEL
 from postloom.operators.resume import last_ok
@@ -86,6 +86,22 @@ class ProgressWatch(StreamingQueryListener):
             self.news.wait_for(lambda: run_id in self.ended or reached.is_set())
 
 
+def _take_interrupt(spark: SparkSession, seconds: float = 10.0) -> None:
+    """Meet the interrupt of ``query.stop()`` inside a batch.
+
+    ``stop`` interrupts the thread that runs the batch. A job started there takes the interrupt, and nothing is lost; further on it
+    might hit the commit of the batch, which would end the query with an error. The batch then commits and the query ends.
+    """
+    end = time.monotonic() + seconds
+    while time.monotonic() < end:
+        try:
+            spark.range(1).count()
+        except Exception as error:  # noqa: BLE001 - the interrupt comes as an error of whatever call it meets
+            if "InterruptedException" in str(error):
+                return
+        time.sleep(0.01)
+
+
 @dataclass
 class StreamResult:
     """Where outcomes were written and the counters of the run."""
@@ -116,6 +132,8 @@ class LabelStream:
     is stopped; a later run on the same checkpoint labels it first. Nothing already admitted is dropped, so labels may
     exceed the target. Progress comes from a listener. Hooks: ``on_batch`` gets all outcomes of a batch, ``on_labeled`` the
     successes, ``on_failure`` the failures, each with the batch id; ``on_progress`` gets each progress report.
+    With ``log_path`` outcomes are also logged one by one while a batch is asked about (:class:`OutcomeLog`), so a batch that broke
+    off does not repeat the calls that were answered.
     """
 
     labeler: Labeler
@@ -133,6 +151,8 @@ class LabelStream:
     on_labeled: Callable[[DataFrame, int], None] | None = None
     on_failure: Callable[[DataFrame, int], None] | None = None
     on_progress: Callable[[dict], None] | None = None
+    log_path: str | None = None
+    flush_rows: int = 1
     trigger: dict[str, object] = field(default_factory=lambda: {"availableNow": True})
 
     def run(self, stream: DataFrame) -> StreamResult:
@@ -166,6 +186,7 @@ class LabelStream:
                 self.model,
                 max_retries=self.max_retries,
                 max_parallel_calls=self.max_parallel_calls,
+                log=None if self.log_path is None else OutcomeLog(self.log_path, self.flush_rows, f"{self._run_id(spark)}-{batch_id}", replay=True),
             ).write.mode("overwrite").parquet(folder)
             outcomes = batch.sparkSession.read.parquet(folder)
             counts = outcomes.filter("ok").groupBy("label").agg(F.count(F.lit(1)).alias("count"))
@@ -188,6 +209,7 @@ class LabelStream:
                 watch.news.notify_all()
             while not running or running[0].isActive:
                 time.sleep(0.01)
+            _take_interrupt(spark)
 
         def handle(batch: DataFrame, batch_id: int) -> None:
             if batch_id in unparked:
