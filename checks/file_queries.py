@@ -88,6 +88,30 @@ def scan_snapshot_items(spark, sf_dir):
     )
 
 
+@query(
+    "scan_large_document",
+    W("chats") + """SELECT event_id, content, row_number() OVER (ORDER BY seq) - 1 AS source_record_index, 'big' AS fallback_model FROM chats""",
+)
+def scan_large_document(spark, sf_dir):
+    """All turns as the items of one document in a single line, read in ranges of 64 KB."""
+    path = scratch_path(spark, "large-document")
+    lines = V.chats(spark, sf_dir).select("seq", F.to_json(F.struct("event_id", "content", "seq")).alias("line"))
+    # Written sorted, as lines behind commas, then as one line between brackets.
+    placed = lines.withColumn("value", F.concat(F.when(F.col("seq") == lines.agg(F.min("seq")).scalar(), F.lit('{"model":"big","items":[')).otherwise(F.lit(",")), "line"))
+    closed = placed.select("seq", "value").unionByName(spark.range(1).select(F.lit(2**62).alias("seq"), F.lit('],"count":"[1, {2}"}').alias("value")))
+    closed.coalesce(1).sortWithinPartitions("seq").select("value").write.option("lineSep", " ").text(path)
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        rows = materialize(snapshots.scan_snapshot_records(spark, path, split=True), "large-items")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    return rows.select(
+        F.try_variant_get("record", "$.event_id", "string").alias("event_id"), F.try_variant_get("record", "$.content", "string").alias("content"),
+        F.col("source_record_index").cast("long").alias("source_record_index"), "fallback_model",
+    )
+
+
 @query(
     "append_log",
     W("labeled", "attempts") + """SELECT event_id, ok, label, ord FROM attempts UNION ALL

@@ -11,18 +11,28 @@ from pyspark.sql import functions as F
 from postloom.functions import answers as A
 from postloom.operators.keyed import last_per_key, side_by_side
 from postloom.sources.jsonl import ordered_lines, scan_log_records
+from postloom.sources.large_documents import document_entries
 
 
 def scan_snapshot_records(
-    spark: SparkSession, path: str, array: str = "items", document_per_line: bool = False
+    spark: SparkSession, path: str, array: str = "items", document_per_line: bool = False, split: bool = False
 ) -> DataFrame:
     """Entries of the ``array`` field of JSON documents, with position and the document's model.
 
     Columns ``record`` (VARIANT), ``source_record_index``, ``record_order``, ``fallback_model`` and ``source_file``.
     Documents follow each other by their number ``document_order`` if they have one, then by file name and
     line; ``record_order`` sorts all entries that way. A missing or corrupt document gives no rows. A document is one file, read by one task, or one
-    line with ``document_per_line``, which lets many documents share splittable files.
+    line with ``document_per_line``, which lets many documents share splittable files. With ``split`` each file is
+    one document of any size, which many tasks read.
     """
+    if split:
+        found = document_entries(spark, path, array)
+        line = F.struct(F.col("file"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("line"))
+        place = F.struct(F.col("rank").alias("append"), F.lit(-1).cast("bigint").alias("position"), line.alias("line_order"))
+        return found.select(
+            F.col("source_record_index").cast("int").alias("source_record_index"), "record", F.col("model").alias("fallback_model"),
+            F.lit(_base_name(path)).alias("source_file"), place.alias("record_order"),
+        )
     listed = _documents(spark, path, document_per_line).filter(A.kind_of(F.col("doc"), f"$.{array}") == "array")
     rank = F.coalesce(F.try_variant_get("doc", "$.document_order", "bigint"), F.lit(-1))
     entries = listed.select(

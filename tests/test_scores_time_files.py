@@ -143,3 +143,49 @@ def test_stream_dedup_with_seed(spark, tmp_path):
     seed = spark.createDataFrame([("2",)], "event_id string")
     write_available(stream_dedup(stream, seed=seed), f"{root}/out", f"{root}/cp")
     assert sorted(r.event_id for r in spark.read.parquet(f"{root}/out").collect()) == ["1", "3"]
+
+
+def test_large_documents_are_read_as_small_ones(spark, tmp_path):
+    import json
+    import random
+
+    from postloom.sources.large_documents import document_entries
+    from postloom.sources.snapshots import scan_snapshot_records
+
+    rng = random.Random(8)
+    texts = ["a", "", "with , comma", 'quote " and \\ back', "br]ack{et}s [", "日本 \n\t", "\\", '\\"', "}],[{"]
+
+    def value(depth=0):
+        kind = rng.randrange(7 if depth < 3 else 4)
+        if kind == 4:
+            return [value(depth + 1) for _ in range(rng.randrange(4))]
+        if kind >= 5:
+            return {rng.choice(texts) + str(k): value(depth + 1) for k in range(rng.randrange(4))}
+        return [rng.choice(texts), rng.randrange(99), None, True][kind]
+
+    docs = {"a": {"items": [value() for _ in range(300)], "model": "m"}, "b": {"model": "x,y", "other": [[1], [2, {"items": [3]}]], "items": [value() for _ in range(40)], "document_order": 3, "z": {}},
+            "c": {"items": []}, "d": {"items": {}}, "e": [1, {"items": [2]}], "f": {"first": 1, "items": [5], "last": [1, 2]}, "g": {"items": [[[]]]}}
+    (tmp_path / "in").mkdir()
+    for name, doc in docs.items():
+        (tmp_path / "in" / f"{name}.json").write_text(json.dumps(doc, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2])))
+    for name, text in {"h": '{"items": [1, 2}', "i": '{"items": [1, x, 2]}', "j": "", "k": '{"items": [1], "items": [2]}', "l": '{"a": 1, "items": [1, 2], "b": tru}'}.items():
+        (tmp_path / "in" / f"{name}.json").write_text(text)
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    columns = ["file", "place", "model", "rank", "body"]
+
+    def listed(df):
+        return sorted(tuple(r) for r in df.selectExpr("regexp_extract(file, '([a-z]).json', 1) AS file", "place", "model", "rank", "to_json(record) AS body").select(*columns).collect())
+
+    whole = scan_snapshot_records(spark, f"{tmp_path}/in").selectExpr(
+        "record_order.line_order.file", "CAST(source_record_index AS BIGINT) AS place", "coalesce(fallback_model, '') AS model", "record_order.append AS rank", "record"
+    )
+    want = listed(whole)
+    assert {w[0] for w in want} == {"a", "b", "f", "g"}
+    try:
+        for size in ("97", "700", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = document_entries(spark, f"{tmp_path}/in").selectExpr("file", "source_record_index AS place", "coalesce(model, '') AS model", "rank", "record")
+            assert listed(found) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    assert document_entries(spark, f"{tmp_path}/absent").count() == 0
