@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postloom.functions import gates as G
@@ -31,56 +31,77 @@ CLASSIFIED_COLUMNS = (
 )
 
 
+CLASSIFIED_COUNTERS = (
+    "after_event_dedup", "after_content_dedup", "language_excluded", "spam_excluded", "excluded_total",
+    "detected_jpn", "detected_und", "detected_other",
+)
+
+
 def classify_posts_status(posts: DataFrame) -> DataFrame:
     """Clusters of raw posts with their gate verdicts and three-way status."""
     return G.with_status(near_dup_clusters(posts)).select(*CLASSIFIED_COLUMNS)
 
 
-def language_tally(classified: DataFrame) -> DataFrame:
-    """Representatives detected as Japanese, undetermined or other."""
-    lang = F.col("detected")
-    return classified.agg(
+def _classified_counters() -> list[Column]:
+    """Counters over the classified clusters; ``spam_excluded`` counts every language-passing cluster with any spam reason."""
+    status, lang = F.col("status"), F.col("detected")
+    return [
+        F.coalesce(F.sum("dup_count"), F.lit(0)).alias("after_event_dedup"),
+        F.count(F.lit(1)).alias("after_content_dedup"),
+        F.count_if(~F.col("is_japanese")).alias("language_excluded"),
+        F.count_if(F.col("is_japanese") & (F.size("spam_reasons") > 0)).alias("spam_excluded"),
+        F.count_if(status == "excluded").alias("excluded_total"),
+        *_language_counters(lang),
+    ]
+
+
+def _language_counters(lang: Column) -> list[Column]:
+    return [
         F.count_if(lang == "jpn").alias("detected_jpn"),
         F.count_if(lang == "und").alias("detected_und"),
         F.count_if(~lang.isin("jpn", "und")).alias("detected_other"),
-    )
+    ]
+
+
+def language_tally(classified: DataFrame) -> DataFrame:
+    """Representatives detected as Japanese, undetermined or other."""
+    return classified.agg(*_language_counters(F.col("detected")))
 
 
-def curate_report(classified: DataFrame, samples: DataFrame) -> DataFrame:
+def curate_report(classified: DataFrame, samples: DataFrame, counted: dict[str, int] | None = None) -> DataFrame:
     """One row of funnel, author and language counters.
 
-    ``spam_excluded`` counts every language-passing cluster with any spam reason.
+    ``counted`` are the counters of ``classified`` if they were taken while it was written; else it is read for them.
     """
-    status = F.col("status")
-    funnel = classified.agg(
-        F.coalesce(F.sum("dup_count"), F.lit(0)).alias("after_event_dedup"),
-        F.count(F.lit(1)).alias("after_content_dedup"),
-        F.count_if(~F.col("is_japanese")).alias("language_excluded"),
-        F.count_if(F.col("is_japanese") & (F.size("spam_reasons") > 0)).alias("spam_excluded"),
-        F.count_if(status == "excluded").alias("excluded_total"),
-    )
     sampled = samples.agg(
         F.count_if(F.col("review_status") == "approved").alias("approved"),
         F.count_if(F.col("review_status") == "review").alias("review"),
         F.count_if("backfilled").alias("approved_backfilled"),
     )
-    return side_by_side(funnel, sampled, author_totals(author_stats(samples)), language_tally(classified))
+    authors = author_totals(author_stats(samples))
+    names = [*(n for n in CLASSIFIED_COUNTERS if not n.startswith("detected_")), *sampled.columns, *authors.columns, *(n for n in CLASSIFIED_COUNTERS if n.startswith("detected_"))]
+    if counted is None:
+        counters = classified.agg(*_classified_counters())
+    else:
+        counters = samples.sparkSession.range(1).select(*(F.lit(counted[n]).cast("bigint").alias(n) for n in CLASSIFIED_COUNTERS))
+    return side_by_side(counters, sampled, authors).select(*names)
 
 
 @dataclass
 class Curation:
-    """Classified clusters (materialized) and the sampled posts derived from them."""
+    """Classified clusters (materialized), the sampled posts derived from them, and the counters taken while the clusters were written."""
 
     classified: DataFrame
     samples: DataFrame
     target: int = TARGET
     author_cap: int = AUTHOR_CAP
+    counted: dict[str, int] | None = None
 
     def sample_rows(self) -> DataFrame:
         return self.samples.select(*SAMPLE_COLUMNS)
 
     def report(self) -> DataFrame:
-        return curate_report(self.classified, self.samples)
+        return curate_report(self.classified, self.samples, self.counted)
 
     def policy(self) -> DataFrame:
         """One row: how samples were chosen."""
@@ -108,8 +129,11 @@ class Curation:
 def curate(posts: DataFrame, target: int = TARGET, author_cap: int = AUTHOR_CAP) -> Curation:
     """Run curation over raw posts (``event_id, pubkey, created_at, content, relay, seq``).
 
-    The classified clusters are written once; ranking, author order and backfill read only their
+    The classified clusters are written once, and counted as they are written; ranking, author order and backfill read only their
     narrow columns, and the text is read again only for the final rows.
     """
-    classified = materialize(classify_posts_status(posts), "classified")
-    return Curation(classified, sample_with_backfill(classified, target, author_cap), target, author_cap)
+    counters = Observation()
+    classified = materialize(classify_posts_status(posts).observe(counters, *_classified_counters()), "classified")
+    # Nothing is observed where Spark sees beforehand that there are no rows.
+    counted = dict.fromkeys(CLASSIFIED_COUNTERS, 0) | counters.get
+    return Curation(classified, sample_with_backfill(classified, target, author_cap), target, author_cap, counted)
