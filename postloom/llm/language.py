@@ -106,9 +106,10 @@ def learn_profiles(df: DataFrame, text: str = "text", lang: str = "lang", size:
     order = W.partitionBy("lang").orderBy(F.desc("n"), "ngram")
     return (
         counts.groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
-        .withColumn("rank", F.row_number().over(order) - 1)
-        .filter(F.col("rank") < size)
-        .select("lang", "rank", "ngram")
+        # Compared as it is, the row number lets every task keep its first ``size`` rows before one task orders a language.
+        .withColumn("place", F.row_number().over(order))
+        .filter(F.col("place") <= size)
+        .select("lang", (F.col("place") - 1).alias("rank"), "ngram")
     )
 
 
