@@ -12,7 +12,7 @@ from postloom.operators import labels, resume
 from postloom.operators.keyed import side_by_side
 from postloom.plans import training
 from postloom.session import materialize, scratch_path
-from postloom.sources import jsonl, snapshots
+from postloom.sources import jsonl, replay, snapshots
 from postloom.streaming import labeling as stream
 from postloom.streaming import state
 
@@ -359,3 +359,16 @@ def stream_fold(spark, sf_dir):
         stream.write_available(state.fold_stream(source), f"{root}/out", f"{root}/checkpoint")
     folded = state.read_fold(spark.read.parquet(f"{root}/out"))
     return folded.withColumn("relays", F.array_join("relay", ",")).drop("relay")
+
+
+@query("replay_then_live", W("chats") + "SELECT event_id, content, CAST(seq % 3 AS INTEGER) AS source_rank FROM chats")
+def replay_then_live(spark, sf_dir):
+    """Turns in two stored folders and a live one, replayed and followed with a restart before every batch."""
+    root = scratch_path(spark, "replay")
+    rows = materialize(V.chats(spark, sf_dir).select("event_id", "pubkey", "created_at", "content", F.array(F.lit("r")).alias("relay"), "seq"), "turns")
+    for part in range(3):
+        rows.filter(F.col("seq") % 3 == part).drop("seq").repartition(3).write.json(f"{root}/part{part}")
+    for _ in range(4):
+        arriving = replay.replay_then_live(spark, [f"{root}/part0", f"{root}/part1"], f"{root}/part2")
+        stream.write_available(arriving, f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out").select("event_id", "content", "source_rank")

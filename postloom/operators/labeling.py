@@ -23,6 +23,7 @@ from postloom.functions import text as T
 from postloom.operators.labels import LABEL_CHARS, QA_LABEL, QA_LABEL_ID, label_for_index, label_id_of
 from postloom.operators.sampling import first_n_posts
 from postloom.sources.jsonl import APPEND_ID, APPEND_POSITION
+from postloom.sources.replay import store_of
 
 OUTCOME_FIELDS = """
     ok BOOLEAN, label STRING, label_id INT, confidence DOUBLE, rationale STRING,
@@ -143,14 +144,8 @@ class OutcomeLog:
     token: str = field(default_factory=lambda: uuid.uuid4().hex)
     replay: bool = False
 
-    def _folder(self) -> tuple[pyarrow.fs.FileSystem, str]:
-        uri = self.path.replace("s3a://", "s3://", 1)
-        if uri.startswith("file:/") and not uri.startswith("file://"):
-            uri = "file://" + uri[len("file:"):]
-        return pyarrow.fs.FileSystem.from_uri(uri)
-
     def write(self, lines: list[dict[str, Any]]) -> None:
-        store, folder = self._folder()
+        store, folder = store_of(self.path)
         store.create_dir(folder, recursive=True)
         stamp = time.time_ns()
         marked = ({**{k: v for k, v in line.items() if v is not None}, APPEND_ID: stamp, APPEND_POSITION: n} for n, line in enumerate(lines))
@@ -163,7 +158,7 @@ class OutcomeLog:
         task = TaskContext.get()
         if not self.replay and (task is None or task.attemptNumber() == 0):
             return {}
-        store, folder = self._folder()
+        store, folder = store_of(self.path)
         found = {}
         for info in store.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True)):
             if info.base_name.startswith(f"outcomes-{self.token}-"):

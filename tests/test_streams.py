@@ -138,3 +138,45 @@ def test_failure_of_a_hook_is_an_error(spark, tmp_path):
     job = labeling.LabelStream(label_by_text, "m", f"{tmp_path}/out", f"{tmp_path}/cp", on_batch=broken)
     with pytest.raises(Exception, match="broken hook"):
         job.run(spark.readStream.schema(POSTS).parquet(f"{tmp_path}/in"))
+
+
+def test_stored_files_come_before_live_ones_over_restarts(spark, tmp_path):
+    from postloom.sources.replay import replay_then_live
+
+    def write(folder, name, ids):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        lines = [json.dumps({"event_id": i, "content": "行" * (k % 7), "pubkey": "p"}, ensure_ascii=False) for k, i in enumerate(ids)]
+        (tmp_path / folder / name).write_text("\n".join([*lines[:3], "broken {", "", *lines[3:]]) + "\n" * (len(ids) % 2))
+
+    write("old1", "a.jsonl", [f"a{k}" for k in range(30)])
+    write("old1", "b.jsonl", [f"b{k}" for k in range(5)])
+    write("old1", "c.jsonl", ["c0"])
+    write("old2", "a.jsonl", [f"d{k}" for k in range(9)])
+    write("live", "1.jsonl", ["e0", "e1"])
+    batches = []
+
+    def run():
+        rows = replay_then_live(spark, [f"{tmp_path}/old1", f"file:{tmp_path}/absent", f"{tmp_path}/old2"], f"{tmp_path}/live", max_files=2, range_bytes=64)
+
+        def keep(batch, batch_id):
+            found = [(r.source_rank, r.event_id) for r in batch.orderBy("source_rank", "line_order").collect()]
+            if found:
+                batches.append((batch_id, found))
+
+        rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+
+    for _ in range(4):  # every run is a restart
+        run()
+    write("live", "2.jsonl", ["f0"])
+    run()
+    run()
+    assert [b for b, _ in batches] == sorted({b for b, _ in batches})
+    want = [(0, f"a{k}") for k in range(30)] + [(0, f"b{k}") for k in range(5)] + [(0, "c0")] + [(2, f"d{k}") for k in range(9)] + [(3, "e0"), (3, "e1"), (3, "f0")]
+    assert [r for _, rows in batches for r in rows] == want
+    assert all(len({rank for rank, _ in rows}) == 1 for _, rows in batches)
+    # A batch that was not committed is read again, as it was.
+    last = max(int(p.name) for p in (tmp_path / "cp" / "commits").iterdir() if p.name.isdigit())
+    (tmp_path / "cp" / "commits" / str(last)).unlink()
+    (tmp_path / "cp" / "commits" / f".{last}.crc").unlink()
+    run()
+    assert batches[-1] == batches[-2] and batches[-1][0] == last
