@@ -339,10 +339,12 @@ def _apart(members: DataFrame, percent: int) -> DataFrame:
 def _rows_with_roots(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     """Rows (doc_id, row_key, size, node, root): ``root`` is equal for sets that reach each other, null for empty sets."""
     rows = materialize(sketch(docs, doc_id, text, percent), "sketches")
-    indexed = rows.filter("node IS NOT NULL").select(F.explode("entries").alias("entry"), "node")
+    # Copies become one row a node in every task, so a set that a third of all rows share sends its entries once a task.
+    once = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("entries").alias("entries"))
+    indexed = once.select(F.explode("entries").alias("entry"), "node")
     buckets = materialize(_buckets(indexed.repartition("entry").sortWithinPartitions("entry", "node")), "buckets")
     nodes = buckets.select(F.explode(F.array("node", "leader")).alias("node")).distinct()
-    picked = rows.select("node", "row_key").join(nodes, "node").groupBy("node").agg(F.min("row_key").alias("row_key"))
+    picked = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("row_key").alias("row_key")).join(nodes, "node")
     picked = materialize(picked, "picked")
     bodies = docs.select(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row_key"), F.col(f"`{text}`").alias("body")).join(small_side(picked), "row_key").dropDuplicates(["row_key"])
 
@@ -355,7 +357,7 @@ def _rows_with_roots(docs: DataFrame, doc_id: str, text: str, percent: int) -> D
         return work
 
     sets = materialize(add_python(bodies, ["body"], "members array<bigint>", make, keep=["node"]), "sets")
-    maps = rows.filter("node IS NOT NULL").select("node", "size", "bits").join(picked, "node").dropDuplicates(["node"])
+    maps = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits")).join(picked, "node")
     maps = materialize(maps.select("node", "size", "bits"), "bitmaps")
     first = _pairs(buckets, "leader", "node").unionAll(_pairs(buckets, "previous", "node")).distinct()
     tried = materialize(_near(first, maps, percent), "pairs")
