@@ -8,6 +8,7 @@ enough of its template gives the template's label.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import cache
 
 import pyarrow as pa
@@ -163,10 +164,12 @@ class LicenseScanner:
             chains.append(made)
             live.append(made)
         chains = [c for c in chains if c[3] >= MIN_COVERED * size]
+        # Those kept are apart from each other, so only the neighbours of a chain can overlap it.
         kept: list[list[int]] = []
         for chain in sorted(chains, key=lambda c: (-c[3], c[0])):
-            if all(chain[1] <= k[0] or chain[0] >= k[1] for k in kept):
-                kept.append(chain)
+            at = bisect_left(kept, chain[0], key=lambda k: k[0])
+            if (at == 0 or kept[at - 1][1] <= chain[0]) and (at == len(kept) or chain[1] <= kept[at][0]):
+                kept.insert(at, chain)
         return [(self.labels[number], begin, end, min(1.0, covered / size)) for begin, end, _, covered in kept]
 
     @staticmethod
@@ -175,9 +178,10 @@ class LicenseScanner:
         joined, found = b" " + b" ".join(words) + b" ", []
         for phrase, label in PHRASES.items():
             wanted = f" {phrase} ".encode()
-            at = joined.find(wanted)
+            at, before, counted = joined.find(wanted), 0, 0
             while at >= 0:
-                found.append((joined.count(b" ", 0, at), label))
+                before, counted = before + joined.count(b" ", counted, at), at
+                found.append((before, label))
                 at = joined.find(wanted, at + 1)
         return sorted(found)
 
