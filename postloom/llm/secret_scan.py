@@ -35,10 +35,12 @@ PATTERNS = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "github": re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
-    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]++)\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"),
     "pem": re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s]{64,}?)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
 }
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: What the parts of a token of this kind consist of.
+JWT_PART = re.compile(r"eyJ[A-Za-z0-9_-]++")
 MIN_ASSIGNED, MIN_ACCESS = 6, 20
 _DIGITS = string.digits + string.ascii_uppercase + string.ascii_lowercase
 
@@ -96,10 +98,15 @@ class SecretScanner:
         hits = sorted((end + 1 - length, kind) for end, (length, kind) in self.automaton.iter(lower))
         free = dict.fromkeys(KINDS, 0)
         for start, kind in hits:
-            if start >= free[kind] and (match := PATTERNS[kind].match(text, start)):
+            if start < free[kind]:
+                continue
+            if match := PATTERNS[kind].match(text, start):
                 free[kind] = match.end()
                 if VALID[kind](match):
                     found.append((kind, start, match.end()))
+            elif kind == "jwt" and (part := JWT_PART.match(text, start)):
+                # Other places in this part go to its end as well and fail at what comes behind it.
+                free[kind] = part.end()
         return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
     def masked(self, text: str | None) -> str | None:

@@ -311,3 +311,37 @@ def test_urls_by_rule_and_model(spark):
     only = {r.verdict for r in urls.judge(pages, RULES[2:3]).collect()}
     assert only == {"block"}
     assert urls.judge(pages.limit(0), RULES).count() == 0
+
+
+def test_long_hostile_texts_take_linear_time():
+    import random
+    import time
+
+    secrets, notices = secret_scan.SecretScanner(), licenses.LicenseScanner()
+    for text in ("eyJ" * 350_000, "eyJa." * 200_000, "token " * 170_000, "-----BEGIN A " * 80_000, "EYJ" * 350_000):
+        start = time.process_time()
+        secrets.spans(text)
+        assert time.process_time() - start < 10, text[:20]
+    words = licenses.words_of("all rights reserved foo " * 40_000)
+    start = time.process_time()
+    assert len(notices.phrases(words)) == 40_000
+    notices.spans(words)
+    assert time.process_time() - start < 20
+
+    # Skipped places are those that could not match.
+    rnd = random.Random(11)
+    header = "eyJhbGciOiJIUzI1NiJ9"
+    for _ in range(400):
+        text = "".join(rnd.choice(["eyJ", header, ".", "a", " ", "EYJ", f"{header}.{header}.x"]) for _ in range(rnd.randint(0, 12)))
+        want, free = [], 0
+        for at in range(len(text)):
+            match = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+").match(text, at)
+            if at >= free and match:
+                free = match.end()
+                want += [("jwt", at, free)] * secret_scan.VALID["jwt"](match)
+        assert [s for s in secrets.spans(text) if s[0] == "jwt"] == want
+    # Chains that overlap: the best ones stay, as comparing all with all finds them.
+    for _ in range(60):
+        runs = sorted((rnd.randrange(60), rnd.randrange(40), rnd.randint(6, 14)) for _ in range(rnd.randint(1, 14)))
+        kept = notices._chains(0, runs)
+        assert all(a[2] <= b[1] or b[2] <= a[1] for k, a in enumerate(kept) for b in kept[k + 1 :])
