@@ -6,41 +6,53 @@ chance of its second word, (count + 1) / (tokens + words + 1), times the weight
 add up to one. So the log chance of a text is that of its unigrams, plus the weights of all its histories, plus what
 each seen bigram gains over falling back.
 
-Bigrams of all words are counted and kept in a table. Words and bigrams of a given share of all tokens, of
-which there can be no more than the inverse of that share, are looked up inside the tasks, so that no frequent
-word ever is a shuffle key; distinct others of each text are joined to the table. Words are told apart by 63-bit
-hashes, bigrams by 62-bit ones.
+Bigrams of all words are counted. They are shuffled and stored as blocks: one row holds the bigrams of a bucket,
+sorted by first word, with each first word once. A bucket takes the bigrams of whole histories; those of a history
+with many places are spread over several by their second word, so buckets stay even. Counts alone are stored, gains
+and weights are computed from a block when it is read. Words and bigrams of a given share of all tokens, of which
+there can be no more than the inverse of that share, are looked up inside the tasks. First words are told apart by 64-bit
+hashes, followers of one word by 39-bit ones.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.rows import flat_python
-from postloom.session import materialize
+from postloom.llm.rows import discard, flat_python, stored
 
-# Words with less than this share of all tokens form one class; 0 leaves none out.
-VOCABULARY_SHARE = 0.0
 # Words and bigrams with this share of all tokens or more, a million of each at most, are looked up inside the tasks.
 LOCAL_SHARE = 1e-6
 # Counts up to this are discounted.
 DISCOUNTED = 5
 # Words that a worker remembers or counts before it hands them on.
 WORDS_KEPT = 400_000
-# A task merges bigrams once this many wait.
-MERGE_AT = 2_000_000
-
-#: The end of a text among the hashes of words; its start, and words without a class of their own, among those of classes.
-END_HASH = xxhash.xxh3_64_intdigest(b" end")
-START, OTHER = (np.uint64(xxhash.xxh3_64_intdigest(name) | 1) for name in (b" start", b" other"))
+# A task merges bigrams once this many wait, and hands them on if half as many are left.
+MERGE_AT = 3_000_000
+# Tokens for each bucket, and places of a history in one bucket.
+BUCKET_TOKENS = 1_000_000
+SPLIT_PLACES = 100_000
+
+#: The end of a text and its start, among the hashes of words.
+END_HASH, START = (np.uint64(xxhash.xxh3_64_intdigest(name)) for name in (b" end", b" start"))
+
+#: What a row of blocks holds: bigrams with a second word that tasks hold, on the way to their history; bigrams of
+#: other second words, on the way to that word; the same with its count, on the way to their history; a stored
+#: bucket; sums of histories that tasks hold; frequent bigrams; numbers of bigrams by count; bigrams of texts; totals of texts.
+DIRECT, TO_SECOND, COUNTED, BUCKET, HISTORIES, FREQUENT, TIMES, TEXTS, TOTALS = range(9)
+BLOCKS = "bucket int, kind int, firsts binary, sizes binary, seconds binary, counts binary, extra binary, rows binary"
+PARTS = ("firsts", "sizes", "seconds", "counts", "extra", "rows")
+SCORES = "row bigint, copies bigint, tokens bigint, known bigint, base double, score double"
+# Bytes of a second word: its whole hash, or the one that tells followers apart.
+WHOLE, SHORT = 8, 5
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -82,31 +94,178 @@ def discounts(counts_of_counts: dict[int, int], most: int = DISCOUNTED) -> list[
     return factors
 
 
+def _lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted array, and which of them are there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def _none(kind: type = np.float64):
+    return field(default_factory=lambda: np.empty(0, kind))
+
+
 @dataclass
 class KatzModel:
     """What the tasks hold (arrays of bounded size) and the table of all else.
 
-    ``entries`` has rows (key, value, weight): bigrams under a key that divides by four with what their log10 chance
-    gains over falling back; words under an odd key with log10 of their count plus one and their weight as a history.
+    ``words`` (sorted hashes, the start of a text among them), ``counts`` (as tokens) and ``places`` (as histories) are of the words
+    that tasks hold. ``table`` has one ``BUCKET`` row a bucket: the bigrams of its histories with their counts.
     """
 
     tokens: int
     distinct: int
-    lumped: bool
-    class_scale: float
-    other_spelled: float
-    other_count: int
-    word_hashes: np.ndarray
-    word_counts: np.ndarray
-    word_own: np.ndarray
-    history_keys: np.ndarray
-    history_log: np.ndarray
-    pair_keys: np.ndarray
-    pair_log: np.ndarray
-    entries: DataFrame | None
+    buckets: int
+    words: np.ndarray
+    counts: np.ndarray
+    places: np.ndarray
+    docs: int
+    factors: list[float] = field(default_factory=lambda: [1.0] * (DISCOUNTED + 1))
+    history_log: np.ndarray = _none()
+    history_scale: np.ndarray = _none()
+    pair_keys: np.ndarray = _none(np.uint64)
+    pair_log: np.ndarray = _none()
+    table: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        keys = self.short(self.words, np.ones(len(self.words), bool))
+        order = np.argsort(keys)
+        self.short_keys, self.short_counts = keys[order], self.counts[order]
 
     def local(self) -> KatzModel:
-        return KatzModel(**{**self.__dict__, "entries": None})
+        """The model without its table, which tasks cannot hold."""
+        return KatzModel(**{k: v for k, v in self.__dict__.items() if k not in ("table", "short_keys", "short_counts")})
+
+    @property
+    def classes(self) -> int:
+        """Words, the end, and the class of words never seen."""
+        ends = self.counts[self.words == END_HASH].sum() > 0
+        return self.distinct - int(ends) + 2
+
+    @property
+    def whole(self) -> float:
+        return float(self.tokens + self.classes)
+
+    @staticmethod
+    def short(words: np.ndarray, local: np.ndarray) -> np.ndarray:
+        """Hashes that tell followers apart; the lowest bit says whether tasks hold the word."""
+        return ((words >> np.uint64(24)) & ~np.uint64(1)) | local.astype(np.uint64)
+
+    def bucket(self, first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+        """The bucket of each bigram, or of words as histories."""
+        part = np.zeros(len(first), np.uint64)
+        if second is not None:
+            at, local = _lookup(self.words, first)
+            parts = np.where(local, 1 + self.places[at] // SPLIT_PLACES, 1).astype(np.uint64)
+            part = (second >> np.uint64(20)) % parts
+        mixed = (first ^ (part * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+        return ((mixed >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int64)
+
+    def kept(self, counts: np.ndarray) -> np.ndarray:
+        """Discounted counts."""
+        return counts * np.array([*self.factors, 1.0])[np.minimum(counts, DISCOUNTED + 1)]
+
+    def weigh(self, n: np.ndarray, kept: np.ndarray, followers_n: np.ndarray, followers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Factor for all discounted counts of each history, and log10 of its weight.
+
+        A history that was followed by every class has nothing to hand on. One whose followers are all too frequent for
+        a discount hands on half a count.
+        """
+        full = followers >= self.classes
+        scale = np.where(full, n / kept, np.where(kept >= n, 1 - 0.5 / n, 1.0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weight = np.log10((1 - kept * scale / n) / ((self.whole - followers_n) / self.whole))
+        return scale, np.where(full, 0.0, weight)
+
+    def second_counts(self, seconds: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Counts of short second words; ``others`` are those of words that tasks do not hold, in order."""
+        at, held = _lookup(self.short_keys, seconds)
+        found = np.where(held, self.short_counts[at], 0)
+        found[(seconds & np.uint64(1)) == 0] = others
+        return found
+
+
+def _small(values: np.ndarray) -> bytes:
+    """Numbers of a byte each; those from 255 on follow in eight."""
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype(np.int64).tobytes()
+
+
+def _read_small(data: bytes, n: int) -> np.ndarray:
+    values = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    values[values == 255] = np.frombuffer(data, np.int64, offset=n)
+    return values
+
+
+def _cut(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _read_cut(data: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, width)
+    values = np.zeros((len(raw), 8), np.uint8)
+    values[:, :width] = raw
+    return values.view("<u8").ravel()
+
+
+def _row_width(rows: int) -> int:
+    return 1 if rows <= 1 << 8 else 2 if rows <= 1 << 16 else 4
+
+
+def _blocks(kind: int, width: int, buckets: np.ndarray, first: np.ndarray, second: np.ndarray, n: np.ndarray, extra=None, rows=None) -> Iterator[dict]:
+    """One row for each bucket with its bigrams sorted by first and second."""
+    order = np.lexsort((second, first, buckets))
+    buckets, first, second, n = buckets[order], first[order], second[order], n[order]
+    extra, rows = (None if a is None else a[order] for a in (extra, rows))
+    starts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else []
+    for start, end in zip(starts, [*starts[1:], len(buckets)]):
+        part = slice(start, end)
+        own = first[part]
+        at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        made = {
+            "bucket": int(buckets[start]), "kind": kind, "firsts": own[at].tobytes(), "sizes": _small(np.diff(np.append(at, len(own)))),
+            "seconds": _cut(second[part], width), "counts": _small(n[part]),
+        }
+        if extra is not None:
+            made["extra"] = _small(extra[part])
+        if rows is not None:
+            ids, places = np.unique(rows[part], return_inverse=True)
+            made |= {"rows": ids.tobytes(), "extra": _cut(places.astype(np.uint64), _row_width(len(ids)))}
+        yield made
+
+
+def _read(row: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First words, number of bigrams of each, second words and counts of a block."""
+    firsts = np.frombuffer(row["firsts"], np.uint64)
+    seconds = _read_cut(row["seconds"], width)
+    return firsts, _read_small(row["sizes"], len(firsts)), seconds, _read_small(row["counts"], len(seconds))
+
+
+def _columns(rows: list[dict]) -> list[pa.Array]:
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * len(PARTS)]
+    return [pa.array([r.get(name) for r in rows], kind) for name, kind in zip(("bucket", "kind", *PARTS), kinds)]
+
+
+def _table(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_arrays(_columns(rows), names=["bucket", "kind", *PARTS])
+
+
+def _gather(rows: list[dict], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words, second words and counts of the bigrams of some blocks, one after the other."""
+    parts = [_read(r, width) for r in rows]
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate([np.repeat(f, s) for f, s, _, _ in parts]), np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+
+
+def _merged(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal bigrams added up."""
+    if not len(first):
+        return first, second, n
+    order = np.argsort(_pair_keys(first, second), kind="stable")
+    first, second, n = first[order], second[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
+    return first[at], second[at], np.add.reduceat(n, at)
 
 
 def _count_words(docs: DataFrame, text: str) -> DataFrame:
@@ -141,65 +300,32 @@ def _count_words(docs: DataFrame, text: str) -> DataFrame:
     return flat_python(docs, [text], "word bigint, n bigint", make).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of keys in a sorted array, and which of them are there."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
-
-
-def _classes_of(words: np.ndarray, model: KatzModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of words (hashes whose lowest bit tells whether tasks hold them), places among the words that tasks hold,
-    and which are there."""
-    at, local = _lookup(model.word_hashes, words)
-    classes = (words & ~np.uint64(1)) | local.astype(np.uint64)
-    return (np.where(local & model.word_own[at], classes, OTHER) if model.lumped else classes), at, local
-
-
-def _before(classes: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.array([START], np.uint64), classes[:-1]])
+def _before(words: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.array([START], np.uint64), words[:-1]])
 
 
 def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return (((first << np.uint64(21)) | (first >> np.uint64(43))) ^ second) & ~np.uint64(3)
-
-
-def _pair_key(first: Column, second: Column) -> Column:
-    """The same as :func:`_pair_keys`."""
-    return F.shiftleft(first, 21).bitwiseOR(F.shiftrightunsigned(first, 43)).bitwiseXOR(second).bitwiseAND(F.lit(~3))
+    return ((first << np.uint64(21)) | (first >> np.uint64(43))) ^ second
 
 
-def _is_local(column: str) -> Column:
-    return F.col(column).bitwiseAND(F.lit(1)) == 1
-
-
-def _count_pairs(docs: DataFrame, text: str, model: KatzModel) -> DataFrame:
-    """Rows (first, second, n, second_n): all bigrams of classes, their counts and those of their second."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.local())
+def _count_pairs(docs: DataFrame, text: str, shared) -> DataFrame:
+    """Blocks ``DIRECT`` and ``TO_SECOND``: all bigrams and their counts, merged within each task."""
 
     def make():
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         waiting = 0
 
         def merge():
-            first, second, counts = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            keys = _pair_keys(first, second)
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            parts[:] = [(first[order[at]], second[order[at]], np.add.reduceat(counts[order], at))]
+            parts[:] = [_merged(*(np.concatenate([p[i] for p in parts]) for i in range(3)))]
 
         def flush():
-            known = shared.value
-            first, second, counts = parts.pop()
-            # Classes of local words have their lowest bit set, whatever that of the word is.
-            tags = known.word_hashes | np.uint64(1)
-            order = np.argsort(tags)
-            at, held = _lookup(tags[order], second)
-            seconds = np.where(held, known.word_counts[order][at], 0)
-            seconds[second == OTHER] = known.other_count
-            return [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(counts), pa.array(seconds.astype(np.int64))]
+            model = shared.value
+            first, second, n = parts.pop()
+            local = _lookup(model.words, second)[1]
+            f, s = first[local], second[local]
+            rows = list(_blocks(DIRECT, SHORT, model.bucket(f, s), f, model.short(s, local[local]), n[local]))
+            f, s = first[~local], second[~local]
+            return _columns(rows + list(_blocks(TO_SECOND, WHOLE, model.bucket(s), f, s, n[~local])))
 
         def work(texts):
             nonlocal waiting
@@ -210,151 +336,241 @@ def _count_pairs(docs: DataFrame, text: str, model: KatzModel) -> DataFrame:
                 return
             if not texts:
                 return
-            known = shared.value
-            every = [_classes_of(hashed(t), known)[0] for t in texts]
-            first, second = np.concatenate([_before(c) for c in every]), np.concatenate(every)
-            _, at, counts = np.unique(_pair_keys(first, second), return_index=True, return_counts=True)
-            parts.append((first[at], second[at], counts.astype(np.int64)))
-            waiting += len(at)
+            every = [hashed(t) for t in texts]
+            first, second = np.concatenate([_before(w) for w in every]), np.concatenate(every)
+            parts.append(_merged(first, second, np.ones(len(first), np.int64)))
+            waiting += len(parts[-1][0])
             if waiting >= MERGE_AT:
                 merge()
-                waiting = 0
-                if len(parts[0][0]) >= MERGE_AT // 2:
+                waiting = len(parts[0][0])
+                if waiting >= MERGE_AT // 2:
                     yield flush()
+                    waiting = 0
 
         return work
 
-    # A second that tasks do not hold is the key, so its count is the sum over its firsts; other bigrams are spread.
-    rows = flat_python(docs, [text], "first bigint, second bigint, n bigint, second_n bigint", make)
-    spread = F.when(_is_local("second"), _pair_key(F.col("first"), F.col("second"))).otherwise(F.col("second"))
-    rows = rows.withColumn("spread", spread).repartition("spread")
-    rows = rows.groupBy("spread", "first", "second").agg(F.sum("n").alias("n"), F.max("second_n").alias("held"))
-    total = F.sum("n").over(Window.partitionBy("spread"))
-    return rows.select("first", "second", "n", F.when(_is_local("second"), F.col("held")).otherwise(total).alias("second_n"))
+    return flat_python(docs, [text], BLOCKS, make)
+
+
+def _of_kind(rows: list[dict], kind: int) -> list[dict]:
+    return [r for r in rows if r["kind"] == kind]
+
+
+def _send_on(shared):
+    """Adds up the bigrams of a bucket; those that came to their second word go on with its count."""
+
+    def work(table: pa.Table) -> pa.Table:
+        model, rows = shared.value, table.to_pylist()
+        first, second, n = _merged(*_gather(_of_kind(rows, DIRECT), SHORT))
+        out = list(_blocks(DIRECT, SHORT, np.full(len(first), rows[0]["bucket"]), first, second, n))
+        first, second, n = _merged(*_gather(_of_kind(rows, TO_SECOND), WHOLE))
+        _, group = np.unique(second, return_inverse=True)
+        total = np.bincount(group, n).astype(np.int64)[group] if len(group) else n
+        short = model.short(second, np.zeros(len(second), bool))
+        return _table(out + list(_blocks(COUNTED, SHORT, model.bucket(first, second), first, short, n, total)))
+
+    return work
+
+
+def _put_down(shared, least: float):
+    """Puts the bigrams of a bucket together: its block, and what tasks have to hold of it."""
+
+    def work(table: pa.Table) -> pa.Table:
+        model, rows = shared.value, table.to_pylist()
+        bucket = rows[0]["bucket"]
+        direct, counted = _gather(_of_kind(rows, DIRECT), SHORT), _of_kind(rows, COUNTED)
+        more = _gather(counted, SHORT)
+        others = [_read_small(r["extra"], len(r["seconds"]) // SHORT) for r in counted]
+        first, second, n = (np.concatenate(p) for p in zip(direct, more))
+        others = np.concatenate([np.zeros(len(direct[0]), np.int64), *others])
+        order = np.lexsort((second, first))
+        first, second, n, others = first[order], second[order], n[order], others[order]
+        rare = (second & np.uint64(1)) == 0
+        block = next(_blocks(BUCKET, SHORT, np.full(len(first), bucket), first, second, n))
+        out = [block | {"extra": _small(others[rare])}]
+        out.append({"bucket": bucket, "kind": TIMES, "counts": np.bincount(np.minimum(n, DISCOUNTED + 2), minlength=DISCOUNTED + 3).astype(np.int64).tobytes()})
+        seconds = model.second_counts(second, others[rare])
+        at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+        held = _lookup(model.words, first[at])[1]
+        # Of a history: bigrams by count up to the last discounted one, places of all others, counts of followers, followers.
+        sums = [np.add.reduceat((n == r).astype(np.int64), at) for r in range(1, DISCOUNTED + 1)]
+        sums += [np.add.reduceat(np.where(n > DISCOUNTED, n, 0), at), np.add.reduceat(seconds + 1, at), np.diff(np.append(at, len(first)))]
+        if held.any():
+            out.append({"bucket": bucket, "kind": HISTORIES, "firsts": first[at][held].tobytes(), "counts": np.column_stack(sums)[held].astype(np.int64).tobytes()})
+        often = (n >= least) & _lookup(model.words, first)[1]
+        if often.any():
+            out.extend(_blocks(FREQUENT, SHORT, np.full(often.sum(), bucket), first[often], second[often], n[often]))
+        return _table(out)
+
+    return work
+
+
+def _gains(model: KatzModel, n, history_n, scale, weight, seconds) -> np.ndarray:
+    """What the log10 chance of bigrams gains over falling back."""
+    return np.log10(model.kept(n) * scale / history_n) - np.log10((seconds + 1) / model.whole) - weight
 
 
 def train(docs: DataFrame, text: str = "text") -> KatzModel:
     """Learn from all rows of ``docs``; a null text counts as empty, so its end alone is a token.
 
-    Nothing is sampled. Collected are words and bigrams of ``LOCAL_SHARE`` of the tokens or more, one number a
+    Nothing is sampled. Collected are words and bigrams of ``LOCAL_SHARE`` of the tokens or more, a few numbers a
     word of these, and counts of counts. Without rows every word belongs to the class of unseen ones.
     """
-    words = materialize(_count_words(docs, text), "katz-words")
+    spark = docs.sparkSession
+    words = stored(_count_words(docs, text), "katz-words")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    end_key = int(np.array(END_HASH, np.uint64).astype(np.int64))
-    lumped = VOCABULARY_SHARE > 0
-    # Words with a class of their own have to be known to the tasks where others have none.
-    local_n = (min(LOCAL_SHARE, VOCABULARY_SHARE) if lumped else LOCAL_SHARE) * tokens
-    held = (F.col("n") >= local_n) | (F.col("word") == end_key)
-    frequent = words.filter(held).toArrow()
-    hashes = frequent["word"].to_numpy().view(np.uint64)
-    counts = frequent["n"].to_numpy()
-    if END_HASH not in hashes:
-        hashes, counts = np.append(hashes, np.uint64(END_HASH)), np.append(counts, 0)
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
-    is_end = hashes == END_HASH
-    ends = int(counts[is_end][0])
-    own = (counts >= VOCABULARY_SHARE * tokens) & ~is_end
-    own_words = int(own.sum()) if lumped else distinct - (1 if ends else 0)
-    other_count = tokens - ends - int(counts[own].sum()) if lumped else 0
-    other_words = distinct - own_words - (1 if ends else 0)
-    # Beside the words, the end and the class of all others.
-    classes = own_words + 2
-    whole_n = tokens + classes
-    none = np.empty(0)
-    model = KatzModel(
-        tokens, distinct, lumped, math.log10(whole_n), math.log10(other_count + 1) - math.log10(other_count + other_words + 1), other_count,
-        hashes, counts, own | is_end, none.astype(np.uint64), none, none.astype(np.uint64), none, None,
-    )
-    pairs = materialize(_count_pairs(docs, text, model), "katz-pairs")
-    counted = {r.n: r.times for r in pairs.filter(F.col("n") <= DISCOUNTED + 1).groupBy("n").agg(F.count("*").alias("times")).collect()}
-    factors = discounts(counted)
-    kept = F.col("n") * F.coalesce(*(F.when(F.col("n") == r, F.lit(factors[r])) for r in range(1, DISCOUNTED + 1)), F.lit(1.0))
-    sums = {"history_n": F.sum("n"), "history_kept": F.sum(kept), "followers_n": F.sum(F.col("second_n") + 1), "followers": F.count("*")}
-    # A history that was followed by every class has nothing to hand on. One whose followers are all too frequent for a
-    # discount hands on half a count.
-    whole = F.col("followers") >= classes
-    scale = F.when(whole, F.col("history_n") / F.col("history_kept")).when(
-        F.col("history_kept") >= F.col("history_n"), 1 - 0.5 / F.col("history_n")
-    ).otherwise(1.0)
-    weight = F.when(whole, F.lit(0.0)).otherwise(
-        F.log10((1 - F.col("history_kept") * F.col("scale") / F.col("history_n")) / ((whole_n - F.col("followers_n")) / F.lit(float(whole_n))))
-    )
-    gain = F.log10(kept * F.col("scale") / F.col("history_n")) - F.log10((F.col("second_n") + 1) / F.lit(float(whole_n))) - F.col("weight")
-    key = _pair_key(F.col("first"), F.col("second"))
-    # Histories that tasks hold are added up and sent to the bigrams, all bigrams of another one stand in one partition.
-    histories = pairs.filter(_is_local("first")).groupBy("first").agg(*(c.alias(k) for k, c in sums.items()))
-    histories = materialize(histories.withColumn("scale", scale).withColumn("weight", weight), "katz-histories")
-    hot = pairs.filter(_is_local("first")).join(F.broadcast(histories), "first").select(key.alias("key"), "n", gain.alias("value"), F.lit(0.0).alias("weight"))
-    window = Window.partitionBy("first")
-    cold = pairs.filter(~_is_local("first")).repartition("first").select("*", *(c.over(window).alias(k) for k, c in sums.items()), F.min("second").over(window).alias("least"))
-    cold = cold.withColumn("scale", scale).withColumn("weight", weight)
-    # A word has as many followers as places, so one of its bigrams gives its own entry.
-    entry = F.struct(key.alias("key"), "n", gain.alias("value"), F.lit(0.0).alias("weight"))
-    word = F.struct(F.col("first").bitwiseOR(F.lit(1)).alias("key"), F.col("history_n").alias("n"), F.log10(F.col("history_n") + F.lit(1.0)).alias("value"), F.col("weight").alias("weight"))
-    cold = cold.select(F.inline(F.when(F.col("second") == F.col("least"), F.array(entry, word)).otherwise(F.array(entry))))
-    entries = hot.unionAll(cold)
-    if lumped:
-        entries = entries.unionAll(words.filter(~held).select(F.col("word").bitwiseOR(F.lit(1)).alias("key"), "n", F.log10(F.col("n") + F.lit(1.0)).alias("value"), F.lit(0.0).alias("weight")))
-    entries = materialize(entries, "katz-entries")
-    is_local_pair = (F.col("key").bitwiseAND(F.lit(3)) == 0) & (F.col("n") >= LOCAL_SHARE * tokens)
-    model.entries = entries.filter(~is_local_pair).select("key", "value", "weight")
-    for names, table in (("history", histories.select(F.col("first").alias("key"), F.col("weight").alias("value"))), ("pair", entries.filter(is_local_pair).select("key", "value"))):
-        table = table.toArrow()
-        keys = table["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        setattr(model, f"{names}_keys", keys[order])
-        setattr(model, f"{names}_log", table["value"].to_numpy()[order])
+    frequent = words.filter((F.col("n") >= LOCAL_SHARE * tokens) | (F.col("word") == int(END_HASH.astype(np.int64)))).toArrow()
+    discard(words)
+    found = dict(zip(frequent["word"].to_numpy().view(np.uint64).tolist(), frequent["n"].to_numpy().tolist()))
+    ends = found.setdefault(int(END_HASH), 0)
+    found[int(START)] = 0
+    hashes = np.sort(np.fromiter(found, np.uint64, len(found)))
+    counts = np.array([found[int(w)] for w in hashes], np.int64)
+    places = np.where(hashes == START, ends, counts)
+    model = KatzModel(tokens, distinct, 1 + tokens // BUCKET_TOKENS, hashes, counts, places, ends)
+    shared = spark.sparkContext.broadcast(model.local())
+    sent = stored(_count_pairs(docs, text, shared).groupBy("bucket").applyInArrow(_send_on(shared), BLOCKS), "katz-sent")
+    least = LOCAL_SHARE * tokens
+    model.table = stored(sent.groupBy("bucket").applyInArrow(_put_down(shared, least), BLOCKS), "katz-table")
+    discard(sent)
+    small = model.table.filter(F.col("kind").isin(TIMES, HISTORIES, FREQUENT)).select("kind", *PARTS).toArrow().to_pylist()
+    times = sum((np.frombuffer(r["counts"], np.int64) for r in _of_kind(small, TIMES)), np.zeros(DISCOUNTED + 3, np.int64))
+    model.factors = discounts({r: int(times[r]) for r in range(1, DISCOUNTED + 2)})
+    # Parts of one history in several buckets are added up.
+    sums = np.zeros((len(hashes), DISCOUNTED + 3), np.int64)
+    for row in _of_kind(small, HISTORIES):
+        at, _ = _lookup(hashes, np.frombuffer(row["firsts"], np.uint64))
+        sums[at] += np.frombuffer(row["counts"], np.int64).reshape(-1, DISCOUNTED + 3)
+    by_count, rest, followers_n, followers = sums[:, :DISCOUNTED], sums[:, -3], sums[:, -2], sums[:, -1]
+    steps = np.arange(1, DISCOUNTED + 1)
+    there = followers > 0
+    scale, weight = np.ones(len(hashes)), np.zeros(len(hashes))
+    kept = by_count @ (steps * np.array(model.factors[1:])) + rest
+    scale[there], weight[there] = model.weigh((by_count @ steps + rest)[there], kept[there], followers_n[there], followers[there])
+    model.history_scale, model.history_log = scale, weight
+    first, second, n = _gather(_of_kind(small, FREQUENT), SHORT)
+    # A frequent bigram has a frequent second word.
+    at, _ = _lookup(hashes, first)
+    gain = _gains(model, n, places[at], scale[at], weight[at], model.second_counts(second, np.empty(0, np.int64))) if len(first) else np.empty(0)
+    keys = _pair_keys(first, second)
+    order = np.argsort(keys)
+    model.pair_keys, model.pair_log = keys[order], gain[order]
     return model
 
 
-def _occurrences(docs: DataFrame, text: str, key: str, model: KatzModel) -> DataFrame:
-    """Rows (key, row, n, value) of each text, ``row`` naming it.
+def _occurrences(docs: DataFrame, text: str, key: str, shared) -> DataFrame:
+    """Blocks ``TEXTS`` (bigrams that tasks do not hold, of each text) and ``TOTALS`` (what tasks could sum up of it).
 
-    What the task holds is summed there: one row with the tokens and their log10 chance, one with the known tokens and the sum of
-    log10 (count + 1), under keys that leave 2 and 6 divided by eight. Each other word (odd key) and bigram (key that
-    divides by four) is a row with its number of places.
+    A task takes each text once, whatever its copies there.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.local())
 
     def make():
-        known = shared.value
-        count_log = np.log10(known.word_counts + 1.0)
-
-        def block(rows, bodies):
-            out: list[list[np.ndarray]] = [[], [], [], []]
+        taken: set[int] = set()
+        waiting: list[list[np.ndarray]] = [[], [], [], []]
+        totals: list[tuple] = []
+        size = 0
 
-            def add(row, keys, n, value):
-                for column, part in zip(out, (keys, np.full(len(keys), row, np.int64), n, value)):
-                    column.append(part)
+        def flush():
+            nonlocal size
+            model = shared.value
+            rows = []
+            if waiting[0]:
+                first, second, n, row = (np.concatenate(w) for w in waiting)
+                short = model.short(second, _lookup(model.words, second)[1])
+                rows += _blocks(TEXTS, SHORT, model.bucket(first, second), first, short, n, rows=row)
+            ids = np.array([t[0] for t in totals], np.int64)
+            rows.append({
+                "bucket": int(ids[0]) % model.buckets, "kind": TOTALS, "rows": ids.tobytes(), "extra": np.array([t[1:3] for t in totals], np.int64).tobytes(),
+                "counts": np.array([t[3:] for t in totals], np.float64).tobytes(),
+            })
+            for column in waiting:
+                column.clear()
+            totals.clear()
+            size = 0
+            return _columns(rows)
 
+        def work(rows, bodies):
+            nonlocal size
+            if rows is None:
+                if totals:
+                    yield flush()
+                return
+            model = shared.value
+            count_log, scale = np.log10(model.counts + 1.0), math.log10(model.whole)
             for row, body in zip(rows, bodies):
+                if row in taken:
+                    continue
+                taken.add(row)
                 words = hashed(body)
-                classes, at, local = _classes_of(words, known)
-                inside = local & (known.word_counts[at] > 0)
+                at, local = _lookup(model.words, words)
                 base = count_log[at[local]].sum()
-                chance = base - known.class_scale * len(words) + known.other_spelled * (classes == OTHER).sum()
-                first = _before(classes)
-                where, held = _lookup(known.history_keys, first)
-                chance += known.history_log[where[held]].sum()
-                pairs, n = np.unique(_pair_keys(first, classes), return_counts=True)
-                where, held = _lookup(known.pair_keys, pairs)
-                chance += (known.pair_log[where[held]] * n[held]).sum()
-                add(row, pairs[~held].view(np.int64), n[~held], np.zeros((~held).sum()))
-                rare, times = np.unique(words[~local] | np.uint64(1), return_counts=True)
-                add(row, rare.view(np.int64), times, np.zeros(len(rare)))
-                mark = (row & ~7) | 2
-                add(row, np.array([mark, mark | 4]), np.array([len(words), int(inside.sum())]), np.array([chance, base]))
-            return [pa.array(np.concatenate(c).astype(t)) for c, t in zip(out, (np.int64, np.int64, np.int32, np.float64))]
-
-        def work(rows, bodies):
-            if rows:
-                yield block(rows, bodies)
+                first = _before(words)
+                # The word before is known by the place of the one that follows it.
+                before, held = _lookup(model.words, first[:1])
+                before, held = np.concatenate([before, at[:-1]]), np.concatenate([held, local[:-1]])
+                chance = base - scale * len(words) + model.history_log[before[held]].sum()
+                first, second, n = _merged(first, words, np.ones(len(words), np.int64))
+                where, known = _lookup(model.pair_keys, _pair_keys(first, model.short(second, np.ones(len(second), bool))))
+                known &= _lookup(model.words, second)[1]
+                chance += (model.pair_log[where[known]] * n[known]).sum()
+                for column, part in zip(waiting, (first[~known], second[~known], n[~known], np.full((~known).sum(), row, np.int64))):
+                    column.append(part)
+                size += int((~known).sum())
+                totals.append((row, len(words), int((model.counts[at[local]] > 0).sum()), base, chance))
+                if size >= MERGE_AT:
+                    yield flush()
 
         return work
 
-    return flat_python(docs, [key, text], "key bigint, row bigint, n int, value double", make)
+    return flat_python(docs, [key, text], BLOCKS, make)
+
+
+def _scores(rows: np.ndarray, copies, tokens, known, base, score) -> pa.Table:
+    values = (rows, copies, tokens, known, base, score)
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.float64, np.float64)
+    return pa.Table.from_arrays([pa.array(np.asarray(v, k)) for v, k in zip(values, kinds)], names=[p.split()[0] for p in SCORES.split(", ")])
+
+
+def _evaluate(shared):
+    """Looks up the bigrams of texts in the block of their bucket: sums for each text."""
+
+    def work(table: pa.Table) -> pa.Table:
+        model, rows = shared.value, table.to_pylist()
+        made = []
+        for row in _of_kind(rows, TOTALS):
+            ids, whole = np.frombuffer(row["rows"], np.int64), np.frombuffer(row["extra"], np.int64).reshape(-1, 2)
+            sums = np.frombuffer(row["counts"], np.float64).reshape(-1, 2)
+            made.append(_scores(ids, np.ones(len(ids)), whole[:, 0], whole[:, 1], sums[:, 0], sums[:, 1]))
+        blocks = _of_kind(rows, BUCKET)
+        if blocks:
+            firsts, sizes, seconds, n = _read(blocks[0], SHORT)
+            starts, group = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(firsts)), sizes)
+            rare = (seconds & np.uint64(1)) == 0
+            second_n = model.second_counts(seconds, _read_small(blocks[0]["extra"], int(rare.sum())))
+            at, held = _lookup(model.words, firsts)
+            # Histories that tasks do not hold stand here whole.
+            history_n = np.where(held, model.places[at], np.add.reduceat(n, starts))
+            scale, weight = model.weigh(np.add.reduceat(n, starts), np.add.reduceat(model.kept(n), starts), np.add.reduceat(second_n + 1, starts), sizes)
+            scale, weight = np.where(held, model.history_scale[at], scale), np.where(held, model.history_log[at], weight)
+            gains = _gains(model, n, history_n[group], scale[group], weight[group], second_n)
+            keys = (group.astype(np.uint64) << np.uint64(40)) | seconds
+            # Places of words that tasks hold are summed up there.
+            word_n, word_log = np.where(held, 0, history_n), np.where(held, 0.0, np.log10(history_n + 1.0))
+            word_weight = np.where(held, 0.0, weight)
+            for row in _of_kind(rows, TEXTS):
+                first, size, second, times = _read(row, SHORT)
+                ids = np.frombuffer(row["rows"], np.int64)
+                of = _read_cut(row["extra"], _row_width(len(ids))).astype(np.int64)
+                at, seen = (np.repeat(a, size) for a in _lookup(firsts, first))
+                where, there = _lookup(keys, (at.astype(np.uint64) << np.uint64(40)) | second)
+                score = np.where(seen, word_log[at] + word_weight[at], 0.0) + np.where(there & seen, gains[where], 0.0)
+                parts = (np.where(seen & (word_n[at] > 0), 1, 0), np.where(seen, word_log[at], 0.0), score)
+                known, base, score = (np.bincount(of, p * times, len(ids)) for p in parts)
+                zero = np.zeros(len(ids))
+                made.append(_scores(ids, zero, zero, known, base, score))
+        return pa.concat_tables(made) if made else _scores(*[np.empty(0)] * 6)
+
+    return work
 
 
 def score(docs: DataFrame, model: KatzModel, text: str = "text") -> DataFrame:
@@ -362,30 +578,21 @@ def score(docs: DataFrame, model: KatzModel, text: str = "text") -> DataFrame:
     and ``lm_score`` (log10 chance by the Katz model); columns of those names are replaced.
 
     Every text is scored whole; a null counts as empty and has its end as only token. Texts that repeat are
-    scored once each and get equal values, all rows are returned.
+    scored once a task and get equal values, all rows are returned. Where there are more rows than the model
+    was trained on, texts of a bucket are dealt to several copies of its block.
     """
+    names = ("lm_tokens", "lm_known", "lm_base", "lm_score")
+    shared = docs.sparkSession.sparkContext.broadcast(model.local())
     named = docs.select(F.xxhash64(text).alias("row"), F.col(f"`{text}`").alias("body"))
-    rows = _occurrences(named, "body", "row", model).join(model.entries.withColumnRenamed("value", "learned"), "key", "left")
-    pair, word = F.col("key").bitwiseAND(F.lit(3)) == 0, F.col("key").bitwiseAND(F.lit(1)) == 1
-    total, hits = (F.col("key").bitwiseAND(F.lit(7)) == k for k in (2, 6))
-    learned = F.coalesce("learned", F.lit(0.0))
-
-    def when(*cases: tuple[Column, Column]) -> Column:
-        made = F.when(*cases[0])
-        for case in cases[1:]:
-            made = made.when(*case)
-        return F.sum(made)
-
-    sums = rows.groupBy("row").agg(
-        F.count(F.when(total, 1)).alias("copies"),
-        when((total, F.col("n"))).alias("lm_tokens"),
-        when((hits, F.col("n")), (word & F.col("learned").isNotNull(), F.col("n"))).alias("lm_known"),
-        when((hits, F.col("value")), (word, F.col("n") * learned)).alias("lm_base"),
-        when((total, F.col("value")), (word, F.col("n") * (learned + F.coalesce("weight", F.lit(0.0)))), (pair, F.col("n") * learned)).alias("lm_score"),
-    )
+    deals = 1 + docs.count() // (2 * max(1, model.docs))
+    texts = _occurrences(named, "body", "row", shared)
+    texts = texts.withColumn("deal", F.pmod(F.xxhash64("rows"), F.lit(deals)))
+    table = model.table.filter(F.col("kind") == BUCKET).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(deals - 1).cast("bigint"))))
+    found = texts.unionByName(table).groupBy("bucket", "deal").applyInArrow(_evaluate(shared), SCORES)
+    sums = found.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("copies", "tokens", "known", "base", "score")))
     scale = math.log10(model.tokens + model.distinct + 1)
-    fresh = {c: (F.col(c) / F.col("copies")).cast("bigint" if c in ("lm_tokens", "lm_known") else "double") for c in ("lm_tokens", "lm_known", "lm_base", "lm_score")}
-    fresh["lm_base"] = fresh["lm_base"] - fresh["lm_tokens"] * scale
-    made = sums.select(F.col("row").alias("lm_row"), *(c.alias(k) for k, c in fresh.items()))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in fresh]
+    tokens, known = ((F.col(c) / F.col("copies")).cast("bigint") for c in ("tokens", "known"))
+    base, chance = (F.col(c) / F.col("copies") for c in ("base", "score"))
+    made = sums.select(F.col("row").alias("lm_row"), *(c.alias(k) for k, c in zip(names, (tokens, known, base - tokens * scale, chance))))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     return docs.select(*kept, F.xxhash64(text).alias("lm_row")).join(made, "lm_row", "left").drop("lm_row")

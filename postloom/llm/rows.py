@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postloom.session import ship_packages
+from postloom.session import materialize, ship_packages
 
 # Rows per Arrow batch: a batch of texts of 100,000 characters stays near 50 MB.
 BATCH_ROWS = 512
@@ -98,3 +98,27 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     Larger tables are joined by shuffling both sides; the result is the same.
     """
     return F.broadcast(df) if df.count() <= rows else df
+
+
+# Spark's setting that removes the shuffle files of a query at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read back; the shuffle files behind it are removed once it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that :func:`stored` wrote and nothing reads any more."""
+    files = df.inputFiles()
+    if not files:
+        return
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

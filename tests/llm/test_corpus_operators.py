@@ -217,7 +217,7 @@ class PlainKatz:
         tokens = [[*cases.solid_words(t), None] for t in texts]
         self.counts = Counter(w for t in tokens for w in t)
         self.total, self.distinct = sum(self.counts.values()), len(self.counts)
-        self.own = {w for w, n in self.counts.items() if w is not None and n >= katz.VOCABULARY_SHARE * self.total}
+        self.own = {w for w in self.counts if w is not None}
         pairs = Counter(p for t in tokens for p in self.pairs(t))
         self.factors = katz.discounts(Counter(n for n in pairs.values() if n <= katz.DISCOUNTED + 1))
         classes = Counter({w: self.counts[w] for w in self.own})
@@ -255,10 +255,12 @@ class PlainKatz:
         return len(words), sum(self.counts[w] > 0 for w in words), base, lm
 
 
-@pytest.mark.parametrize("share", [5e-5, 5e-3, 0.5])
-def test_katz_equals_the_plain_version(spark, monkeypatch, share):
-    monkeypatch.setattr(katz, "VOCABULARY_SHARE", share)
-    monkeypatch.setattr(katz, "LOCAL_SHARE", share / 2)
+@pytest.mark.parametrize(("share", "tokens", "places"), [(5e-5, 10**6, 10**5), (2.5e-3, 5000, 100), (0.25, 700, 10)])
+def test_katz_equals_the_plain_version(spark, monkeypatch, share, tokens, places):
+    monkeypatch.setattr(katz, "LOCAL_SHARE", share)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", tokens)
+    monkeypatch.setattr(katz, "SPLIT_PLACES", places)
+    monkeypatch.setattr(katz, "MERGE_AT", tokens)
     rows = cases.ROWS + [(100 + i, cases.prose(i, 60), "en") for i in range(30)]
     docs = cases.docs(spark, rows, extra="lm_score string, key int, row int, value int, n string")
     train = docs.filter("doc_id IS NULL OR doc_id % 3 <> 2")
