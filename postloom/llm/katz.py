@@ -37,6 +37,9 @@ DISCOUNTED = 5
 WORDS_KEPT = 400_000
 # A task merges bigrams once this many wait, and hands them on if half as many are left.
 MERGE_AT = 3_000_000
+# Bigrams of texts that a task gathers before it hands them on, and words that it looks up at once.
+TEXTS_AT = 750_000
+WORDS_AT = 250_000
 # Tokens for each bucket, and places of a history in one bucket.
 BUCKET_TOKENS = 1_000_000
 SPLIT_PLACES = 100_000
@@ -517,7 +520,7 @@ def _occurrences(docs: DataFrame, text: str, key: str, shared) -> DataFrame:
                     column.append(part)
                 size += int((~known).sum())
                 totals.append((row, len(words), int((model.counts[at[local]] > 0).sum()), base, chance))
-                if size >= MERGE_AT:
+                if size >= TEXTS_AT:
                     yield flush()
 
         return work
