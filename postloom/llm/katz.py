@@ -469,7 +469,7 @@ def _occurrences(docs: DataFrame, text: str, key: str, shared) -> DataFrame:
 
     def make():
         taken: set[int] = set()
-        waiting: list[list[np.ndarray]] = [[], [], [], []]
+        waiting: list[list[np.ndarray]] = [[], [], [], [], []]
         totals: list[tuple] = []
         size = 0
 
@@ -478,9 +478,8 @@ def _occurrences(docs: DataFrame, text: str, key: str, shared) -> DataFrame:
             model = shared.value
             rows = []
             if waiting[0]:
-                first, second, n, row = (np.concatenate(w) for w in waiting)
-                short = model.short(second, _lookup(model.words, second)[1])
-                rows += _blocks(TEXTS, SHORT, model.bucket(first, second), first, short, n, rows=row)
+                buckets, first, second, n, row = (np.concatenate(w) for w in waiting)
+                rows += _blocks(TEXTS, SHORT, buckets, first, second, n, rows=row)
             ids = np.array([t[0] for t in totals], np.int64)
             rows.append({
                 "bucket": int(ids[0]) % model.buckets, "kind": TOTALS, "rows": ids.tobytes(), "extra": np.array([t[1:3] for t in totals], np.int64).tobytes(),
@@ -492,36 +491,60 @@ def _occurrences(docs: DataFrame, text: str, key: str, shared) -> DataFrame:
             size = 0
             return _columns(rows)
 
+        def measure(texts: dict[int, np.ndarray]):
+            nonlocal size
+            model = shared.value
+            words, ids = np.concatenate(list(texts.values())), np.fromiter(texts, np.int64, len(texts))
+            sizes = np.fromiter(map(len, texts.values()), np.int64, len(texts))
+            of, starts = np.repeat(np.arange(len(ids)), sizes), np.cumsum(sizes) - sizes
+            at, local = _lookup(model.words, words)
+            # The word before is known by the place of the one that follows it.
+            first, before, held = np.roll(words, 1), np.roll(at, 1), np.roll(local, 1)
+            first[starts] = START
+            before[starts], held[starts] = _lookup(model.words, first[:1])
+
+            def per_text(where, values):
+                return np.bincount(of[where], values, len(ids))
+
+            base = per_text(local, np.log10(model.counts + 1.0)[at[local]])
+            chance = base - math.log10(model.whole) * sizes + per_text(held, model.history_log[before[held]])
+            known = per_text(local, (model.counts > 0)[at[local]])
+            second = model.short(words, local)
+            order = np.argsort(_pair_keys(first, words) + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            columns = [c[order] for c in (first, words, second, of)]
+            changes = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+            cuts = np.flatnonzero(np.concatenate([[True], changes]))
+            n = np.diff(np.append(cuts, len(words)))
+            first, words, second, of = (c[cuts] for c in columns)
+            where, there = _lookup(model.pair_keys, _pair_keys(first, second))
+            chance += per_text(there, model.pair_log[where[there]] * n[there])
+            rest = ~there
+            first, words = first[rest], words[rest]
+            for column, part in zip(waiting, (model.bucket(first, words).astype(np.int32), first, second[rest], n[rest].astype(np.int32), ids[of[rest]])):
+                column.append(part)
+            size += len(first)
+            totals.extend(zip(ids.tolist(), sizes.tolist(), known.astype(np.int64).tolist(), base.tolist(), chance.tolist()))
+
         def work(rows, bodies):
             nonlocal size
             if rows is None:
                 if totals:
                     yield flush()
                 return
-            model = shared.value
-            count_log, scale = np.log10(model.counts + 1.0), math.log10(model.whole)
+            texts, n_words = {}, 0
             for row, body in zip(rows, bodies):
                 if row in taken:
                     continue
                 taken.add(row)
-                words = hashed(body)
-                at, local = _lookup(model.words, words)
-                base = count_log[at[local]].sum()
-                first = _before(words)
-                # The word before is known by the place of the one that follows it.
-                before, held = _lookup(model.words, first[:1])
-                before, held = np.concatenate([before, at[:-1]]), np.concatenate([held, local[:-1]])
-                chance = base - scale * len(words) + model.history_log[before[held]].sum()
-                first, second, n = _merged(first, words, np.ones(len(words), np.int64))
-                where, known = _lookup(model.pair_keys, _pair_keys(first, model.short(second, np.ones(len(second), bool))))
-                known &= _lookup(model.words, second)[1]
-                chance += (model.pair_log[where[known]] * n[known]).sum()
-                for column, part in zip(waiting, (first[~known], second[~known], n[~known], np.full((~known).sum(), row, np.int64))):
-                    column.append(part)
-                size += int((~known).sum())
-                totals.append((row, len(words), int((model.counts[at[local]] > 0).sum()), base, chance))
+                texts[row] = hashed(body)
+                n_words += len(texts[row])
+                if n_words >= WORDS_AT:
+                    measure(texts)
+                    texts, n_words = {}, 0
                 if size >= TEXTS_AT:
                     yield flush()
+            if texts:
+                measure(texts)
 
         return work
 
