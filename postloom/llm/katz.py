@@ -43,6 +43,8 @@ WORDS_AT = 250_000
 # Tokens for each bucket, and places of a history in one bucket.
 BUCKET_TOKENS = 1_000_000
 SPLIT_PLACES = 100_000
+# Shuffle partitions for each bucket, so that hardly two meet in a task.
+PARTITIONS = 2
 
 #: The end of a text and its start, among the hashes of words.
 END_HASH, START = (np.uint64(xxhash.xxh3_64_intdigest(name)) for name in (b" end", b" start"))
@@ -51,7 +53,9 @@ END_HASH, START = (np.uint64(xxhash.xxh3_64_intdigest(name)) for name in (b" end
 #: other second words, on the way to that word; the same with its count, on the way to their history; a stored
 #: bucket; sums of histories that tasks hold; frequent bigrams; numbers of bigrams by count; bigrams of texts; totals of texts.
 DIRECT, TO_SECOND, COUNTED, BUCKET, HISTORIES, FREQUENT, TIMES, TEXTS, TOTALS = range(9)
-BLOCKS = "bucket int, kind int, firsts binary, sizes binary, seconds binary, counts binary, extra binary, rows binary"
+BLOCKS = "bucket int, kind int, firsts binary, sizes binary, seconds binary, counts binary, extra binary, rows binary, flush bigint"
+# What a bucket tells of the texts of one block.
+SUMS = "flush bigint, rows binary, whole binary, known binary, base binary, score binary"
 PARTS = ("firsts", "sizes", "seconds", "counts", "extra", "rows")
 SCORES = "row bigint, copies bigint, tokens bigint, known bigint, base double, score double"
 # Bytes of a second word: its whole hash, or the one that tells followers apart.
@@ -245,12 +249,12 @@ def _read(row: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def _columns(rows: list[dict]) -> list[pa.Array]:
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * len(PARTS)]
-    return [pa.array([r.get(name) for r in rows], kind) for name, kind in zip(("bucket", "kind", *PARTS), kinds)]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * len(PARTS), pa.int64()]
+    return [pa.array([r.get(name) for r in rows], kind) for name, kind in zip(("bucket", "kind", *PARTS, "flush"), kinds)]
 
 
 def _table(rows: list[dict]) -> pa.Table:
-    return pa.Table.from_arrays(_columns(rows), names=["bucket", "kind", *PARTS])
+    return pa.Table.from_arrays(_columns(rows), names=["bucket", "kind", *PARTS, "flush"])
 
 
 def _gather(rows: list[dict], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -432,9 +436,10 @@ def train(docs: DataFrame, text: str = "text") -> KatzModel:
     places = np.where(hashes == START, ends, counts)
     model = KatzModel(tokens, distinct, 1 + tokens // BUCKET_TOKENS, hashes, counts, places, ends)
     shared = spark.sparkContext.broadcast(model.local())
-    sent = stored(_count_pairs(docs, text, shared).groupBy("bucket").applyInArrow(_send_on(shared), BLOCKS), "katz-sent")
+    parts = PARTITIONS * model.buckets
+    sent = stored(_count_pairs(docs, text, shared).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_send_on(shared), BLOCKS), "katz-sent")
     least = LOCAL_SHARE * tokens
-    model.table = stored(sent.groupBy("bucket").applyInArrow(_put_down(shared, least), BLOCKS), "katz-table")
+    model.table = stored(sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_put_down(shared, least), BLOCKS), "katz-table")
     discard(sent)
     small = model.table.filter(F.col("kind").isin(TIMES, HISTORIES, FREQUENT)).select("kind", *PARTS).toArrow().to_pylist()
     times = sum((np.frombuffer(r["counts"], np.int64) for r in _of_kind(small, TIMES)), np.zeros(DISCOUNTED + 3, np.int64))
@@ -485,6 +490,9 @@ def _occurrences(docs: DataFrame, text: str, key: str, shared) -> DataFrame:
                 "bucket": int(ids[0]) % model.buckets, "kind": TOTALS, "rows": ids.tobytes(), "extra": np.array([t[1:3] for t in totals], np.int64).tobytes(),
                 "counts": np.array([t[3:] for t in totals], np.float64).tobytes(),
             })
+            # A task that runs again gives its blocks the same number.
+            number = int(np.array(xxhash.xxh3_64_intdigest(ids.tobytes()), np.uint64).astype(np.int64))
+            rows = [r | {"flush": number} for r in rows]
             for column in waiting:
                 column.clear()
             totals.clear()
@@ -551,22 +559,16 @@ def _occurrences(docs: DataFrame, text: str, key: str, shared) -> DataFrame:
     return flat_python(docs, [key, text], BLOCKS, make)
 
 
-def _scores(rows: np.ndarray, copies, tokens, known, base, score) -> pa.Table:
-    values = (rows, copies, tokens, known, base, score)
-    kinds = (np.int64, np.int64, np.int64, np.int64, np.float64, np.float64)
-    return pa.Table.from_arrays([pa.array(np.asarray(v, k)) for v, k in zip(values, kinds)], names=[p.split()[0] for p in SCORES.split(", ")])
-
-
 def _evaluate(shared):
-    """Looks up the bigrams of texts in the block of their bucket: sums for each text."""
+    """Looks up the bigrams of texts in the block of their bucket: one row of sums for each block of texts."""
 
     def work(table: pa.Table) -> pa.Table:
         model, rows = shared.value, table.to_pylist()
         made = []
         for row in _of_kind(rows, TOTALS):
-            ids, whole = np.frombuffer(row["rows"], np.int64), np.frombuffer(row["extra"], np.int64).reshape(-1, 2)
+            whole = np.frombuffer(row["extra"], np.int64).reshape(-1, 2)
             sums = np.frombuffer(row["counts"], np.float64).reshape(-1, 2)
-            made.append(_scores(ids, np.ones(len(ids)), whole[:, 0], whole[:, 1], sums[:, 0], sums[:, 1]))
+            made.append({"flush": row["flush"], "rows": row["rows"], "whole": whole[:, 0].tobytes(), "known": _small(whole[:, 1]), "base": sums[:, 0].tobytes(), "score": sums[:, 1].tobytes()})
         blocks = _of_kind(rows, BUCKET)
         if blocks:
             firsts, sizes, seconds, n = _read(blocks[0], SHORT)
@@ -592,13 +594,32 @@ def _evaluate(shared):
                 score = np.where(seen, word_log[at] + word_weight[at], 0.0) + np.where(there & seen, gains[where], 0.0)
                 parts = (np.where(seen & (word_n[at] > 0), 1, 0), np.where(seen, word_log[at], 0.0), score)
                 known, base, score = (np.bincount(of, p * times, len(ids)) for p in parts)
-                zero = np.zeros(len(ids))
-                made.append(_scores(ids, zero, zero, known, base, score))
-        return pa.concat_tables(made) if made else _scores(*[np.empty(0)] * 6)
+                # Few texts have words here that tasks do not hold.
+                some = base.tobytes() if base.any() else b""
+                made.append({"flush": row["flush"], "rows": row["rows"], "known": _small(known.astype(np.int64)), "base": some, "score": score.tobytes()})
+        names = [p.split()[0] for p in SUMS.split(", ")]
+        kinds = [pa.int64(), *[pa.binary()] * (len(names) - 1)]
+        return pa.Table.from_arrays([pa.array([r.get(k) for r in made], kind) for k, kind in zip(names, kinds)], names=names)
 
     return work
 
 
+def _add_up(table: pa.Table) -> pa.Table:
+    """One row for each text of a block that a task handed on, with its sums over all buckets."""
+    rows = table.to_pylist()
+    ids = [np.frombuffer(r["rows"], np.int64) for r in rows]
+    known = [_read_small(r["known"], len(i)) for r, i in zip(rows, ids)]
+    base = [np.frombuffer(r["base"]) if r["base"] else np.zeros(len(i)) for r, i in zip(rows, ids)]
+    score = [np.frombuffer(r["score"]) for r in rows]
+    tokens = [np.zeros(len(i), np.int64) if r["whole"] is None else np.frombuffer(r["whole"], np.int64) for r, i in zip(rows, ids)]
+    copies = [np.full(len(i), int(r["whole"] is not None)) for r, i in zip(rows, ids)]
+    texts, of = np.unique(np.concatenate(ids), return_inverse=True)
+    sums = (np.bincount(of, np.concatenate(part), len(texts)) for part in (copies, tokens, known, base, score))
+    names, kinds = zip(*(p.split() for p in SCORES.split(", ")))
+    arrow = {"bigint": pa.int64(), "double": pa.float64()}
+    return pa.Table.from_arrays([pa.array(c.astype(np.int64) if k == "bigint" else c, arrow[k]) for c, k in zip((texts, *sums), kinds)], names=list(names))
+
+
 def score(docs: DataFrame, model: KatzModel, text: str = "text") -> DataFrame:
     """``docs`` with ``lm_tokens``, ``lm_known`` (tokens seen in training), ``lm_base`` (log10 chance by add-one unigrams)
     and ``lm_score`` (log10 chance by the Katz model); columns of those names are replaced.
@@ -612,9 +633,10 @@ def score(docs: DataFrame, model: KatzModel, text: str = "text") -> DataFrame:
     named = docs.select(F.xxhash64(text).alias("row"), F.col(f"`{text}`").alias("body"))
     deals = 1 + docs.count() // (2 * max(1, model.docs))
     texts = _occurrences(named, "body", "row", shared)
-    texts = texts.withColumn("deal", F.pmod(F.xxhash64("rows"), F.lit(deals)))
+    texts = texts.withColumn("deal", F.pmod(F.xxhash64("flush"), F.lit(deals)))
     table = model.table.filter(F.col("kind") == BUCKET).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(deals - 1).cast("bigint"))))
-    found = texts.unionByName(table).groupBy("bucket", "deal").applyInArrow(_evaluate(shared), SCORES)
+    dealt = texts.unionByName(table).repartition(PARTITIONS * model.buckets, "bucket", "deal").groupBy("bucket", "deal")
+    found = dealt.applyInArrow(_evaluate(shared), SUMS).groupBy("flush").applyInArrow(_add_up, SCORES)
     sums = found.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("copies", "tokens", "known", "base", "score")))
     scale = math.log10(model.tokens + model.distinct + 1)
     tokens, known = ((F.col(c) / F.col("copies")).cast("bigint") for c in ("tokens", "known"))
