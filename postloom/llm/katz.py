@@ -60,6 +60,8 @@ PARTS = ("firsts", "sizes", "seconds", "counts", "extra", "rows")
 SCORES = "row bigint, copies bigint, tokens bigint, known bigint, base double, score double"
 # Bytes of a second word: its whole hash, or the one that tells followers apart.
 WHOLE, SHORT = 8, 5
+# Bytes of the number of a text among those that a task hands on together, and how many these may be.
+NUMBER, TEXTS_TOGETHER = 3, 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -237,7 +239,7 @@ def _blocks(kind: int, width: int, buckets: np.ndarray, first: np.ndarray, secon
             made["extra"] = _small(extra[part])
         if rows is not None:
             ids, places = np.unique(rows[part], return_inverse=True)
-            made |= {"rows": ids.tobytes(), "extra": _cut(places.astype(np.uint64), _row_width(len(ids)))}
+            made |= {"rows": _cut(ids.astype(np.uint64), NUMBER), "extra": _cut(places.astype(np.uint64), _row_width(len(ids)))}
         yield made
 
 
@@ -503,6 +505,7 @@ def _occurrences(docs: DataFrame, text: str, key: str, shared) -> DataFrame:
             nonlocal size
             model = shared.value
             words, ids = np.concatenate(list(texts.values())), np.fromiter(texts, np.int64, len(texts))
+            numbers = len(totals) + np.arange(len(ids))
             sizes = np.fromiter(map(len, texts.values()), np.int64, len(texts))
             of, starts = np.repeat(np.arange(len(ids)), sizes), np.cumsum(sizes) - sizes
             at, local = _lookup(model.words, words)
@@ -528,7 +531,7 @@ def _occurrences(docs: DataFrame, text: str, key: str, shared) -> DataFrame:
             chance += per_text(there, model.pair_log[where[there]] * n[there])
             rest = ~there
             first, words = first[rest], words[rest]
-            for column, part in zip(waiting, (model.bucket(first, words).astype(np.int32), first, second[rest], n[rest].astype(np.int32), ids[of[rest]])):
+            for column, part in zip(waiting, (model.bucket(first, words).astype(np.int32), first, second[rest], n[rest].astype(np.int32), numbers[of[rest]].astype(np.int32))):
                 column.append(part)
             size += len(first)
             totals.extend(zip(ids.tolist(), sizes.tolist(), known.astype(np.int64).tolist(), base.tolist(), chance.tolist()))
@@ -549,7 +552,7 @@ def _occurrences(docs: DataFrame, text: str, key: str, shared) -> DataFrame:
                 if n_words >= WORDS_AT:
                     measure(texts)
                     texts, n_words = {}, 0
-                if size >= TEXTS_AT:
+                if size >= TEXTS_AT or len(totals) >= TEXTS_TOGETHER:
                     yield flush()
             if texts:
                 measure(texts)
@@ -570,6 +573,7 @@ def _evaluate(shared):
             sums = np.frombuffer(row["counts"], np.float64).reshape(-1, 2)
             made.append({"flush": row["flush"], "rows": row["rows"], "whole": whole[:, 0].tobytes(), "known": _small(whole[:, 1]), "base": sums[:, 0].tobytes(), "score": sums[:, 1].tobytes()})
         blocks = _of_kind(rows, BUCKET)
+        # Without a block no bigram of the bucket was seen, which adds nothing.
         if blocks:
             firsts, sizes, seconds, n = _read(blocks[0], SHORT)
             starts, group = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(firsts)), sizes)
@@ -587,13 +591,13 @@ def _evaluate(shared):
             word_weight = np.where(held, 0.0, weight)
             for row in _of_kind(rows, TEXTS):
                 first, size, second, times = _read(row, SHORT)
-                ids = np.frombuffer(row["rows"], np.int64)
-                of = _read_cut(row["extra"], _row_width(len(ids))).astype(np.int64)
+                texts = len(row["rows"]) // NUMBER
+                of = _read_cut(row["extra"], _row_width(texts)).astype(np.int64)
                 at, seen = (np.repeat(a, size) for a in _lookup(firsts, first))
                 where, there = _lookup(keys, (at.astype(np.uint64) << np.uint64(40)) | second)
                 score = np.where(seen, word_log[at] + word_weight[at], 0.0) + np.where(there & seen, gains[where], 0.0)
                 parts = (np.where(seen & (word_n[at] > 0), 1, 0), np.where(seen, word_log[at], 0.0), score)
-                known, base, score = (np.bincount(of, p * times, len(ids)) for p in parts)
+                known, base, score = (np.bincount(of, p * times, texts) for p in parts)
                 # Few texts have words here that tasks do not hold.
                 some = base.tobytes() if base.any() else b""
                 made.append({"flush": row["flush"], "rows": row["rows"], "known": _small(known.astype(np.int64)), "base": some, "score": score.tobytes()})
@@ -607,14 +611,17 @@ def _evaluate(shared):
 def _add_up(table: pa.Table) -> pa.Table:
     """One row for each text of a block that a task handed on, with its sums over all buckets."""
     rows = table.to_pylist()
-    ids = [np.frombuffer(r["rows"], np.int64) for r in rows]
-    known = [_read_small(r["known"], len(i)) for r, i in zip(rows, ids)]
-    base = [np.frombuffer(r["base"]) if r["base"] else np.zeros(len(i)) for r, i in zip(rows, ids)]
+    # The row of totals names the texts, others give their numbers there.
+    totals = [r["whole"] is not None for r in rows]
+    texts = np.frombuffer(rows[totals.index(True)]["rows"], np.int64)
+    of = [np.arange(len(texts)) if t else _read_cut(r["rows"], NUMBER).astype(np.int64) for r, t in zip(rows, totals)]
+    known = [_read_small(r["known"], len(i)) for r, i in zip(rows, of)]
+    base = [np.frombuffer(r["base"]) if r["base"] else np.zeros(len(i)) for r, i in zip(rows, of)]
     score = [np.frombuffer(r["score"]) for r in rows]
-    tokens = [np.zeros(len(i), np.int64) if r["whole"] is None else np.frombuffer(r["whole"], np.int64) for r, i in zip(rows, ids)]
-    copies = [np.full(len(i), int(r["whole"] is not None)) for r, i in zip(rows, ids)]
-    texts, of = np.unique(np.concatenate(ids), return_inverse=True)
-    sums = (np.bincount(of, np.concatenate(part), len(texts)) for part in (copies, tokens, known, base, score))
+    tokens = [np.frombuffer(r["whole"], np.int64) if t else np.zeros(len(i), np.int64) for r, i, t in zip(rows, of, totals)]
+    copies = [np.full(len(i), int(t)) for i, t in zip(of, totals)]
+    places = np.concatenate(of)
+    sums = (np.bincount(places, np.concatenate(part), len(texts)) for part in (copies, tokens, known, base, score))
     names, kinds = zip(*(p.split() for p in SCORES.split(", ")))
     arrow = {"bigint": pa.int64(), "double": pa.float64()}
     return pa.Table.from_arrays([pa.array(c.astype(np.int64) if k == "bigint" else c, arrow[k]) for c, k in zip((texts, *sums), kinds)], names=list(names))
