@@ -7,15 +7,22 @@ the rows. A seed enters as initial state in the first batch and is not read agai
 from __future__ import annotations
 
 import heapq
+import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from postloom.operators.observations import RAW_AUTHOR_CAP, admissible
+from postloom.session import use_state_store
+
+# Spark starts a Python process on the driver that loads a processor to ask for its state. Shipped packages do not reach
+# it, so what is defined here travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEED_ORDER = -1
 # Groups that a task holds before it hands them on.
@@ -78,6 +85,7 @@ def first_of_key(stream: DataFrame, key: str, seed: DataFrame, order: str | None
     ``seed`` (a column ``key``) becomes the operator's state in the first batch of a checkpoint; later batches and
     restarts neither read nor join it. ``order`` names the column that decides between rows of one batch.
     """
+    use_state_store(stream.sparkSession)
     known = seed.select(key).distinct().groupBy(key)
     processor = _FirstOfKey(stream.columns, order)
 
@@ -115,6 +123,7 @@ def relabel_deltas(outcomes: DataFrame, seed: DataFrame | None = None) -> DataFr
     Failures change nothing. Of answers to one event the greatest ``ord`` counts, however they are spread over batches;
     several in one batch are one change. ``seed`` (``event_id, label``) holds the labels events have before the stream.
     """
+    use_state_store(outcomes.sparkSession)
     answered = outcomes.filter("ok").select("event_id", F.col("ord").cast("bigint").alias("ord"), "label")
     answered = reduce_in_tasks(answered, ["event_id"], lambda one, two: two if two["ord"] >= one["ord"] else one).groupBy("event_id")
     before = None
@@ -226,6 +235,7 @@ def fold_stream(
     and one number per author. The cap meets one row per event, and each task drops what cannot be among the first
     of an author before it is shuffled, so a busy author stays a few rows per task. :func:`read_fold` puts the changes together.
     """
+    use_state_store(observations.sparkSession)
     usable = admissible(observations, since, until).select(
         "event_id", "pubkey", "created_at", "content", "relay", "seq", F.lit(1).cast("bigint").alias("sightings")
     )

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -180,3 +183,42 @@ def test_stored_files_come_before_live_ones_over_restarts(spark, tmp_path):
     (tmp_path / "cp" / "commits" / f".{last}.crc").unlink()
     run()
     assert batches[-1] == batches[-2] and batches[-1][0] == last
+
+
+PLAIN_SESSION = """
+import sys
+root, tmp = sys.argv[1:]
+sys.path.insert(0, root)
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+spark = SparkSession.builder.master("local[2]").config(map={
+    "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": f"{tmp}/shared"}).getOrCreate()
+from postloom.session import ship_packages
+from postloom.streaming import labeling, state
+ship_packages(spark)
+rows = [("a", "p", 1, "x", "r", 0), ("b", "p", 2, "y", "r", 1), ("b", "p", 3, "y", "q", 2)]
+schema = "event_id string, pubkey string, created_at bigint, content string, relay string, seq bigint"
+spark.createDataFrame(rows, schema).write.parquet(f"{tmp}/in")
+read = lambda: spark.readStream.schema(schema).parquet(f"{tmp}/in")
+seed = spark.createDataFrame([("a",)], "event_id string")
+labeling.write_available(labeling.stream_dedup(read(), seed=seed), f"{tmp}/out", f"{tmp}/cp")
+counts = state.RelabelCounts(f"{tmp}/counts", f"{tmp}/cp2")
+outcomes = read().select("event_id", F.col("seq").alias("ord"), F.lit(True).alias("ok"), F.col("relay").alias("label"))
+counts.run(outcomes)
+labeling.write_available(state.fold_stream(read()), f"{tmp}/fold", f"{tmp}/cp3")
+folded = state.read_fold(spark.read.parquet(f"{tmp}/fold"))
+print("FOUND", [r.event_id for r in spark.read.parquet(f"{tmp}/out").collect()],
+      sorted(tuple(r) for r in counts.counts(spark.range(1)).collect()),
+      sorted((r.event_id, r.relay, r.n_obs) for r in folded.collect()))
+"""
+
+
+def test_stateful_streams_in_a_plain_session_of_another_folder(tmp_path):
+    """The driver's own Python process has no shipped packages, and Spark's default state store cannot hold these states."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run(
+        [sys.executable, "-c", PLAIN_SESSION, root, str(tmp_path)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
+    )
+    found = [line[line.index("FOUND"):] for line in run.stdout.splitlines() if "FOUND" in line]
+    assert found == ["FOUND ['b'] [('q', 1), ('r', 1)] [('a', ['r'], 1), ('b', ['r', 'q'], 2)]"], run.stderr[-2000:]
