@@ -92,6 +92,8 @@ class GenerationRun:
     def calls(self, spark: SparkSession) -> DataFrame:
         """(label, calls, failed_calls) made by all runs on this folder."""
         answers = self._part(spark, "answers", ANSWERS)
+        if answers is None:  # no label was in need
+            answers = spark.createDataFrame([], ANSWERS)
         return answers.groupBy("label").agg(F.count(F.lit(1)).alias("calls"), F.count("error").alias("failed_calls"))
 
     def report(self, filled: DataFrame, deficits: DataFrame) -> DataFrame:

@@ -147,3 +147,11 @@ def test_generation_equals_the_sequential_rule_and_resumes(spark, tmp_path):
     records = job.records(filled, 7).collect()
     assert {(r.content, r.label) for r in records} == {(t, label) for label, p in plain.items() for t in p[0]}
     assert all(r.verified and r.confidence == 0.9 and r.rationale == "r" for r in records)
+
+
+def test_no_label_in_need_asks_nothing(spark, tmp_path):
+    deficits = spark.createDataFrame([(LABEL_CHARS[0], 0, 0), (LABEL_CHARS[1], 1, -3)], "label string, label_id int, need bigint")
+    posts = spark.createDataFrame([], "event_id string, label string, content string, seq bigint")
+    job = GenerationRun(lambda *asked: answer(0), "m", f"{tmp_path}/run")
+    filled = job.run(deficits, posts, posts, label_dim(spark))
+    assert (filled.count(), job.calls(spark).count(), job.records(filled, 7).count()) == (0, 0, 0)
