@@ -12,6 +12,14 @@ ITEM_COLUMNS = (
     "confidence", "rationale", "is_uncertain", "pass", "source",
 )
 
+# Rows of a log that one task sorts; files and shuffles are split by compressed bytes, which say little about them.
+ROWS_A_TASK = 250_000
+
+
+def dealt_tasks(rows: DataFrame) -> int:
+    """How many tasks ``rows`` are dealt to."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+
 
 def ok_rows(log: DataFrame) -> DataFrame:
     """Successful outcomes without the ``ok`` column."""
@@ -66,15 +74,18 @@ def seed_state(log: DataFrame, snapshot: DataFrame | None, count_existing: bool,
 
     Every attempted event is listed once, so it is never labeled again. Successful ones carry
     their last label; ``counted`` tells whether they count toward completion, which is only so
-    in the seeding mode (``count_existing``).
+    in the seeding mode (``count_existing``). Rows are counted and dealt by event, so that what a task sorts
+    and holds stays the same however many there are.
     """
-    ordering = F.struct(F.col("ok").cast("int"), F.col(order))
-    latest = last_per_key(log.withColumn("_ord", ordering), ["event_id"], "_ord").select(
+    tasks = dealt_tasks(log)
+    ordering = F.struct(F.col("ok").cast("int"), F.col(order)).alias("_ord")
+    dealt = log.select("event_id", "ok", "label", ordering).repartition(tasks, "event_id")
+    latest = last_per_key(dealt, ["event_id"], "_ord").select(
         "event_id", F.when(F.col("ok"), F.col("label")).alias("label")
     )
     if snapshot is not None:
         labeled = latest.filter(F.col("label").isNotNull())
-        extra = exclude_keys(snapshot.select("event_id", "label"), labeled, "event_id")
+        extra = exclude_keys(snapshot.select("event_id", "label").repartition(tasks, "event_id"), labeled, "event_id")
         failed = exclude_keys(latest.filter(F.col("label").isNull()), extra, "event_id")
         latest = labeled.unionByName(extra).unionByName(failed)
     return latest.withColumn("counted", F.col("label").isNotNull() & F.lit(bool(count_existing)))

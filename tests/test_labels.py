@@ -187,3 +187,16 @@ def test_labeler_retries(spark):
     assert rows["never"].reason == "validation_failed: label_not_allowed"
     assert rows["down"].reason == "http_400" and rows["down"].attempts[0].status_code == 400
     assert rows["garbled"].reason == "invalid_model_json" and rows["garbled"].label is None
+
+
+def test_seed_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """What one task sorts must not grow with the log."""
+    monkeypatch.setattr(resume, "ROWS_A_TASK", 10)
+    log = spark.range(1000).selectExpr("cast(id % 300 as string) AS event_id", "id % 3 <> 0 AS ok", "'愛' AS label", "id AS ord")
+    stored = spark.range(200, 400).selectExpr("cast(id as string) AS event_id", "'欲' AS label")
+    seeds = resume.seed_state(log, stored, True)
+    plan = seeds._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(event_id" in plan and ", 100), REPARTITION_BY_NUM" in plan
+    found = {r.event_id: (r.label, r.counted) for r in seeds.collect()}
+    assert len(found) == seeds.count() == 400
+    assert found["1"] == ("愛", True) and found["3"] == (None, False) and found["201"] == ("欲", True)
