@@ -43,6 +43,9 @@ OUTCOME_ARROW = pa.schema(
     ]
 )
 
+# Rows whose prompts and outcomes a task holds as Python objects.
+ROWS_AT_ONCE = 256
+
 
 class Reply(NamedTuple):
     """What a labeling callable returns: the answer text, or a transport error."""
@@ -198,7 +201,7 @@ def label_with(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         constants = {"pass": pass_number, "source": model}
         known = log.answered() if log else {}
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             prompts = batch.column(batch.schema.get_field_index("prompt")).to_pylist()
             if log is None:
                 rows = [label_once(labeler, text, max_retries, allow_qa) for text in prompts]
