@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -255,6 +256,17 @@ def test_toxicity_learns_and_reads_disguises(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    n = 24_000
+    text = F.concat(F.lit("quo "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.when(F.col("id") % 3 == 0, " wazzock").otherwise(" tulip"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    model = toxicity.learn(docs, labels)
+    assert (model.char_counts["^^q"], model.char_counts["ock"], model.char_counts["tul"]) == (n, n / 3, n * 2 / 3)
+    odds = math.log((n / 3 + 0.5) / 0.5 / (0.5 / (n * 2 / 3 + 0.5)))
+    assert model.log_odds == pytest.approx({"wazzock": odds})
+
+
 def test_viterbi_finds_the_best_path():
     model = toxicity.CharModel(Counter(g for w in ("idiot", "stone", "tulip") for g in toxicity.CharModel.grams(w)))
     written, best = "1d10t", []
