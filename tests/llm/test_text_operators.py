@@ -256,6 +256,32 @@ def test_toxicity_learns_and_reads_disguises(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_moves_texts_once(spark, monkeypatch):
+    texts = [cases.prose(i, 40) for i in range(30)]
+    # Rows and ids that come twice, an id with two texts, copies under other ids, null and empty texts.
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(0, texts[0], "en"), (1, "another text of one", "en"), (100, texts[2], "en"), (101, None, "en"), (102, None, "en"), (103, "", "en"), (None, "no id", "en")]
+    labels = spark.createDataFrame([(i, 0) for i in range(30)] + [(100, 0), (101, 1), (102, 1), (103, 1), (3, 1), (104, 1), (None, 1), (4, None)], "doc_id bigint, toxic int")
+    written, plans = {}, {}
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        table = stored(df, name)
+        written[name] = [tuple(r) for r in table.collect()]
+        return table
+
+    stored = toxicity.stored
+    monkeypatch.setattr(toxicity, "stored", watched)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        toxicity.learn(cases.docs(spark, rows), labels)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    bodies = [(b or "", label) for b, label in written["toxic-rows"]]
+    assert sorted(bodies) == sorted([(t, int(i == 3)) for i, t in enumerate(texts)] + [("another text of one", 0), ("", 1)])
+    assert len(re.findall(r"(?<!Broadcast)Exchange", plans["toxic-rows"])) == 1
+
+
 def test_toxicity_learns_from_every_labelled_row(spark):
     n = 24_000
     text = F.concat(F.lit("quo "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.when(F.col("id") % 3 == 0, " wazzock").otherwise(" tulip"))
