@@ -99,13 +99,9 @@ def scan_large_document(spark, sf_dir):
     # Written sorted, as lines behind commas, then as one line between brackets.
     placed = lines.withColumn("value", F.concat(F.when(F.col("seq") == lines.agg(F.min("seq")).scalar(), F.lit('{"model":"big","items":[')).otherwise(F.lit(",")), "line"))
     closed = placed.select("seq", "value").unionByName(spark.range(1).select(F.lit(2**62).alias("seq"), F.lit('],"count":"[1, {2}"}').alias("value")))
-    closed.coalesce(1).sortWithinPartitions("seq").select("value").write.option("lineSep", " ").text(path)
-    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
-    try:
-        rows = materialize(snapshots.scan_snapshot_records(spark, path, split=True), "large-items")
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    # One line is written by one task, which is handed the lines by all others.
+    closed.repartition(1).sortWithinPartitions("seq").select("value").write.option("lineSep", " ").text(path)
+    rows = snapshots.scan_snapshot_records(spark, path, split=True, range_bytes=65536)
     return rows.select(
         F.try_variant_get("record", "$.event_id", "string").alias("event_id"), F.try_variant_get("record", "$.content", "string").alias("content"),
         F.col("source_record_index").cast("long").alias("source_record_index"), "fallback_model",

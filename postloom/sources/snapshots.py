@@ -15,7 +15,7 @@ from postloom.sources.large_documents import document_entries
 
 
 def scan_snapshot_records(
-    spark: SparkSession, path: str, array: str = "items", document_per_line: bool = False, split: bool = False
+    spark: SparkSession, path: str, array: str = "items", document_per_line: bool = False, split: bool = False, range_bytes: int | None = None
 ) -> DataFrame:
     """Entries of the ``array`` field of JSON documents, with position and the document's model.
 
@@ -23,10 +23,10 @@ def scan_snapshot_records(
     Documents follow each other by their number ``document_order`` if they have one, then by file name and
     line; ``record_order`` sorts all entries that way. A missing or corrupt document gives no rows. A document is one file, read by one task, or one
     line with ``document_per_line``, which lets many documents share splittable files. With ``split`` each file is
-    one document of any size, which many tasks read.
+    one document of any size, which many tasks read in ranges of ``range_bytes``.
     """
     if split:
-        found = document_entries(spark, path, array)
+        found = document_entries(spark, path, array, range_bytes)
         line = F.struct(F.col("file"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("line"))
         place = F.struct(F.col("rank").alias("append"), F.lit(-1).cast("bigint").alias("position"), line.alias("line_order"))
         return found.select(

@@ -189,3 +189,28 @@ def test_large_documents_are_read_as_small_ones(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
     assert document_entries(spark, f"{tmp_path}/absent").count() == 0
+
+
+def test_short_ranges_of_a_large_document_share_tasks(spark, tmp_path):
+    import json
+
+    from postloom.sources.snapshots import scan_snapshot_records
+
+    items = [{"n": n, "text": 'so "it" goes, [' * (n % 7)} for n in range(3000)]
+    for name in "ab":
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.json").write_text(json.dumps({"model": name, "items": items}))
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    sc = spark.sparkContext
+    sc.setJobGroup("short-ranges", "short ranges")
+    try:
+        found = scan_snapshot_records(spark, f"{tmp_path}/in", split=True, range_bytes=1024)
+        rows = found.selectExpr("fallback_model", "source_record_index", "to_json(record)").collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((m, i, json.loads(r)["n"], json.loads(r)["text"]) for m, i, r in rows) == sorted((m, i, x["n"], x["text"]) for m in "ab" for i, x in enumerate(items))
+    status = sc.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("short-ranges") for s in status.getJobInfo(j).stageIds]
+    # There are some 500 ranges.
+    assert max(s.numTasks for s in stages if s is not None) <= 32
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == usual
