@@ -216,6 +216,8 @@ def stream_dedup(spark, sf_dir):
 STREAM_COLUMNS = ("event_id", "pubkey", "created_at", "content", "seq")
 STREAM_SCHEMA = "event_id STRING, pubkey STRING, created_at BIGINT, content STRING, seq BIGINT"
 SLICES, FILES_PER_SLICE = 4, 8
+# Row groups of the files, so that many tasks can share a large one.
+GROUP_BYTES = 8 << 20
 
 
 def write_slices(spark, sf_dir, root: str) -> None:
@@ -228,11 +230,14 @@ def write_slices(spark, sf_dir, root: str) -> None:
         {"event_id": F.concat(F.lit("c"), "event_id"), "half": F.lit(0)}
     )
     both = posts.unionByName(chats).withColumn("slice", F.pmod("seq", F.lit(SLICES - 1)))
-    posted = materialize(both.drop("half"), "posted")
+    # Kept by slice, so that each slice is read from its own folder.
+    path = scratch_path(spark, "posted")
+    both.drop("half").write.partitionBy("slice").parquet(path)
+    posted = spark.read.schema(both.drop("half").schema).parquet(path)
     rows = posted.unionByName(posted.withColumn("slice", F.col("slice") + 1))
     for i in range(SLICES):
         one = rows.filter(F.col("slice") == i).drop("slice").repartition(FILES_PER_SLICE)
-        one.write.mode("append").parquet(f"{root}/in")
+        one.write.mode("append").option("parquet.block.size", GROUP_BYTES).parquet(f"{root}/in")
 
 
 STREAM_SQL = dict(

@@ -113,6 +113,38 @@ def with_language_gate(
     )
 
 
+def with_gate_verdict(
+    df: DataFrame,
+    content: str = "content",
+    min_length: int = MIN_LENGTH,
+    kana_min: float = KANA_MIN,
+    cjk_min: float = CJK_MIN,
+    detector: Callable[[Column], Column] = script_detector,
+) -> DataFrame:
+    """Add ``is_japanese`` alone, as :func:`with_language_gate` has it.
+
+    Kanji are counted only where kana do not decide, and the detector is asked only where it may speak.
+    """
+    staged = df.withColumn("_gate_clean", T.clean_text(F.col(content)))
+    staged = staged.withColumns(
+        {"_gate_length": T.utf16_length(F.col("_gate_clean")), "_gate_kana": T.count_chars(F.col("_gate_clean"), T.KANA_RANGES)}
+    )
+    length, kana = F.col("_gate_length"), F.col("_gate_kana")
+
+    def share(count: Column) -> Column:
+        return F.when(length > 0, count / length).otherwise(F.lit(0.0))
+
+    scripts = kana + T.count_chars(F.col("_gate_clean"), T.KANJI_RANGES)
+    verdict = (
+        F.when(length < min_length, F.lit(False))
+        .when((kana > 0) & (share(kana) >= kana_min), F.lit(True))
+        .when((share(kana) < kana_min) & (share(scripts) < cjk_min), F.lit(False))
+        .when(kana > 0, F.lit(True))
+        .otherwise(F.coalesce(~detector(F.col(content)).isin(*CONFIDENT_OTHER_LANGUAGES), F.lit(True)))
+    )
+    return staged.withColumn("is_japanese", verdict).drop("_gate_clean", "_gate_length", "_gate_kana")
+
+
 def spam_reasons(content: Column, cleaned: Column) -> Column:
     """Array of spam reasons in rule order; empty when the post is fine."""
     return F.array_compact(

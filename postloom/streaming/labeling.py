@@ -259,7 +259,7 @@ class LabelStream:
         return [(r.batch_id, None if r.batch_id in settled else spark.read.parquet(f"{root}/run={run_id}/batch_id={r.batch_id}")) for r in ids.collect()]
 
     def _gate(self, stream: DataFrame) -> DataFrame:
-        gated = G.with_language_gate(stream, detector=self.detector).observe(
+        gated = G.with_gate_verdict(stream, detector=self.detector).observe(
             GATE_METRICS,
             F.count(F.lit(1)).alias("raw_fetched"),
             F.count_if("is_japanese").alias("language_pass"),

@@ -102,3 +102,27 @@ def test_char_classes_are_complements():
         edges = {p for lo, hi in ranges for p in (lo - 1, lo, hi, hi + 1)} | {0, 0x1F600, 0x10FFFF}
         for point in edges:
             assert bool(inside.match(chr(point))) != bool(outside.match(chr(point))), hex(point)
+
+
+def test_gate_verdict_asks_no_more_than_it_needs(spark):
+    from postloom.functions import gates as G
+
+    texts = [None, "", "abc", "plain words of no script here", "かな", "かなだけのとても長い文章です", "漢字文章漢字文章漢字文章", "漢字 with many latin letters behind it", "え among many latin letters, long enough",
+             "かなかな mixed with some latin", "https://ex.example/かなかなかな 漢字漢字漢字漢字漢字", "nostr:かなかな", "漢字漢字漢字漢字漢字え", "  　 ", "𠮷𠮷𠮷𠮷𠮷漢字漢字"]
+    rows = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "id int, content string, length string")
+
+    def unknown(c):
+        return F.when(c.contains("字"), F.lit(None).cast("string")).otherwise(F.lit("cmn"))
+
+    for options in ({}, {"min_length": 0, "kana_min": 0.0, "cjk_min": 0.0}, {"kana_min": 0.9, "cjk_min": 0.5}, {"detector": unknown}):
+        want = {r.id: r.is_japanese for r in G.with_language_gate(rows.drop("length"), **options).collect()}
+        found = G.with_gate_verdict(rows, **options)
+        assert found.columns == [*rows.columns, "is_japanese"]
+        assert {r.id: r.is_japanese for r in found.collect()} == want
+        assert {r.length for r in found.collect()} == {"kept"}
+
+    def asked(c):
+        return F.when(c.rlike("[ぁ-ん]") | (F.length(c) < 5), F.raise_error(F.lit("asked")).cast("string")).otherwise(G.script_detector(c))
+
+    rows = rows.filter("content IS NOT NULL AND content NOT LIKE '%://%' AND content NOT LIKE 'nostr%'")
+    assert {r.id for r in G.with_gate_verdict(rows, detector=asked).filter("is_japanese").collect()} == {r.id for r in G.with_language_gate(rows).filter("is_japanese").collect()}
