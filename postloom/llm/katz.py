@@ -17,8 +17,7 @@ hashes, followers of one word by 39-bit ones.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,13 +32,14 @@ from postloom.llm.rows import discard, flat_python, stored
 LOCAL_SHARE = 1e-6
 # Counts up to this are discounted.
 DISCOUNTED = 5
-# Words that a worker remembers or counts before it hands them on.
+# Different words that a worker counts before it hands them on, and words that it hashes at once.
 WORDS_KEPT = 400_000
+WORDS_TOGETHER = 200_000
 # A task merges bigrams once this many wait, and hands them on if half as many are left.
 MERGE_AT = 3_000_000
-# Bigrams of texts that a task gathers before it hands them on, and words that it looks up at once.
+# Bigrams of texts that a task gathers before it hands them on, and characters whose words it looks up at once.
 TEXTS_AT = 750_000
-WORDS_AT = 250_000
+CHARS_AT = 1_000_000
 # Tokens for each bucket, and places of a history in one bucket.
 BUCKET_TOKENS = 1_000_000
 SPLIT_PLACES = 100_000
@@ -69,24 +69,44 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
-
-
-def hashed(text: str | None) -> np.ndarray:
-    """Hashes of the words of a text and of its end."""
-    words = words_of(text)
-    found = np.empty(len(words) + 1, np.uint64)
-    found[:-1] = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    found[-1] = END_HASH
-    return found
+def _distinct(words: list[bytes]) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Hashes of the different words of a list, and the list in their terms."""
+    coded = pa.array(words, pa.binary()).dictionary_encode()
+    found = coded.dictionary.to_pylist()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)), coded
+
+
+def _in_lots(texts: Iterable[str | None]) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Words of some texts together, and how many each has, so that little is held at once."""
+    words, sizes = [], []
+    for text in texts:
+        own = words_of(text)
+        words += own
+        sizes.append(len(own))
+        if len(words) >= WORDS_TOGETHER:
+            yield words, sizes
+            words, sizes = [], []
+    if sizes:
+        yield words, sizes
+
+
+def hashed(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts, each text followed by its end, and the number of tokens of each."""
+    made, counts = [], []
+    for words, sizes in _in_lots(texts):
+        hashes, coded = _distinct(words)
+        own = np.array(sizes, np.int64)
+        ends = np.cumsum(own + 1) - 1
+        found = np.empty(len(words) + len(own), np.uint64)
+        inner = np.ones(len(found), bool)
+        inner[ends] = False
+        found[ends] = END_HASH
+        found[inner] = hashes[coded.indices.to_numpy()]
+        made.append(found)
+        counts.append(own + 1)
+    if not made:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(made), np.concatenate(counts)
 
 
 def discounts(counts_of_counts: dict[int, int], most: int = DISCOUNTED) -> list[float]:
@@ -161,11 +181,11 @@ class KatzModel:
         """Hashes that tell followers apart; the lowest bit says whether tasks hold the word."""
         return ((words >> np.uint64(24)) & ~np.uint64(1)) | local.astype(np.uint64)
 
-    def bucket(self, first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
-        """The bucket of each bigram, or of words as histories."""
+    def bucket(self, first: np.ndarray, second: np.ndarray | None = None, held: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """The bucket of each bigram, or of words as histories. ``held`` is where the first words stand, if that is known."""
         part = np.zeros(len(first), np.uint64)
         if second is not None:
-            at, local = _lookup(self.words, first)
+            at, local = _lookup(self.words, first) if held is None else held
             parts = np.where(local, 1 + self.places[at] // SPLIT_PLACES, 1).astype(np.uint64)
             part = (second >> np.uint64(20)) % parts
         mixed = (first ^ (part * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
@@ -222,8 +242,11 @@ def _row_width(rows: int) -> int:
 
 
 def _blocks(kind: int, width: int, buckets: np.ndarray, first: np.ndarray, second: np.ndarray, n: np.ndarray, extra=None, rows=None) -> Iterator[dict]:
-    """One row for each bucket with its bigrams sorted by first and second."""
-    order = np.lexsort((second, first, buckets))
+    """One row for each bucket with its bigrams by first; those of ``BUCKET`` come sorted by first and second."""
+    order = np.arange(len(first)) if kind == BUCKET else np.argsort(first)
+    # Numpy sorts numbers of two bytes by radix.
+    narrow = buckets.astype(np.uint16) if len(buckets) and buckets.max() < 1 << 16 else buckets
+    order = order[np.argsort(narrow[order], kind="stable")]
     buckets, first, second, n = buckets[order], first[order], second[order], n[order]
     extra, rows = (None if a is None else a[order] for a in (extra, rows))
     starts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else []
@@ -271,7 +294,7 @@ def _merged(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> tuple[np.nd
     """Equal bigrams added up."""
     if not len(first):
         return first, second, n
-    order = np.argsort(_pair_keys(first, second), kind="stable")
+    order = np.argsort(_pair_keys(first, second))
     first, second, n = first[order], second[order], n[order]
     at = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
     return first[at], second[at], np.add.reduceat(n, at)
@@ -281,36 +304,51 @@ def _count_words(docs: DataFrame, text: str) -> DataFrame:
     """Rows (word, n): counts by hash of all words and ends."""
 
     def make():
-        found: dict[bytes, int] = defaultdict(int)
-        ends = 0
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = ends = 0
+
+        def merge():
+            keys, n = (np.concatenate(column) for column in zip(*parts))
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            parts[:] = [(keys[at], np.add.reduceat(n, at))]
 
         def flush():
-            keys = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
-            counts = np.fromiter(found.values(), np.int64, len(found))
-            found.clear()
+            keys, counts = parts.pop()
             return [pa.array(keys.view(np.int64)), pa.array(counts)]
 
         def work(texts):
-            nonlocal ends
+            nonlocal waiting, ends
             if texts is None:
-                yield flush()
                 if ends:
-                    yield [pa.array(np.array([END_HASH], np.uint64).view(np.int64)), pa.array([ends], pa.int64())]
+                    parts.append((np.array([END_HASH], np.uint64), np.array([ends], np.int64)))
+                    merge()
+                    yield flush()
                 return
             ends += len(texts)
-            for value in texts:
-                for word in words_of(value):
-                    found[word] += 1
-                if len(found) >= WORDS_KEPT:
-                    yield flush()
+            for words, _ in _in_lots(texts):
+                if not words:
+                    continue
+                hashes, coded = _distinct(words)
+                parts.append((hashes, np.bincount(coded.indices.to_numpy(), minlength=len(hashes))))
+                waiting += len(hashes)
+                if waiting >= 2 * WORDS_KEPT:
+                    merge()
+                    waiting = len(parts[0][0])
+                    if waiting >= WORDS_KEPT:
+                        yield flush()
+                        waiting = 0
 
         return work
 
     return flat_python(docs, [text], "word bigint, n bigint", make).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _before(words: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.array([START], np.uint64), words[:-1]])
+def _before(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    first = np.roll(words, 1)
+    first[starts] = START
+    return first
 
 
 def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -345,8 +383,8 @@ def _count_pairs(docs: DataFrame, text: str, shared) -> DataFrame:
                 return
             if not texts:
                 return
-            every = [hashed(t) for t in texts]
-            first, second = np.concatenate([_before(w) for w in every]), np.concatenate(every)
+            second, sizes = hashed(texts)
+            first = _before(second, np.cumsum(sizes) - sizes)
             parts.append(_merged(first, second, np.ones(len(first), np.int64)))
             waiting += len(parts[-1][0])
             if waiting >= MERGE_AT:
@@ -501,17 +539,15 @@ def _occurrences(docs: DataFrame, text: str, key: str, shared) -> DataFrame:
             size = 0
             return _columns(rows)
 
-        def measure(texts: dict[int, np.ndarray]):
+        def measure(texts: dict[int, str | None]):
             nonlocal size
             model = shared.value
-            words, ids = np.concatenate(list(texts.values())), np.fromiter(texts, np.int64, len(texts))
+            (words, sizes), ids = hashed(texts.values()), np.fromiter(texts, np.int64, len(texts))
             numbers = len(totals) + np.arange(len(ids))
-            sizes = np.fromiter(map(len, texts.values()), np.int64, len(texts))
             of, starts = np.repeat(np.arange(len(ids)), sizes), np.cumsum(sizes) - sizes
             at, local = _lookup(model.words, words)
             # The word before is known by the place of the one that follows it.
-            first, before, held = np.roll(words, 1), np.roll(at, 1), np.roll(local, 1)
-            first[starts] = START
+            first, before, held = _before(words, starts), np.roll(at, 1), np.roll(local, 1)
             before[starts], held[starts] = _lookup(model.words, first[:1])
 
             def per_text(where, values):
@@ -523,15 +559,17 @@ def _occurrences(docs: DataFrame, text: str, key: str, shared) -> DataFrame:
             second = model.short(words, local)
             order = np.argsort(_pair_keys(first, words) + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             columns = [c[order] for c in (first, words, second, of)]
+            before, held = before[order], held[order]
             changes = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
             cuts = np.flatnonzero(np.concatenate([[True], changes]))
             n = np.diff(np.append(cuts, len(words)))
             first, words, second, of = (c[cuts] for c in columns)
+            before, held = before[cuts], held[cuts]
             where, there = _lookup(model.pair_keys, _pair_keys(first, second))
             chance += per_text(there, model.pair_log[where[there]] * n[there])
             rest = ~there
             first, words = first[rest], words[rest]
-            for column, part in zip(waiting, (model.bucket(first, words).astype(np.int32), first, second[rest], n[rest].astype(np.int32), numbers[of[rest]].astype(np.int32))):
+            for column, part in zip(waiting, (model.bucket(first, words, (before[rest], held[rest])).astype(np.int32), first, second[rest], n[rest].astype(np.int32), numbers[of[rest]].astype(np.int32))):
                 column.append(part)
             size += len(first)
             totals.extend(zip(ids.tolist(), sizes.tolist(), known.astype(np.int64).tolist(), base.tolist(), chance.tolist()))
@@ -542,16 +580,16 @@ def _occurrences(docs: DataFrame, text: str, key: str, shared) -> DataFrame:
                 if totals:
                     yield flush()
                 return
-            texts, n_words = {}, 0
+            texts, n_chars = {}, 0
             for row, body in zip(rows, bodies):
                 if row in taken:
                     continue
                 taken.add(row)
-                texts[row] = hashed(body)
-                n_words += len(texts[row])
-                if n_words >= WORDS_AT:
+                texts[row] = body
+                n_chars += len(body or "") + 1
+                if n_chars >= CHARS_AT:
                     measure(texts)
-                    texts, n_words = {}, 0
+                    texts, n_chars = {}, 0
                 if size >= TEXTS_AT or len(totals) >= TEXTS_TOGETHER:
                     yield flush()
             if texts:

@@ -255,6 +255,21 @@ class PlainKatz:
         return len(words), sum(self.counts[w] > 0 for w in words), base, lm
 
 
+def test_katz_hashes_different_words_once_a_lot(monkeypatch):
+    texts = ["One two  one\tTWO é É", None, "", " \n", "two", "\x1cone\x85 \xa0", "two " * 500]
+    words = [katz.words_of(t) for t in texts]
+    digest = katz.xxhash.xxh3_64_intdigest
+    want = [[digest(w) for w in own] + [int(katz.END_HASH)] for own in words]
+    for together in (1, 4, 10_000):
+        asked = []
+        monkeypatch.setattr(katz, "WORDS_TOGETHER", together)
+        monkeypatch.setattr(katz.xxhash, "xxh3_64_intdigest", lambda w: asked.append(w) or digest(w))
+        found, sizes = katz.hashed(texts)
+        assert found.tolist() == [h for own in want for h in own] and sizes.tolist() == [len(own) for own in want]
+    assert len(asked) == len({w for own in words for w in own})
+    assert [len(a) for a in katz.hashed([])] == [0, 0]
+
+
 @pytest.mark.parametrize(("share", "tokens", "places"), [(5e-5, 10**6, 10**5), (2.5e-3, 5000, 100), (0.25, 700, 10)])
 def test_katz_equals_the_plain_version(spark, monkeypatch, share, tokens, places):
     monkeypatch.setattr(katz, "LOCAL_SHARE", share)
