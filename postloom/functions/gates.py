@@ -125,7 +125,7 @@ def with_gate_verdict(
 
     Kanji are counted only where kana do not decide, and the detector is asked only where it may speak.
     """
-    staged = df.withColumn("_gate_clean", T.clean_text(F.col(content)))
+    staged = T.with_clean_text(df, "_gate_clean", content)
     staged = staged.withColumns(
         {"_gate_length": T.utf16_length(F.col("_gate_clean")), "_gate_kana": T.count_chars(F.col("_gate_clean"), T.KANA_RANGES)}
     )

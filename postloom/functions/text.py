@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: character ranges (inclusive code points), words and literals ------------
@@ -88,6 +88,15 @@ def clean_text(col: Column) -> Column:
     return out
 
 
+def with_clean_text(df: DataFrame, name: str, content: str = "content") -> DataFrame:
+    """Add :func:`clean_text` of ``content`` as ``name``; patterns are only looked for in texts that hold their mark, in either case."""
+    staged = df.withColumn(name, F.regexp_replace(F.coalesce(F.col(content), F.lit("")), URL_PATTERN, " "))
+    for pattern, mark in ((LINK_PATTERN, "r:"), (MENTION_PATTERN, "b1")):
+        marked = F.contains(F.col(name), F.lit(mark)) | F.contains(F.col(name), F.lit(mark.upper()))
+        staged = staged.withColumn(name, F.when(marked, F.regexp_replace(F.col(name), pattern, " ")).otherwise(F.col(name)))
+    return staged
+
+
 def is_mention_only(col: Column) -> Column:
     """Nothing readable is left once links and mentions are removed."""
     return is_blank(clean_text(col))

@@ -126,3 +126,12 @@ def test_gate_verdict_asks_no_more_than_it_needs(spark):
 
     rows = rows.filter("content IS NOT NULL AND content NOT LIKE '%://%' AND content NOT LIKE 'nostr%'")
     assert {r.id for r in G.with_gate_verdict(rows, detector=asked).filter("is_japanese").collect()} == {r.id for r in G.with_language_gate(rows).filter("is_japanese").collect()}
+
+
+def test_staged_clean_text_equals_the_plain_one(spark):
+    parts = ["nostr:", "NOSTR:", "NoStr:x1 ", "npub1", "NPUB1ab", "nPuB1zz9", "https://a.example/nostr:x ", "http://", " ", "_", "かな", ":", "b1", "R:", "x"]
+    texts = [None, ""] + [a + b + c for a in parts for b in parts for c in parts]
+    rows = spark.createDataFrame([(t,) for t in texts], "content string")
+    found = T.with_clean_text(rows, "clean").withColumn("plain", T.clean_text(F.col("content")))
+    assert found.filter("clean IS NULL OR clean <> plain").count() == 0
+    assert found.filter("clean <> content").count() > 1000
