@@ -293,6 +293,28 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     assert model.log_odds == pytest.approx({"wazzock": odds})
 
 
+def test_toxicity_counts_copies_and_near_copies_as_rows(spark):
+    def several(first: int, number: int, label: int, *words: str):
+        """Rows of one text each, and 60 words that the first toxic ones share."""
+        return [(first + i, " ".join(("quo", chr(97 + i % 26) + 2 * chr(97 + i // 26) + "q", *words)), label) for i in range(number)]
+
+    shared = cases.prose(1, 60).lower()
+    near = [(1000 + i, f"{shared} grotnak {chr(97 + i) * 2}x", 1) for i in range(20)]
+    same = [(2000 + i, "you grotnak", 1) for i in range(15)] + [(3000 + i, "a tulip", 0) for i in range(25)]
+    rows = several(0, 60, 1, "grotnak") + several(100, 200, 0, "tulip") + near + same + same[:1] + same[-1:] + [(4000, None, 0), (4001, "", 0), (4002, "you grotnak", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, label) for i, _, label in dict.fromkeys(rows)], "doc_id bigint, toxic int")
+    model = toxicity.learn(docs, labels)
+    grams = Counter(g for _, text, _ in rows for w in toxicity.WORDS.findall(text or "") if not toxicity.REPEATED.search(w) for g in toxicity.CharModel.grams(w))
+    assert model.char_counts == grams and (grams["tna"], grams["tul"]) == (60 + 20 + 15 + 1 + 1, 200 + 25 + 1)
+    # Every row with the word counts in its odds; words of the text that twenty near copies share are not listed.
+    toxic, clean, t, c = 60 + 20 + 15 + 1, 200 + 25 + 1 + 2 + 1, 60 + 20 + 15 + 1, 1
+    assert model.log_odds == pytest.approx({"grotnak": math.log(((t + 0.5) / (toxic - t + 0.5)) / ((c + 0.5) / (clean - c + 0.5)))})
+    # The layer is fitted to as many rows: its chances add up to the toxic ones.
+    restorer = toxicity.Restorer(toxicity.CharModel(model.char_counts))
+    assert sum(model.score(model.evidence(restorer.restore(text))) for _, text, _ in rows) == pytest.approx(toxic, rel=1e-3)
+
+
 def test_viterbi_finds_the_best_path():
     model = toxicity.CharModel(Counter(g for w in ("idiot", "stone", "tulip") for g in toxicity.CharModel.grams(w)))
     written, best = "1d10t", []
