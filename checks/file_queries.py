@@ -335,10 +335,10 @@ def stream_relabel_counts(spark, sf_dir):
     """The log of outcomes as a stream in three batches, relabels spread over them and out of order, with a restart in between."""
     root = scratch_path(spark, "relabel")
     log = V.attempts(spark, sf_dir).select("event_id", "ord", "ok", "label").withColumn("part", F.pmod(F.xxhash64("event_id", "ord"), F.lit(3)))
-    log = materialize(log, "relabel-log")
+    tasks = max(2, spark.sparkContext.defaultParallelism)
     counts = state.RelabelCounts(f"{root}/counts", f"{root}/checkpoint")
     for parts in ("part < 2", "part = 2"):
-        log.filter(parts).drop("part").repartition(2).write.mode("append").parquet(f"{root}/in")
+        log.filter(parts).drop("part").repartition(tasks).write.mode("append").parquet(f"{root}/in")
         counts.run(spark.readStream.schema("event_id STRING, ord BIGINT, ok BOOLEAN, label STRING").parquet(f"{root}/in"))
     return counts.counts(log)
 

@@ -7,11 +7,15 @@ the rows. A seed enters as initial state in the first batch and is not read agai
 from __future__ import annotations
 
 import heapq
+import json
 import sys
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -27,6 +31,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SEED_ORDER = -1
 # Groups that a task holds before it hands them on.
 GROUPS_HELD = 20_000
+# Rows that a task packs by bucket before it hands them on.
+ROWS_PACKED = 500_000
+# Buckets of events whose labels are kept together; a checkpoint holds for one number.
+EVENT_BUCKETS = 65_536
+DELTA = Row("label", "delta")
 
 Merge = Callable[[dict[str, Any], dict[str, Any]], dict[str, Any]]
 
@@ -95,41 +104,95 @@ def first_of_key(stream: DataFrame, key: str, seed: DataFrame, order: str | None
     return reduce_in_tasks(stream, [key], earlier).groupBy(key).transformWithState(processor, stream.schema, "Append", "None", initialState=known)
 
 
+def _packed(answers: DataFrame) -> DataFrame:
+    """Rows (``bucket, event_id, ord, label``) as one row a bucket and task, ``rows`` being JSON with lists of the other columns: the
+    latest answer of each event a task meets; a task that holds many rows hands them on and starts anew."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        order = [(c, "ascending") for c in ("bucket", "event_id", "ord")]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start")).combine_chunks()
+        events = rows.column("event_id")
+        one, two = events[:-1], events[1:]
+        same = pc.coalesce(pc.equal(one, two), pc.and_(pc.is_null(one), pc.is_null(two)))
+        rows = rows.filter(pa.chunked_array([*pc.invert(same).chunks, pa.array([True])], pa.bool_())).combine_chunks()
+        buckets = rows.column("bucket").to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(buckets)) + 1])
+        ends = pa.array(np.append(starts, len(buckets)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays(rows.column(c).chunks)) for c in ("event_id", "ord", "label")]
+        return pa.RecordBatch.from_arrays([pa.array(buckets[starts], pa.int32()), *lists], names=["bucket", "event_id", "ord", "label"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= ROWS_PACKED:
+                yield pack(held)
+                held, rows = [], 0
+        if held:
+            yield pack(held)
+
+    lists = "bucket int, event_id array<string>, ord array<bigint>, label array<string>"
+    packed = answers.select("bucket", "event_id", "ord", "label").mapInArrow(run, lists)
+    return packed.select("bucket", F.to_json(F.struct("event_id", "ord", "label")).alias("rows"))
+
+
 class _RelabelDeltas(_Processor):
-    """Holds the latest successful label of an event and emits what a change of it does to the counts."""
+    """Holds the latest successful labels of the events of a bucket and emits what changes of them do to the counts."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "ord bigint, label string")
+        # Lists of events, of their ord and of their labels, as JSON.
+        self.latest = handle.getValueState("latest", "held string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        ordered = max(rows, key=lambda r: r["ord"])
-        held = self.latest.get() if self.latest.exists() else None
-        if held is not None and ordered["ord"] < held[0]:
-            return  # an older answer that arrives late changes nothing
-        self.latest.update((ordered["ord"], ordered["label"]))
-        if held is not None and held[1] == ordered["label"]:
-            return
-        if held is not None:
-            yield Row(label=held[1], delta=-1)
-        yield Row(label=ordered["label"], delta=1)
+        stored = self.latest.get()
+        events, orders, labels = json.loads(stored[0]) if stored else ((), (), ())
+        held = dict(zip(events, zip(orders, labels)))
+        deltas: Counter[str | None] = Counter()
+        for row in rows:
+            met = json.loads(row["rows"])
+            for event, order, label in zip(met["event_id"], met["ord"], met["label"]):
+                known = held.get(event)
+                if known is not None:
+                    if order < known[0]:
+                        continue  # an older answer that arrives late changes nothing
+                    deltas[known[1]] -= 1
+                held[event] = (order, label)
+                deltas[label] += 1
+        self._hold(list(held), *zip(*held.values()))
+        for label, delta in deltas.items():
+            if delta:
+                yield DELTA(label, delta)
 
     def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
-        self.latest.update((SEED_ORDER, initialState["label"]))
+        met = json.loads(initialState["rows"])
+        self._hold(met["event_id"], [SEED_ORDER] * len(met["event_id"]), met["label"])
+
+    def _hold(self, *lists: Any) -> None:
+        self.latest.update((json.dumps(lists, ensure_ascii=False, separators=(",", ":")),))
 
 
 def relabel_deltas(outcomes: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     """(label, delta) of a stream of outcomes (``event_id, ord, ok, label``): +1 for the label an event gets, -1 for the one it had.
 
-    Failures change nothing. Of answers to one event the greatest ``ord`` counts, however they are spread over batches;
-    several in one batch are one change. ``seed`` (``event_id, label``) holds the labels events have before the stream.
+    Failures change nothing. Of answers to one event the greatest ``ord`` counts (none counts as the least), however they are
+    spread over batches; several in one batch are one change. State is kept for ``EVENT_BUCKETS`` buckets of events, since a call
+    for the state of a key costs as much as reading hundreds of events; changes within a bucket and batch come summed.
+    ``seed`` (``event_id, label``) holds the labels events have before the stream.
     """
     use_state_store(outcomes.sparkSession)
-    answered = outcomes.filter("ok").select("event_id", F.col("ord").cast("bigint").alias("ord"), "label")
-    answered = reduce_in_tasks(answered, ["event_id"], lambda one, two: two if two["ord"] >= one["ord"] else one).groupBy("event_id")
+    bucket = F.pmod(F.xxhash64("event_id"), F.lit(EVENT_BUCKETS)).cast("int").alias("bucket")
+    order = F.coalesce(F.col("ord").cast("bigint"), F.lit(SEED_ORDER).cast("bigint")).alias("ord")
+    answered = _packed(outcomes.filter("ok").select(bucket, F.col("event_id").cast("string"), order, F.col("label").cast("string"))).groupBy("bucket")
     before = None
     if seed is not None:
-        known = seed.filter(F.col("label").isNotNull()).groupBy("event_id").agg(F.max("label").alias("label"))
-        before = known.groupBy("event_id")
+        known = seed.filter(F.col("label").isNotNull()).groupBy(F.col("event_id").cast("string").alias("event_id")).agg(F.max("label").alias("label"))
+        known = known.groupBy(bucket).agg(F.collect_list(F.struct("event_id", "label")).alias("rows"))
+        lists = F.to_json(F.struct(F.col("rows.event_id").alias("event_id"), F.col("rows.label").alias("label")))
+        before = known.select("bucket", lists.alias("rows")).groupBy("bucket")
     return answered.transformWithState(_RelabelDeltas(), "label string, delta int", "Append", "None", initialState=before)
 
 

@@ -41,6 +41,28 @@ def test_relabels_take_the_former_label_back(spark, tmp_path):
     assert uncounted.get("old", 0) == got.get("old", 0) - 6
 
 
+def test_relabel_state_is_kept_by_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "EVENT_BUCKETS", 5)
+    monkeypatch.setattr(state, "ROWS_PACKED", 50)
+    rng = random.Random(2)
+    ids = [None, "null", "", 'q"[,', "\u6f22\U0001f642", *(f"e{k}" for k in range(95))]
+    labels = [None, "null", "a", "\u611b"]
+    seed = [(i, "old") for i in ids[:20]] + [("never", None), ("once", "kept")]
+    rows = [(rng.choice(ids), k, rng.random() < 0.8, rng.choice(labels)) for k in range(600)] + [("noord", None, True, "first"), ("noord", 3, True, "a")]
+    rng.shuffle(rows)  # older answers arrive behind younger ones
+    counts = state.RelabelCounts(f"{tmp_path}/counts", f"{tmp_path}/cp", spark.createDataFrame(seed, "event_id string, label string"))
+    for a in range(0, len(rows), 201):
+        spark.createDataFrame(rows[a : a + 201], LOG).repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        counts.run(spark.readStream.schema(LOG).parquet(f"{tmp_path}/in"))
+    last = {e: label for e, label in seed if label}
+    for event, _, ok, label in sorted(rows, key=lambda r: -1 if r[1] is None else r[1]):
+        if ok:
+            last[event] = label
+    assert {r.label: r["count"] for r in counts.counts(spark.range(1)).collect()} == dict(Counter(last.values()))
+    # A hundred events are five keys of state.
+    assert spark.read.format("statestore").option("path", f"{tmp_path}/cp").option("stateVarName", "latest").load().count() <= 5
+
+
 def test_replayed_batch_adds_its_changes_once(spark, tmp_path):
     spark.createDataFrame([("e", 1, True, "a")], LOG).write.parquet(f"{tmp_path}/in")
     counts = state.RelabelCounts(f"{tmp_path}/counts", f"{tmp_path}/cp")
